@@ -10,14 +10,15 @@ equal sets are one node from the start.
    shared passages out of the prefixes.
 2. Each set sends the shingles of its prefix, with its size and their
    positions, packed by hash range. Lists with one set are dropped.
-3. Stars: each set is paired with that least member of its lists with which
-   it shares most prefix shingles, and verified once. This takes large groups
-   of near copies together with one pair a set.
-4. The rest: within each list, sets of *different* components are paired,
-   under the length and the positional filter; then the suffix filter
-   compares how many shingles fall into each of 64 hash ranges; each pair
-   left is verified once. Nothing is lost: a pair inside a component cannot
-   change the components.
+3. Stars: each list's centre is the set with the fewest prefix shingles of
+   its own; each set is paired with that centre with which it shares most,
+   under the length and the positional filter, and verified once. This takes
+   large groups of near copies together with one pair a set.
+4. The rest: within each list, sets of *different* components are paired
+   under the length filter; the number of shared prefix shingles then bounds
+   the overlap, and the suffix filter compares how many shingles fall into
+   each of 64 hash ranges; each pair left is verified once. Nothing is lost:
+   a pair inside a component cannot change the components.
 
 Hashes are of 64 bits: two different sets among 10**9 share a name with
 probability 0.03.
@@ -36,7 +37,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkspark.llm import bytescan as B
@@ -230,10 +231,45 @@ def postings(docs: DataFrame, buckets: int, rules: JoinRules) -> DataFrame:
     return sent.repartition(buckets, "to").mapInArrow(match, "token long, node long, n int, pos int")
 
 
-def _may_link(n1: str, p1: str, n2: str, p2: str):
-    """The length filter, and the positional filter for a pair's first shared shingle."""
-    size = F.expr(f"4 * least({n1}, {n2}) >= 3 * greatest({n1}, {n2})")
-    return size & F.expr(f"7 * (1 + least({n1} - {p1} - 1, {n2} - {p2} - 1)) >= 3 * ({n1} + {n2})")
+def _may_link(x: str, y: str) -> Column:
+    """The length filter, and a bound by the prefix shingles that any other set has.
+
+    Of the shared shingles those in the prefix that ends first lie in both prefixes; the others are at most the rest of that set.
+    """
+    size = F.expr(f"4 * least({x}n, {y}n) >= 3 * greatest({x}n, {y}n)")
+    return size & F.expr(f"7 * (least({x}m, {y}m) + greatest((3 * {x}n + 3) div 4 - 1, (3 * {y}n + 3) div 4 - 1)) >= 3 * ({x}n + {y}n)")
+
+
+def _positions_fit(x: str, y: str) -> Column:
+    """The positional filter for a pair's first shared shingle."""
+    return F.expr(f"7 * (1 + least({x}n - {x}pos - 1, {y}n - {y}pos - 1)) >= 3 * ({x}n + {y}n)")
+
+
+def _met_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of two lists' members that pass ``_may_link``, with the most that their sets may share outside the prefixes, and the overlap needed."""
+    names = ["a", "b", "most", "need"]
+    for batch in batches:
+        sides = []
+        for column in batch.columns:
+            at = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))])
+            flat = column.flatten()
+            sides.append((at, *(flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))))
+        (at1, node1, n1, m1), (at2, node2, n2, m2) = sides
+        size1, size2 = np.diff(at1), np.diff(at2)
+        ends = np.cumsum(size1 * size2)
+        i = 0
+        while i < len(ends):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + (1 << 19), "right")))
+            each = (size1 * size2)[i:j]
+            row = np.repeat(np.arange(i, j), each)
+            k = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
+            x, y = at1[row] + k // size2[row], at2[row] + k % size2[row]
+            nx, ny = n1[x], n2[y]
+            most, need = np.maximum((3 * nx + 3) // 4, (3 * ny + 3) // 4) - 1, -(-3 * (nx + ny) // 7)
+            keep = np.flatnonzero((4 * np.minimum(nx, ny) >= 3 * np.maximum(nx, ny)) & (np.minimum(m1[x], m2[y]) + most >= need))
+            a, b = node1[x[keep]], node2[y[keep]]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (np.minimum(a, b), np.maximum(a, b), most[keep], need[keep])], names=names)
+            i = j
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -280,26 +316,30 @@ def linked_sets(docs: DataFrame, sets: DataFrame, rules: JoinRules = JoinRules()
     full = sets.where("__n > 0")
     nodes = full.groupBy(F.col("__node").alias("node")).agg(F.min("doc_id").alias("doc_id"))
 
-    least = lists.groupBy("token").agg(F.min(F.struct("node", "n", "pos")).alias("r"))
-    stars = lists.join(least, "token").where("node <> r.node").where(_may_link("n", "pos", "r.n", "r.pos"))
+    count = lists.groupBy("node").agg(F.count(F.lit(1)).alias("m"))
+    lists = materialize(lists.join(count, "node").select("token", "node", "n", "pos", "m"), "counted")
+
+    lone = F.expr("n - (3 * n + 3) div 4 + 1 - m")  # prefix shingles that no other set has
+    least = lists.groupBy("token").agg(F.min(F.struct(lone.alias("lone"), "node", "n", "pos", "m")).alias("r"))
+    stars = lists.join(least, "token").where("node <> r.node").where(_may_link("", "r.") & _positions_fit("", "r."))
     shared = stars.groupBy(F.col("node").alias("a"), F.col("r.node").alias("b")).agg(F.count(F.lit(1)).alias("k"))
     pairs = materialize(shared.groupBy("a").agg(F.max(F.struct("k", "b")).alias("best")).select("a", F.col("best.b").alias("b")), "stars")
-    stars_of = materialize(verified(pairs, docs, nodes), "links")
-    first = components(stars_of)
+    first = components(materialize(verified(pairs, docs, nodes), "links"))
 
-    known = lists.join(first, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    known = materialize(known.select("token", "node", "n", "pos", "c"), "lists")
+    known = lists.join(first, "node", "left").select("token", "node", "n", "m", F.coalesce("component", "node").alias("c"))
+    known = materialize(known, "lists")
     mixed = known.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("token", "size")
-    open_lists = known.join(mixed, "token")
     chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / rules.chunk))
-    rows = open_lists.groupBy("token", "c", chunk.alias("chunk")).agg(F.collect_list(F.struct("node", "n", "pos")).alias("m"))
+    rows = known.join(mixed, "token").groupBy("token", "c", chunk.alias("chunk")).agg(F.collect_list(F.struct("node", "n", "m")).alias("m"))
     rows = materialize(rows, "chunks")
     one, two = rows.select("token", F.col("c").alias("c1"), F.col("m").alias("m1")), rows.select("token", F.col("c").alias("c2"), F.col("m").alias("m2"))
-    met = one.join(two, "token").where("c1 < c2").select(F.explode("m1").alias("x"), "m2").select("x", F.explode("m2").alias("y")).where(_may_link("x.n", "x.pos", "y.n", "y.pos"))
-    rest = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    met = one.join(two, (one.token == two.token) & (F.col("c1") < F.col("c2"))).select("m1", "m2")
+    # every shared prefix shingle of a pair is met here, so their number bounds the overlap
+    counted = met.mapInArrow(_met_pairs, "a long, b long, most long, need long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.first("most").alias("most"), F.first("need").alias("need"))
+    rest = counted.where("k + most >= need").select("a", "b")
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = materialize(rest.join(done, ["a", "b"], "left_anti"), "rest")
-    rest = materialize(suffix_filter(rest, full), "rest-filtered")
+    rest = materialize(suffix_filter(rest, full), "rest")
     more = materialize(verified(rest, docs, nodes), "links")
     of = lambda c: first.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     joined = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
@@ -335,6 +375,7 @@ def join_components(docs: DataFrame, rules: JoinRules = JoinRules()) -> DataFram
     """doc_id, n_shingles and component_id (least id reachable by links) of every row."""
     placed = materialize(_placed(docs, rules), "placed")
     least = placed.where("__n > 0").groupBy("__component").agg(F.min("doc_id").alias("component_id"))
+    least = materialize(least, "least")  # so that Spark can split a large component's rows
     out = placed.where("__n > 0").join(least, "__component").select("doc_id", F.col("__n").alias("n_shingles"), "component_id")
     return out.unionAll(placed.where("__n = 0").select("doc_id", F.col("__n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
