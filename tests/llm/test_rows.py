@@ -1,0 +1,302 @@
+"""Operators that judge row by row, against plain Python."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from linkspark.llm import bytescan as B
+from linkspark.llm import crf, decontaminate, langid, packing, quality, secrets, sharding, token_binary, tokens, toxicity, url_filter
+from linkspark.llm.queries import URL_RULES, tokenizer_file
+
+SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def base_figures(t):
+    t = t or ""
+    w = SPLIT.findall(t)
+    seen, dup = set(), 0
+    for line in t.split("\n"):
+        if SPLIT.search(line):
+            dup += line in seen
+            seen.add(line)
+    grams = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    covered = {j for i in range(len(w) - 7) if grams[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(covered)
+
+
+def test_quality(docs, no_docs, texts):
+    out = quality.line_quality(docs).collect()
+    assert len(out) == len(texts)
+    for r in out:
+        n = base_figures(r.text)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == n
+        assert r.base_failed == (n[0] < 20 or 100 * n[4] > 30 * n[0]) and not (r.base_failed and r.kept)
+    assert quality.line_quality(no_docs).count() == 0
+    assert "source" in quality.line_quality(docs).columns
+
+
+def test_line_rules(spark):
+    body = "This is a line of quite plain prose that ends as it should, with more than ten words.\n" + "A second such line of plain prose follows it here and ends well too.\n"
+    rows = [(1, body + "Home | About | Contact | Help\nLicensed under the X License."), (2, "Buy | now | here | today | or | go\n" * 9 + "The end of it is a line."), (3, "WOW!! " * 30)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in quality.line_quality(d, with_clean_text=True).collect()}
+    assert got[1].kept and got[1].clean_text == body and not got[2].kept and not got[3].kept
+    assert [tuple(r) for r in quality.clean_documents(d).collect()] == [(1, body)]
+
+
+def plain_base(t):
+    t = t or ""
+    a = [("assign", *m.span()) for m in re.finditer(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 8]
+    a += [("access", *m.span()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+    a += [("hex", *m.span()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 32]
+    return sorted(a, key=lambda x: (x[1], ("assign", "access", "hex").index(x[0])))
+
+
+def test_secrets(spark, docs, no_docs):
+    rng = random.Random(1)
+    bits = ["password", "PassWD", "secret", "token", "api_key", "APIKEY", "=", ":", " ", '"', "'", "AKIA", "ABCD1234", "deadbeef" * 2, "abc", "é", "\n", "x=1", "_", "ſecret"]
+    rows = [(k, "".join(rng.choice(bits) for _ in range(40))) for k in range(200)] + [(900, None), (901, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in secrets.find_secrets(d).collect():
+        base = plain_base(r.text)
+        count = Counter(k for k, _, _ in base)
+        assert (r.n_assign, r.n_access, r.n_hex) == (count["assign"], count["access"], count["hex"]), r.text
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest() and set(filter(None, joined.split(","))) <= set(r.spans.split(","))
+    assert secrets.find_secrets(no_docs).count() == 0 and secrets.find_secrets(docs).count() == docs.count()
+
+
+def test_propagation():
+    src = 'raw = "9fKx72LmQpZ4"\nother = raw\ndb_credentials = other + "Tail99Zq"\nname = "Just A Title"\ncolor: blue'
+    found = {src[a:b] for k, a, b in secrets.spans(src) if k == "literal"}
+    assert found == {"9fKx72LmQpZ4", "Tail99Zq"}
+    text = "login password=7602ad27cf5550de1c ok"
+    assert secrets.redact(text, secrets.spans(text)) == "login [SECRET] ok"
+    assert secrets.redact(None, []) is None
+
+
+def test_field_marginals():
+    rng = np.random.default_rng(0)
+    u, trans = rng.normal(size=7) * 2, rng.normal(size=(2, 2))
+    first = np.zeros(7, bool)
+    first[[0, 4]] = True
+    expected = []
+    for part in (u[:4], u[4:]):
+        weight = {}
+        for code in range(2 ** len(part)):
+            y = [code >> k & 1 for k in range(len(part))]
+            weight[code] = np.exp(sum(x for x, s in zip(part, y) if s) + sum(trans[a, b] for a, b in zip([0, *y[:-1]], y)))
+        total = sum(weight.values())
+        expected += [sum(w for c, w in weight.items() if c >> k & 1) / total for k in range(len(part))]
+    assert np.allclose(crf.marginals(u, first, trans), expected)
+
+
+def test_toxicity(spark, texts, no_docs):
+    rng = random.Random(3)
+    from .conftest import prose
+
+    rows, labels = [], []
+    for k in range(300):
+        words = prose(rng, 60).replace("moron", "mild").split()
+        bad = k % 3 == 0
+        if bad:
+            for _ in range(rng.randint(1, 3)):
+                words.insert(rng.randrange(60), rng.choice(["scumbag", "vilexa", "vilexor", "vilexu"]))
+        rows.append((k, " ".join(words)))
+        labels.append((k, int(bad)))
+    d = spark.createDataFrame(rows + [(900, None), (901, "")], "doc_id long, text string")
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train_model(d, lab)
+    got = {r.doc_id: r for r in toxicity.score_documents(d, model).collect()}
+    held = [(k, y) for k, y in labels if zlib.crc32(str(k).encode()) % 5 == 0]
+    assert sum(got[k].predicted == y for k, y in held) >= 0.95 * len(held)
+    assert 0 <= got[900].score < 0.5 and got[900].score == got[901].score
+    text = dict(rows)[0]
+    assert {text[int(a) : int(b)].rstrip(".") for a, b in (s.split(":") for s in got[0].toxic_spans.split(","))} & {"scumbag", "vilexa", "vilexor", "vilexu"}
+    kept = toxicity.drop_toxic(d, lab)
+    assert kept.columns == d.columns and 190 <= kept.count() <= 215
+    assert toxicity.train_model(no_docs, lab) is None and toxicity.score_documents(no_docs, None).count() == 0
+    assert toxicity.score_documents(d, None).where("score <> 0").count() == 0
+
+
+def test_language(spark, no_docs):
+    rng = random.Random(2)
+    stock = {"en": "the and of ing tion that with".split(), "de": "der und die schön über nicht ich".split(), "fr": "le la les être avec où pas".split()}
+    rows = [(k, " ".join(rng.choice(stock[lang]) for _ in range(30)), lang) for k, lang in enumerate(["en", "de", "fr"] * 40)]
+    d = spark.createDataFrame([*rows, (900, None, "en"), (901, "123 --", "en"), (902, "", None)], "doc_id long, text string, lang string")
+    model = langid.train_model(d)
+    got = {r.doc_id: r for r in langid.identify(d, model).collect()}
+    assert all(got[k].lang_pred == lang for k, _, lang in rows)
+    assert all(got[k].lang_pred == "und" and got[k].score == 0 for k in (900, 901, 902))
+    assert langid.train_model(no_docs) is None and langid.identify(d, None).where("lang_pred <> 'und'").count() == 0
+    for n in (2, 3, 4, 9):
+        code = langid.codewords(n)
+        assert min((code[a] != code[b]).sum() for a in range(n) for b in range(a)) >= (1 if n == 2 else 2)
+
+
+def test_tiling(spark, docs, no_docs):
+    rng = random.Random(4)
+    item = [f"w{k}" for k in range(40)]
+    moved = item[20:] + ["x"] * 3 + item[:20]
+    rows = [(1, "lead " + " ".join(item).upper() + ". tail"), (2, "a b " + " ".join(moved)), (3, " ".join(item[:10])), (4, None), (5, " ".join(item) * 1), (5, " ".join(item)), (6, " ".join(rng.sample(item, 40)))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(9, " ".join(item)), (10, "too short"), (11, None)], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.covered_words, r.n_tiles) for r in decontaminate.contamination(d, bench).collect())
+    assert got == [(1, 9, 40, 1), (2, 9, 40, 2), (5, 9, 40, 1), (5, 9, 40, 1)]
+    assert sorted(r.doc_id for r in decontaminate.decontaminate(d, bench).collect()) == [3, 4, 6]
+    small = decontaminate.TilingRules(block_bytes=100)  # several blocks
+    assert decontaminate.contamination(d, bench, rules=small).count() == 4 and decontaminate.decontaminate(d, bench, rules=small).count() == 3
+    assert decontaminate.contamination(no_docs, bench).count() == 0 and decontaminate.contamination(docs, bench.where("item_id < 0")).count() == 0
+
+
+def brute_tiles(a, b, size):
+    """Greedy tiling by trying all places, longest first."""
+    used_a, used_b, total = set(), set(), 0
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                k = 0
+                while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k] and i + k not in used_a and j + k not in used_b:
+                    k += 1
+                best = max(best, (k, -i, -j))
+        if best[0] < size:
+            return total
+        k, i, j = best[0], -best[1], -best[2]
+        used_a |= set(range(i, i + k))
+        used_b |= set(range(j, j + k))
+        total += k
+
+
+def test_tiling_like_brute_force():
+    rng = random.Random(6)
+    rules = decontaminate.TilingRules(min_match=3)
+    for _ in range(60):
+        a, b = [rng.choice("abcd") * 2 for _ in range(25)], [rng.choice("abcd") * 2 for _ in range(15)]
+        index = decontaminate.build_index([(0, " ".join(b))], rules)
+        raw, at = B.text_buffers(pa.array([" ".join(a)]))
+        found = decontaminate.matches(raw, at, index, rules)
+        covered = found[0][2] if found else 0
+        assert abs(covered - brute_tiles(a, b, 3)) <= 3  # ties among tiles of one length may fall differently
+
+
+@pytest.mark.parametrize(("name", "spaced"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_segments_are_whole_encodings(texts, name, spaced):
+    work = tokens.SegmentEncoder(tokenizer_file(name), spaced)
+    own = [t or "" for _, t in texts] + ["a\nb", "a.\nÉb, c", "\nA b.", "b \u00a0c", "ab\0c d", "don't.\nI'll", "\n", "x.\n", " x", "x ", "a \n b", "a\t b", "<|endoftext|> a", "ΟΔΟΣ ς", "Ａ ﬁ", "e\u0301 x", "x\u2003y", "12,5 km."]
+    for _ in range(2):
+        ids, cut = work.encode(own)
+        assert [ids[a:b].tolist() for a, b in zip(cut, cut[1:])] == [x + [2] for x in work.whole(own)]
+
+
+def test_codec():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 3, 4, 5, 1000):
+        v = (rng.integers(0, 2**32, n) >> rng.integers(0, 32, n)).astype(np.uint32)
+        assert (token_binary.decode_block(token_binary.encode_block(v)) == v).all()
+    with pytest.raises(ValueError):
+        token_binary.decode_block(b"xxxx")
+
+
+def test_token_files(spark, docs, no_docs, texts, tmp_path):
+    path = tokenizer_file("byte_bpe_50k.json")
+    token_binary.write_tokens(docs, path, str(tmp_path / "t"), 3)
+    got = token_binary.read_tokens(spark, str(tmp_path / "t"), with_ids=True).collect()
+    work = tokens.SegmentEncoder(path, True)
+    expected = sorted((-1 if i is None else i, x + [2]) for (i, t), x in zip(texts, work.whole([t or "" for _, t in texts])))
+    assert sorted((-1 if r.doc_id is None else r.doc_id, list(r.ids)) for r in got) == expected
+    before = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == before and r.n_tokens == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+        before += r.n_tokens
+    order = [-1 if r.doc_id is None else r.doc_id for r in sorted(got, key=lambda r: r.start)]
+    assert order == sorted(order)
+    token_binary.write_tokens(no_docs, path, str(tmp_path / "e"), 2)
+    assert token_binary.read_tokens(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_packing(docs, no_docs, texts):
+    path = tokenizer_file("word_bpe_49k.json")
+    got = packing.pack(docs, path, with_ids=True).collect()
+    work = tokens.SegmentEncoder(path, False)
+    streams = Counter(tuple(x + [2]) for x in work.whole([t or "" for _, t in texts]))
+    seqs, pieces = {}, {}
+    for r in got:
+        assert r.length == len(r.ids) > 0 and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+        seqs.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        pieces.setdefault((r.doc_id, r.doc_tokens), []).append(r)
+    for own in seqs.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    whole = Counter()
+    for (_, n), own in pieces.items():
+        copies = sum(r.length for r in own) // n
+        own = sorted(own, key=lambda r: r.start)
+        assert sum(r.length for r in own) == copies * n
+        if copies == 1:
+            whole[tuple(x for r in own for x in r.ids)] += 1
+    assert all(streams[s] for s in whole)
+    total = sum(n * len(s) for s, n in streams.items())
+    assert len(seqs) <= total / 4096 + 3 + 1  # one for each of three tasks
+    assert packing.pack(no_docs, path).count() == 0
+
+
+def test_curve():
+    grid = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
+    at = sharding.hilbert_index(grid, 3)
+    assert sorted(at.tolist()) == list(range(512))
+    steps = np.abs(np.diff(grid[np.argsort(at)], axis=0)).sum(1)
+    assert (steps == 1).all()
+
+
+def test_shards(spark, docs, no_docs, texts, tmp_path):
+    got = sharding.shard(docs, 7).collect()
+    assert sorted((r.size, r.text_crc32) for r in got) == sorted((len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for _, t in texts)
+    counts = Counter(r.shard for r in got)
+    assert set(counts) == set(range(7)) and max(counts.values()) - min(counts.values()) <= 1
+    for s in counts:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(counts[s]))
+    order = [r.curve_index for r in sorted(got, key=lambda r: (r.shard, r.slot))]
+    assert order == sorted(order)
+    assert sharding.shard(no_docs).count() == 0
+    sharding.write_shards(docs.where("doc_id IS NOT NULL"), str(tmp_path / "s"), 4)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert back.count() == len(texts) - 1 and back.select("shard").distinct().count() == 4
+
+
+def test_urls(spark):
+    urls = ["http://Example.COM/en/7", "https://a.example.com/en/x?q#f", "http://net/de/1", "http://b.net/de/", "http://example.net/de/8", "http://xexample.net/de/8", "http://x.org/es/1#a", "no scheme", None, "", "http://h", "ftp://u.org?x://y/es/", "http://c.com/en", "http://İ.com/a\nb", "http://casino-1.org/a", "http://plain.org/a"]
+    train = spark.createDataFrame([(f"http://{'casino-' if k % 2 else 'plain'}{k % 40}.org/a{k}", k % 2) for k in range(400)], "url string, label int")
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("suffix_share", F.lit("clash"))
+    model = url_filter.train(train)
+    out = url_filter.judge(pages, model, URL_RULES)
+    plan = out._jdf.queryExecution().toString()
+    assert "Python" not in plan and "suffix_share" in out.columns
+    got = {r.page_id: r for r in out.collect()}
+    assert len(got) == len(urls)
+    for k, u in enumerate(urls):
+        host = path = ""
+        if u and "://" in u:
+            rest = u[u.index("://") + 3 :]
+            host = re.match(r"[^/?#]*", rest)[0]
+            path = re.match(r"[^?#]*", rest[len(host) :])[0]
+            host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+        fits = [(len(r), r, v) for v, r in URL_RULES if (h := r.split("/", 1))[0] and (host == h[0] or host.endswith("." + h[0])) and path.startswith("/" + h[1])]
+        rule = max(fits, default=(0, None, None))
+        assert (got[k].host, got[k].path, got[k].rule) == (host, path, rule[1]), u
+        if rule[1]:
+            assert got[k].verdict == rule[2]
+    assert got[14].verdict == "block" and got[15].verdict == "allow"
+    bare = url_filter.train(train.where("label = 0"))
+    assert url_filter.judge(pages, bare, ()).where("verdict <> 'allow'").count() == 0
+    assert url_filter.judge(pages.where("page_id < 0"), bare, URL_RULES).count() == 0
