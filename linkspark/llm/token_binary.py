@@ -65,8 +65,10 @@ def _tokenized(docs: DataFrame, path: str, partitions: int) -> DataFrame:
     kind = next(f.dataType.simpleString() for f in docs.schema if f.name == "doc_id")
     ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("__tie")).repartitionByRange(partitions, "doc_id", "__tie").sortWithinPartitions("doc_id", "__tie").drop("__tie")
 
+    id_type, names = _arrow(kind), ["doc_id", "part", "start", "width", "ids", "counts"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, before = TaskContext.get().partitionId(), 0
+        part, before, total = TaskContext.get().partitionId(), 0, np.zeros(1, np.int64)
         work = tokens.encoder(path, True)
         for batch in batches:
             for at in range(0, len(batch), 512):
@@ -76,10 +78,16 @@ def _tokenized(docs: DataFrame, path: str, partitions: int) -> DataFrame:
                     raw = ids.astype("<u2") if not len(ids) or ids.max() < 1 << 16 else ids
                     width = raw.itemsize
                     value = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((cut * width).astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
-                    yield pa.RecordBatch.from_arrays([column.slice(a, b - a), pa.array(np.full(b - a, part), pa.int32()), pa.array(before + cut[:-1]), pa.array(np.full(b - a, width), pa.int32()), value], names=["doc_id", "part", "start", "width", "ids"])
+                    yield pa.RecordBatch.from_arrays([column.slice(a, b - a), pa.array(np.full(b - a, part), pa.int32()), pa.array(before + cut[:-1]), pa.array(np.full(b - a, width), pa.int32()), value, pa.nulls(b - a, pa.binary())], names=names)
                     before += int(cut[-1])
+                    own = np.bincount(ids, minlength=len(total))
+                    own[: len(total)] += total
+                    total = own
+        at = np.flatnonzero(total)
+        counts = np.stack([at, total[at]], 1).astype("<i8").tobytes()  # the task's own counts, as its last row
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.array([part], pa.int32()), pa.array([before]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([counts], pa.binary())], names=names)
 
-    return materialize(ordered.mapInArrow(run, f"doc_id {kind}, part int, start long, width int, ids binary"), "token-ids")
+    return materialize(ordered.mapInArrow(run, f"doc_id {kind}, part int, start long, width int, ids binary, counts binary"), "token-ids")
 
 
 def _raw_ids(batch: pa.RecordBatch, k: int) -> np.ndarray:
@@ -87,25 +95,22 @@ def _raw_ids(batch: pa.RecordBatch, k: int) -> np.ndarray:
 
 
 def frequencies(stored: DataFrame) -> list[tuple[int, int]]:
-    """(id, count) over all documents; no more rows than the vocabulary has."""
+    """(id, count) over all documents, from the counts of each task; no more rows than the vocabulary has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1, np.int64)
         for batch in batches:
-            for k in range(len(batch)):
-                own = np.bincount(_raw_ids(batch, k))
-                if len(own) > len(total):
-                    own[: len(total)] += total
-                    total = own
-                else:
-                    total[: len(own)] += own
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
+            for value in batch.column(0):
+                pair = np.frombuffer(value.as_buffer(), "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["id", "n"])
 
-    counted = stored.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counted = stored.where(F.col("counts").isNotNull()).select("counts").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     return [(r[0], r[1]) for r in counted.collect()]
 
 
+def _arrow(kind: str) -> pa.DataType:
+    return {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
+
+
 def write_tokens(docs: DataFrame, path: str, out: str, partitions: int | None = None) -> None:
     """Encodes all documents with the tokenizer file at ``path`` and writes the blocks and the rank table under ``out``."""
     spark = docs.sparkSession
@@ -117,7 +122,7 @@ def write_tokens(docs: DataFrame, path: str, out: str, partitions: int | None =
     spark.createDataFrame([(k, i, n) for k, (i, n) in enumerate(order)], "rank int, id int, n long").coalesce(1).write.parquet(f"{out}/ranks")
     shared = spark.sparkContext.broadcast(rank)
     kind = next(f.dataType.simpleString() for f in stored.schema if f.name == "doc_id")
-    id_type = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
+    id_type = _arrow(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -141,7 +146,7 @@ def write_tokens(docs: DataFrame, path: str, out: str, partitions: int | None =
             names=["part", "start", "doc_ids", "lengths", "payload"],
         )
 
-    stored.mapInArrow(run, f"part int, start long, doc_ids array<{kind}>, lengths array<int>, payload binary").write.parquet(f"{out}/blocks")
+    stored.where(F.col("counts").isNull()).mapInArrow(run, f"part int, start long, doc_ids array<{kind}>, lengths array<int>, payload binary").write.parquet(f"{out}/blocks")
 
 
 def read_tokens(spark: SparkSession, out: str, with_ids: bool = False) -> DataFrame:

@@ -1,10 +1,10 @@
 """Whole texts to token ids with the tokenizers library, one segment at a time.
 
 Both vocabularies split a text before they merge, and no piece of theirs
-runs across the end of a word. So a text is cut at single spaces, and each
-distinct segment is encoded by the library once and then looked up. Texts
-for which that cut is not proven safe (runs of spaces, white space other
-than space and newline) are encoded whole.
+runs across the end of a word. So a text is cut at single spaces and
+newlines, and each distinct segment is encoded by the library once and then
+looked up. Texts for which that cut is not proven safe (white space that is
+doubled, or other than space and newline) are encoded whole.
 """
 
 from __future__ import annotations
@@ -17,11 +17,15 @@ from itertools import chain
 
 import numpy as np
 
-CACHE_SEGMENTS = 700_000
+CACHE_SEGMENTS = 900_000
 END_ID = 2
-_UNSAFE = re.compile(r"  |[^\S \n]")
-#: Segments that are one run of letters, and at most one mark, for any version of Unicode: two pieces.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+_ODD_SIGNS = [chr(c) for c in (0, 9, 11, 12, 13, 28, 29, 30, 31)]
+_ODD_WIDE = re.compile(r"[\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_ODD_PAIRS = ("  ", "\n\n", " \n", "\n ")
+#: Letters that are letters in every version of Unicode, each its own composed form, with a lower case of one letter.
+_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Stands before a segment that has no space before it.
+_BARE = "\0"
 
 
 def _byte_letters() -> dict[int, int]:
@@ -35,6 +39,55 @@ def _byte_letters() -> dict[int, int]:
 
 
 _LETTERS = _byte_letters()
+_SPACE = chr(_LETTERS[32])
+
+
+def is_odd(text: str) -> bool:
+    if any(p in text for p in _ODD_PAIRS) or any(c in text for c in _ODD_SIGNS):
+        return True
+    return not text.isascii() and _ODD_WIDE.search(text) is not None
+
+
+class _Segments(dict):
+    """Segment to the number of its ids' place; an unknown one is encoded when it is looked up."""
+
+    def __init__(self, tokenizer, spaced: bool):
+        super().__init__()
+        self.tokenizer, self.tokenize, self.spaced = tokenizer, tokenizer.model.tokenize, spaced
+        self.ids, self.ends = array("I"), array("q", [0])
+        self.marks = {m: [t.id for t in self.tokenize(m)] for m in ".,"}
+
+    def __missing__(self, segment: str) -> int:
+        if segment.isalpha():
+            ids = self._word(segment)
+        elif segment and segment[-1] in self.marks and segment[:-1].isalpha():
+            word = segment[:-1]
+            known = self.get(word)
+            ids = None if known is None else self.ids[self.ends[known] : self.ends[known + 1]].tolist()
+            ids = self._word(word) if ids is None else ids
+            ids = None if ids is None else ids + self.marks[segment[-1]]
+        else:
+            ids = None
+        if ids is None:
+            if not self.spaced or segment == "\n":
+                text = segment
+            else:
+                text = segment[1:] if segment[:1] == _BARE else " " + segment
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        place = self[segment] = len(self.ends) - 1
+        self.ids.extend(ids)
+        self.ends.append(len(self.ids))
+        return place
+
+    def _word(self, word: str) -> list[int] | None:
+        """Ids of a run of letters after a space; None where it needs the tokenizer's own steps before the merges."""
+        if not word.isascii():
+            if _PLAIN.fullmatch(word) is None:
+                return None
+            word = (word if self.spaced else word.lower()).encode().decode("latin-1").translate(_LETTERS)
+        elif not self.spaced:
+            word = word.lower()
+        return [t.id for t in self.tokenize(_SPACE + word if self.spaced else word)]
 
 
 class SegmentEncoder:
@@ -47,69 +100,36 @@ class SegmentEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.spaced = spaced
-        self._clear()
-
-    def _clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.ids, self.ends = array("I"), array("q", [0])
+        self.place = _Segments(self.tokenizer, spaced)
 
     def whole(self, texts: Sequence[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
-        model, mark, rest = self.tokenizer.model, {}, []
-        lead = " " if self.spaced else ""
-        for s in new:
-            m = _PLAIN.fullmatch(s)
-            if m is None:
-                rest.append(s)
-                continue
-            word = lead + m[1] if self.spaced else m[1].lower()
-            self._keep(s, [t.id for t in model.tokenize(word.encode().decode("latin-1").translate(_LETTERS))])
-            if m[2]:
-                if m[2] not in mark:
-                    mark[m[2]] = [t.id for t in model.tokenize(m[2])]
-                self.ids.extend(mark[m[2]])
-                self.ends[-1] = len(self.ids)
-        # a segment at the start of a text is kept with a space before it, which no other has
-        texts = [s[1:] if s[:1] == " " else lead + s for s in rest]
-        for a in range(0, len(rest), 4096):
-            for s, ids in zip(rest[a : a + 4096], self.whole(texts[a : a + 4096]), strict=True):
-                self._keep(s, ids)
-
-    def _keep(self, segment: str, ids: list[int]) -> None:
-        self.place[segment] = len(self.ends) - 1
-        self.ids.extend(ids)
-        self.ends.append(len(self.ids))
-
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other (uint32), each text's followed by the end id, and n+1 offsets."""
         if len(self.place) > CACHE_SEGMENTS:
-            self._clear()
+            self.place = _Segments(self.tokenizer, self.spaced)
         parts: list[list[str]] = []
         odd: dict[int, list[int]] = {}
         for k, t in enumerate(texts):
-            if self.spaced:
-                if _UNSAFE.search(t):
-                    odd[k] = self.whole([t])[0]
-                    parts.append([])
-                    continue
-                own = t.split(" ")
-                own[0] = " " + own[0]
+            if not self.spaced:
+                parts.append(t.replace("\n", " ").split(" "))
+            elif is_odd(t):
+                odd[k] = self.whole([t])[0]
+                parts.append([])
             else:
-                own = t.replace("\n", " ").split(" ")
-            parts.append(own)
-        new = set(chain.from_iterable(parts)).difference(self.place)
-        if new:
-            self._learn(list(new))
+                own = t.replace("\n", " \n " + _BARE).split(" ")
+                own[0] = _BARE + own[0]
+                parts.append(own)
         count = np.fromiter(map(len, parts), np.int64, len(parts))
         place = np.fromiter(map(self.place.__getitem__, chain.from_iterable(parts)), np.int64, int(count.sum()))
-        flat, ends = np.frombuffer(self.ids, np.uint32) if self.ids else np.zeros(0, np.uint32), np.frombuffer(self.ends, np.int64)
+        flat = np.frombuffer(self.place.ids, np.uint32) if self.place.ids else np.zeros(0, np.uint32)
+        ends = np.frombuffer(self.place.ends, np.int64)
         begin = ends[place]
         size = ends[place + 1] - begin
         total = np.concatenate([[0], np.cumsum(size)])
         ids = flat[np.repeat(begin - total[:-1], size) + np.arange(total[-1])]
-        del flat, ends
+        del flat, ends  # their arrays grow again
         at = total[np.concatenate([[0], np.cumsum(count)])]
         pieces = []
         for k in range(len(parts)):
