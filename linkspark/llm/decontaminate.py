@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkspark.llm import bytescan as B
+from linkspark.llm.storage import bounded
 
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
@@ -183,7 +184,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc
                             names=["doc_id", "item_id", "item_words", "covered_words", "n_tiles", "coverage", "contaminated"],
                         )
 
-        part = source.mapInArrow(run, schema)
+        part = bounded(source).mapInArrow(run, schema)
         out = part if out is None else out.unionAll(part)
     return out
 
@@ -203,5 +204,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", rul
                             keep[i + d] = False
                 yield batch if keep.all() else batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = bounded(docs).mapInArrow(run, docs.schema)
     return docs

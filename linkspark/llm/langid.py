@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from linkspark.llm import bytescan as B
 from linkspark.llm.sampling import sample_ids, training_texts
+from linkspark.llm.storage import bounded
 
 BINS = 1 << 13
 _LETTER = regex.compile(r"\p{L}")
@@ -156,4 +157,4 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", rules: La
                     arrays = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(unsure)]
                     yield pa.RecordBatch.from_arrays([*(c.slice(i + a, b - a) for c in batch.columns), *arrays], names=[*others, *(n for n, _ in new)])
 
-    return source.mapInArrow(run, schema)
+    return bounded(source).mapInArrow(run, schema)

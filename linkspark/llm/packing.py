@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from linkspark.llm import tokens
+from linkspark.llm.storage import bounded
 
 
 @dataclass(frozen=True)
@@ -111,4 +112,4 @@ def pack(docs: DataFrame, path: str, rules: PackRules = PackRules(), with_ids: b
             yield from flush()
 
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cost double" + ", ids array<long>" * with_ids
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return bounded(docs.select("doc_id", "text")).mapInArrow(run, schema)

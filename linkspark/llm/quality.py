@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkspark.llm import bytescan as B
+from linkspark.llm.storage import bounded
 
 # Phrases of boilerplate lines, in lower case.
 BOILERPLATE = (
@@ -182,7 +183,7 @@ def line_quality(docs: DataFrame, text: str = "text", rules: LineRules = LineRul
                     arrays.append(pa.array(_without(raw, at, *out["_failed"]), pa.string()))
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns), *arrays], names=[*others, *(n for n, _ in new)])
 
-    return source.mapInArrow(run, schema)
+    return bounded(source).mapInArrow(run, schema)
 
 
 def _without(raw: np.ndarray, at: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[str]:

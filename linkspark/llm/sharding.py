@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkspark.llm.storage import materialize
+from linkspark.llm.storage import bounded, materialize
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -74,7 +74,7 @@ def shard(docs: DataFrame, shards: int = 40, by: tuple[str, ...] = ("source", "l
     """
     bare = F.octet_length(F.coalesce("text", F.lit("")))
     dims = [c for c in by if c == "size" or c in docs.columns]
-    narrow = docs.select(
+    narrow = bounded(docs).select(
         "doc_id",
         (bare.cast("long") + 16).alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),

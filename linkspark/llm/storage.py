@@ -43,5 +43,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Of an Arrow batch between Spark and Python; both sides hold a few of them for each task.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """The rows as they are, in a session whose Arrow batches are small: long texts then take no more memory than short ones."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkspark.llm import tokens
-from linkspark.llm.storage import materialize
+from linkspark.llm.storage import bounded, materialize
 
 BLOCK_IDS = 1 << 16
 MAGIC = b"LVB1"
@@ -87,7 +87,7 @@ def _tokenized(docs: DataFrame, path: str, partitions: int) -> DataFrame:
         counts = np.stack([at, total[at]], 1).astype("<i8").tobytes()  # the task's own counts, as its last row
         yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.array([part], pa.int32()), pa.array([before]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([counts], pa.binary())], names=names)
 
-    return materialize(ordered.mapInArrow(run, f"doc_id {kind}, part int, start long, width int, ids binary, counts binary"), "token-ids")
+    return materialize(bounded(ordered).mapInArrow(run, f"doc_id {kind}, part int, start long, width int, ids binary, counts binary"), "token-ids")
 
 
 def _raw_ids(batch: pa.RecordBatch, k: int) -> np.ndarray:

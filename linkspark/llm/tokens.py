@@ -17,7 +17,7 @@ from itertools import chain
 
 import numpy as np
 
-CACHE_SEGMENTS = 900_000
+CACHE_SEGMENTS = 600_000
 END_ID = 2
 _ODD_SIGNS = [chr(c) for c in (0, 9, 11, 12, 13, 28, 29, 30, 31)]
 _ODD_WIDE = re.compile(r"[\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from linkspark.llm import bytescan as B
 from linkspark.llm import crf
 from linkspark.llm.sampling import sample_ids, training_texts
+from linkspark.llm.storage import bounded
 
 PREFIXES = (4, 5, 6)
 BITS = 18
@@ -38,7 +39,7 @@ _PUNCT[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = Tru
 
 @dataclass(frozen=True)
 class ToxicityRules:
-    per_class: int = 3000
+    per_class: int = 2000
     max_chars: int = 10_000
     sketch: int = 32  # least shingle hashes of a training document ...
     copy_share: float = 0.5  # ... which is a copy if earlier ones have this share of them
@@ -126,15 +127,20 @@ def fit(texts: list[tuple[str, int]], rules: ToxicityRules = ToxicityRules()) ->
     first = np.zeros(sum(map(len, chains)), bool)
     first[np.cumsum([0, *(len(c) for c in chains[:-1])])] = True
     weight, trans = crf.train(_slots(np.concatenate(chains)), np.concatenate(labels), first, 1 << BITS)
-    slots = _slots(np.concatenate([f for f, _ in kept]))
-    first = np.zeros(len(slots), bool)
-    first[np.cumsum([0, *(len(f) for f, _ in kept[:-1])])] = True
-    p = crf.marginals(weight[slots].sum(1) + weight[-1], first, trans)
-    top = np.maximum.reduceat(p, np.flatnonzero(first))
+    top = np.concatenate([_largest([f for f, _ in kept[a : a + 200]], weight, trans) for a in range(0, len(kept), 200)])
     slope, offset = _calibrate(top, np.array([label for _, label in kept]))
     return Model(weight.astype(np.float32), trans, slope, offset)
 
 
+def _largest(features: list[np.ndarray], weight: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """The largest marginal of each document."""
+    begin = np.cumsum([0, *(len(f) for f in features[:-1])])
+    slots = _slots(np.concatenate(features))
+    first = np.zeros(len(slots), bool)
+    first[begin] = True
+    return np.maximum.reduceat(crf.marginals(weight[slots].sum(1) + weight[-1], first, trans), begin)
+
+
 def _telling(kept: list[tuple[np.ndarray, int]], rules: ToxicityRules) -> np.ndarray:
     """Features far more frequent, by documents, in toxic documents.
 
@@ -240,7 +246,7 @@ def score_documents(docs: DataFrame, model: Model | None, text: str = "text", ru
                 arrays = [pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(spans, pa.string()), pa.array(number, pa.int64())]
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns), *arrays], names=[*others, *(n for n, _ in new)])
 
-    return source.mapInArrow(run, schema)
+    return bounded(source).mapInArrow(run, schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = ToxicityRules()) -> DataFrame:
