@@ -15,10 +15,10 @@ equal sets are one node from the start.
    under the length and the positional filter, and verified once. This takes
    large groups of near copies together with one pair a set.
 4. The rest: within each list, sets of *different* components are paired
-   under the length filter; the number of shared prefix shingles then bounds
-   the overlap, and the suffix filter compares how many shingles fall into
-   each of 64 hash ranges; each pair left is verified once. Nothing is lost:
-   a pair inside a component cannot change the components.
+   under the length and the positional filter, as far as their own pair's
+   prefixes reach; then the suffix filter compares how many shingles fall
+   into each of 64 hash ranges; each pair left is verified once. Nothing is
+   lost: a pair inside a component cannot change the components.
 
 Hashes are of 64 bits: two different sets among 10**9 share a name with
 probability 0.03.
@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from linkspark.llm import bytescan as B
 from linkspark.llm.components import components
-from linkspark.llm.storage import materialize
+from linkspark.llm.storage import bounded, materialize
 
 BINS = 64
 
@@ -115,7 +115,7 @@ def named_sets(docs: DataFrame, text: str = "text") -> DataFrame:
                 bins.append(np.bincount((shingles >> np.uint64(58)).astype(np.int64), minlength=BINS).astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bins, pa.binary())], names=[*batch.schema.names, "__n", "__node", "__bins"])
 
-    return docs.mapInArrow(run, schema)
+    return bounded(docs).mapInArrow(run, schema)
 
 
 def frequent_shingles(docs: DataFrame, buckets: int, rules: JoinRules) -> tuple[np.ndarray, np.ndarray]:
@@ -246,18 +246,17 @@ def _positions_fit(x: str, y: str) -> Column:
 
 
 def _met_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of two lists' members that pass ``_may_link``, with the most that their sets may share outside the prefixes, and the overlap needed."""
-    names = ["a", "b", "most", "need"]
+    """Pairs of two lists' members that pass ``_may_link`` and ``_positions_fit``, each once a batch."""
     for batch in batches:
         sides = []
         for column in batch.columns:
             at = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))])
             flat = column.flatten()
-            sides.append((at, *(flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))))
-        (at1, node1, n1, m1), (at2, node2, n2, m2) = sides
+            sides.append((at, *(flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4))))
+        (at1, node1, n1, m1, pos1), (at2, node2, n2, m2, pos2) = sides
         size1, size2 = np.diff(at1), np.diff(at2)
         ends = np.cumsum(size1 * size2)
-        i = 0
+        found, i = [np.zeros((0, 2), np.int64)], 0
         while i < len(ends):
             j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + (1 << 19), "right")))
             each = (size1 * size2)[i:j]
@@ -265,11 +264,16 @@ def _met_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             k = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
             x, y = at1[row] + k // size2[row], at2[row] + k % size2[row]
             nx, ny = n1[x], n2[y]
-            most, need = np.maximum((3 * nx + 3) // 4, (3 * ny + 3) // 4) - 1, -(-3 * (nx + ny) // 7)
-            keep = np.flatnonzero((4 * np.minimum(nx, ny) >= 3 * np.maximum(nx, ny)) & (np.minimum(m1[x], m2[y]) + most >= need))
-            a, b = node1[x[keep]], node2[y[keep]]
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (np.minimum(a, b), np.maximum(a, b), most[keep], need[keep])], names=names)
+            need = -(-3 * (nx + ny) // 7)
+            keep = 4 * np.minimum(nx, ny) >= 3 * np.maximum(nx, ny)
+            keep &= (pos1[x] <= nx - need) & (pos2[y] <= ny - need)
+            keep &= np.minimum(m1[x], m2[y]) + np.maximum((3 * nx + 3) // 4, (3 * ny + 3) // 4) - 1 >= need
+            at = np.flatnonzero(keep)
+            a, b = node1[x[at]], node2[y[at]]
+            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
             i = j
+        pairs = np.unique(np.concatenate(found), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -326,17 +330,15 @@ def linked_sets(docs: DataFrame, sets: DataFrame, rules: JoinRules = JoinRules()
     pairs = materialize(shared.groupBy("a").agg(F.max(F.struct("k", "b")).alias("best")).select("a", F.col("best.b").alias("b")), "stars")
     first = components(materialize(verified(pairs, docs, nodes), "links"))
 
-    known = lists.join(first, "node", "left").select("token", "node", "n", "m", F.coalesce("component", "node").alias("c"))
+    known = lists.join(first, "node", "left").select("token", "node", "n", "m", "pos", F.coalesce("component", "node").alias("c"))
     known = materialize(known, "lists")
     mixed = known.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("token", "size")
     chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / rules.chunk))
-    rows = known.join(mixed, "token").groupBy("token", "c", chunk.alias("chunk")).agg(F.collect_list(F.struct("node", "n", "m")).alias("m"))
+    rows = known.join(mixed, "token").groupBy("token", "c", chunk.alias("chunk")).agg(F.collect_list(F.struct("node", "n", "m", "pos")).alias("m"))
     rows = materialize(rows, "chunks")
     one, two = rows.select("token", F.col("c").alias("c1"), F.col("m").alias("m1")), rows.select("token", F.col("c").alias("c2"), F.col("m").alias("m2"))
     met = one.join(two, (one.token == two.token) & (F.col("c1") < F.col("c2"))).select("m1", "m2")
-    # every shared prefix shingle of a pair is met here, so their number bounds the overlap
-    counted = met.mapInArrow(_met_pairs, "a long, b long, most long, need long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.first("most").alias("most"), F.first("need").alias("need"))
-    rest = counted.where("k + most >= need").select("a", "b")
+    rest = met.mapInArrow(_met_pairs, "a long, b long").distinct()
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = materialize(rest.join(done, ["a", "b"], "left_anti"), "rest")
     rest = materialize(suffix_filter(rest, full), "rest")
