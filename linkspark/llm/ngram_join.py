@@ -334,10 +334,13 @@ def linked_sets(docs: DataFrame, sets: DataFrame, rules: JoinRules = JoinRules()
     known = materialize(known, "lists")
     mixed = known.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("token", "size")
     chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / rules.chunk))
-    rows = known.join(mixed, "token").groupBy("token", "c", chunk.alias("chunk")).agg(F.collect_list(F.struct("node", "n", "m", "pos")).alias("m"))
-    rows = materialize(rows, "chunks")
-    one, two = rows.select("token", F.col("c").alias("c1"), F.col("m").alias("m1")), rows.select("token", F.col("c").alias("c2"), F.col("m").alias("m2"))
-    met = one.join(two, (one.token == two.token) & (F.col("c1") < F.col("c2"))).select("m1", "m2")
+    reach = F.expr("4 * n - 7 * pos")  # three times the size of the largest set that this member can still link with
+    bounds = [F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(reach).alias("reach")]
+    rows = known.join(mixed, "token").groupBy("token", "c", chunk.alias("chunk")).agg(F.collect_list(F.struct("node", "n", "m", "pos")).alias("m"), *bounds)
+    rows = materialize(rows.drop("chunk"), "chunks")
+    one, two = (rows.select("token", *(F.col(c).alias(f"{c}{k}") for c in ("c", "m", "lo", "hi", "reach"))) for k in (1, 2))
+    lengths = F.expr("4 * hi1 >= 3 * lo2 AND 4 * hi2 >= 3 * lo1")
+    met = one.join(two, (one.token == two.token) & (F.col("c1") < F.col("c2")) & lengths & F.expr("reach1 >= 3 * lo2 AND reach2 >= 3 * lo1")).select("m1", "m2")
     rest = met.mapInArrow(_met_pairs, "a long, b long").distinct()
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = materialize(rest.join(done, ["a", "b"], "left_anti"), "rest")
