@@ -24,6 +24,8 @@ _ODD_WIDE = re.compile(r"[\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205
 _ODD_PAIRS = ("  ", "\n\n", " \n", "\n ")
 #: Letters that are letters in every version of Unicode, each its own composed form, with a lower case of one letter.
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Signs that both vocabularies take together as one piece when they end a word; apostrophes are left to the library.
+_TAIL = "!#$%&*.,;:?"
 #: Stands before a segment that has no space before it.
 _BARE = "\0"
 
@@ -55,19 +57,21 @@ class _Segments(dict):
         super().__init__()
         self.tokenizer, self.tokenize, self.spaced = tokenizer, tokenizer.model.tokenize, spaced
         self.ids, self.ends = array("I"), array("q", [0])
-        self.marks = {m: [t.id for t in self.tokenize(m)] for m in ".,"}
+        self.marks: dict[str, list[int]] = {}
 
     def __missing__(self, segment: str) -> int:
         if segment.isalpha():
-            ids = self._word(segment)
-        elif segment and segment[-1] in self.marks and segment[:-1].isalpha():
-            word = segment[:-1]
-            known = self.get(word)
-            ids = None if known is None else self.ids[self.ends[known] : self.ends[known + 1]].tolist()
-            ids = self._word(word) if ids is None else ids
-            ids = None if ids is None else ids + self.marks[segment[-1]]
+            ids = self._word(segment, True)
         else:
-            ids = None
+            word = segment.rstrip(_TAIL)
+            bare = self.spaced and word[:1] == _BARE
+            if word[bare:].isalpha() and (word.isascii() or _PLAIN.fullmatch(word, bare)):
+                known = self.get(word)
+                ids = self._word(word[bare:], not bare) if known is None else self.ids[self.ends[known] : self.ends[known + 1]].tolist()
+                tail = segment[len(word) :]
+                ids = ids + self._signs(tail) if tail else ids
+            else:
+                ids = None
         if ids is None:
             if not self.spaced or segment == "\n":
                 text = segment
@@ -79,15 +83,23 @@ class _Segments(dict):
         self.ends.append(len(self.ids))
         return place
 
-    def _word(self, word: str) -> list[int] | None:
-        """Ids of a run of letters after a space; None where it needs the tokenizer's own steps before the merges."""
+    def _signs(self, tail: str) -> list[int]:
+        """Ids of a run of signs at the end of a word."""
+        if tail not in self.marks:
+            if len(tail) > 8:
+                return [t.id for t in self.tokenize(tail)]
+            self.marks[tail] = [t.id for t in self.tokenize(tail)]
+        return self.marks[tail]
+
+    def _word(self, word: str, after_space: bool) -> list[int] | None:
+        """Ids of a run of letters; None where it needs the tokenizer's own steps before the merges."""
         if not word.isascii():
             if _PLAIN.fullmatch(word) is None:
                 return None
             word = (word if self.spaced else word.lower()).encode().decode("latin-1").translate(_LETTERS)
         elif not self.spaced:
             word = word.lower()
-        return [t.id for t in self.tokenize(_SPACE + word if self.spaced else word)]
+        return [t.id for t in self.tokenize(_SPACE + word if self.spaced and after_space else word)]
 
 
 class SegmentEncoder:
