@@ -29,6 +29,7 @@ from linkspark.llm import tokens
 from linkspark.llm.storage import bounded, materialize
 
 BLOCK_IDS = 1 << 16
+CACHE_SEGMENTS = 900_000  # of each worker: about 1 kB each at the peak
 MAGIC = b"LVB1"
 _LENGTHS = (np.arange(256)[:, None] >> np.arange(0, 8, 2) & 3).astype(np.uint8) + 1  # by control byte
 
@@ -69,7 +70,7 @@ def _tokenized(docs: DataFrame, path: str, partitions: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before, total = TaskContext.get().partitionId(), 0, np.zeros(1, np.int64)
-        work = tokens.encoder(path, True)
+        work = tokens.encoder(path, True, CACHE_SEGMENTS)
         for batch in batches:
             for at in range(0, len(batch), 512):
                 column = batch.column(0).slice(at, 512)

@@ -105,13 +105,13 @@ class _Segments(dict):
 class SegmentEncoder:
     """spaced: whether a segment keeps the space before it (byte-level), or white space is dropped."""
 
-    def __init__(self, path: str, spaced: bool):
+    def __init__(self, path: str, spaced: bool, most: int = CACHE_SEGMENTS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.spaced = spaced
+        self.spaced, self.most = spaced, most
         self.place = _Segments(self.tokenizer, spaced)
 
     def whole(self, texts: Sequence[str]) -> list[list[int]]:
@@ -119,7 +119,7 @@ class SegmentEncoder:
 
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other (uint32), each text's followed by the end id, and n+1 offsets."""
-        if len(self.place) > CACHE_SEGMENTS:
+        if len(self.place) > self.most:
             self.place = _Segments(self.tokenizer, self.spaced)
         parts: list[list[str]] = []
         odd: dict[int, list[int]] = {}
@@ -154,14 +154,15 @@ class SegmentEncoder:
 
 
 _END = np.array([END_ID], np.uint32)
-_held: dict[tuple[str, bool], SegmentEncoder] = {}
+_held: dict[tuple[str, bool, int], SegmentEncoder] = {}
 
 
-def encoder(path: str, spaced: bool) -> SegmentEncoder:
-    """The worker process's own encoder of that file; its cache is bounded by ``CACHE_SEGMENTS``."""
-    if (path, spaced) not in _held:
-        _held[path, spaced] = SegmentEncoder(path, spaced)
-    return _held[path, spaced]
+def encoder(path: str, spaced: bool, most: int = CACHE_SEGMENTS) -> SegmentEncoder:
+    """The worker process's own encoder of that file; its cache is emptied beyond ``most`` segments."""
+    key = path, spaced, most
+    if key not in _held:
+        _held[key] = SegmentEncoder(*key)
+    return _held[key]
 
 
 def text_runs(texts: Sequence[str | None], limit: int = 1 << 19):
