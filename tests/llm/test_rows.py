@@ -191,6 +191,7 @@ def test_tiling_like_brute_force():
 def test_segments_are_whole_encodings(texts, name, spaced):
     work = tokens.SegmentEncoder(tokenizer_file(name), spaced)
     own = [t or "" for _, t in texts] + ["a\nb", "a.\nÉb, c", "\nA b.", "b \u00a0c", "ab\0c d", "don't.\nI'll", "\n", "x.\n", " x", "x ", "a \n b", "a\t b", "<|endoftext|> a", "ΟΔΟΣ ς", "Ａ ﬁ", "e\u0301 x", "x\u2003y", "12,5 km."]
+    own += ["Ab%%%\nCd", "ab!!! ab!!!\nab!!!", "É.,;\nÉ#", "A!?;:\n%%% $", "x" + "!" * 20, "ab\0. \0x.", "x'. '.", "İ. 日本.", "e\u0301.", "<|endoftext|>."]
     for _ in range(2):
         ids, cut = work.encode(own)
         assert [ids[a:b].tolist() for a, b in zip(cut, cut[1:])] == [x + [2] for x in work.whole(own)]
