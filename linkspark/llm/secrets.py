@@ -6,7 +6,8 @@ runs) are found first. Then each text is lexed as source or configuration:
 other`` and concatenations with ``+``. Constants are propagated through
 names in text order, and a literal whose value reaches a sensitive name is
 scored by that name and by its own shape; literals that pass become spans of
-kind ``literal``.
+kind ``literal``. A value may be joined from any number of literals; names
+share the values they are joined from, so that long chains take linear space.
 
 Defined results: null and empty texts have no spans; rows are judged one by
 one, so repeated rows and ties need no rule; other columns pass through.
@@ -17,7 +18,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import Counter
+from collections import Counter, OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -63,38 +64,107 @@ def name_weight(name: str) -> float:
 
 
 def entropy(s: str) -> float:
-    n = len(s)
-    return -sum(c / n * math.log2(c / n) for c in Counter(s).values()) if n else 0.0
+    return _bits(Counter(s))
+
+
+def _bits(counts: Counter) -> float:
+    n = counts.total()
+    return -sum(c / n * math.log2(c / n) for c in counts.values()) if n else 0.0
 
 
 def literal_score(name: float, value: str, rules: SecretRules) -> float:
     """The name's weight, and up to two points for entropy and for mixed classes of characters."""
-    if len(value) < rules.min_literal or " " in value or (bits := entropy(value)) < rules.min_entropy:
+    return _score(name, Counter(value), rules)
+
+
+def _score(name: float, counts: Counter, rules: SecretRules) -> float:
+    if counts.total() < rules.min_literal or " " in counts or (bits := _bits(counts)) < rules.min_entropy:
         return 0.0
-    classes = any(c.isdigit() for c in value) + any(c.isupper() for c in value) + any(c.islower() for c in value)
+    classes = any(c.isdigit() for c in counts) + any(c.isupper() for c in counts) + any(c.islower() for c in counts)
     return name + min(1.0, (bits - rules.min_entropy) / 1.5) + (0.0, 0.0, 0.7, 1.0)[classes]
 
 
+class _Value:
+    """What a name holds: spans of literals and the values of other names, in the order in which they are joined."""
+
+    __slots__ = ("parts", "plain")
+
+    def __init__(self, parts: list) -> None:
+        self.parts = tuple(dict.fromkeys(parts))
+        self.plain = not any(isinstance(p, _Value) for p in self.parts)
+
+
+class _Joins:
+    """The literals that values are joined from, each once however often it is reached, and their characters.
+
+    ``kept`` has them for the values last used, so that appending to one doesn't walk all of it again; a value that
+    isn't there is walked.
+    """
+
+    KEPT = 128
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.bit: dict[tuple[int, int], int] = {}
+        self.kept: OrderedDict[_Value, tuple[int, Counter]] = OrderedDict()
+
+    def of(self, value: _Value) -> tuple[int, Counter]:
+        """The set of the value's literals, as bits, and the counts of their characters by first occurrence."""
+        if value in self.kept:
+            self.kept.move_to_end(value)
+            return self.kept[value]
+        mask, counts, seen, waiting = 0, Counter(), set(), [*reversed(value.parts)]
+        while waiting:
+            p = waiting.pop()
+            if isinstance(p, tuple):
+                one = 1 << self.bit.setdefault(p, len(self.bit))
+                if not mask & one:
+                    mask |= one
+                    counts.update(self.text[p[0] : p[1]])
+            elif p not in seen:
+                seen.add(p)
+                known = self.kept.get(p)
+                if known and not mask & known[0]:
+                    self.kept.move_to_end(p)
+                    mask |= known[0]
+                    counts.update(known[1])
+                elif not known or known[0] & ~mask:
+                    waiting += reversed(p.parts)
+        self.kept[value] = mask, counts
+        if len(self.kept) > self.KEPT:
+            self.kept.popitem(last=False)
+        return mask, counts
+
+    def spans(self, mask: int) -> list[tuple[int, int]]:
+        chosen = bin(mask)[:1:-1]
+        return [o for o, k in self.bit.items() if chosen[k : k + 1] == "1"]
+
+
 def lexed_spans(text: str, rules: SecretRules) -> list[tuple[int, int]]:
     """Spans of the literals whose values reach sensitive names."""
-    bound: dict[str, list[tuple[int, int]]] = {}
+    bound: dict[str, _Value] = {}
+    joins = _Joins(text)
     found: set[tuple[int, int]] = set()
+    mask = 0
     for m in _LEX.finditer(text):
-        origin: list[tuple[int, int]] = []
+        origin: list[tuple[int, int] | _Value] = []
         for p in _PART.finditer(text, m.start("value"), m.end("value")):
             group = p.lastindex or 3
             if group == 3 and _NAME.match(p[3]) and p[3] in bound:
-                origin += bound[p[3]]
-            else:
+                origin.append(bound[p[3]])
+            elif p.end(group) > p.start(group):
                 origin.append(p.span(group))
-        origin = list(dict.fromkeys(o for o in origin if o[1] > o[0]))[:64]
-        bound[m["name"]] = origin
+        value = origin[0] if len(origin) == 1 and isinstance(origin[0], _Value) else _Value(origin)
+        bound[m["name"]] = value
         weight = name_weight(m["name"])
-        if weight:
-            whole = "".join(text[a:b] for a, b in origin)
-            if literal_score(weight, whole, rules) >= rules.min_score:
-                found.update(origin)
-    return sorted(found)
+        if weight and value.plain:
+            if literal_score(weight, "".join(text[a:b] for a, b in value.parts), rules) >= rules.min_score:
+                found.update(value.parts)
+        elif weight:
+            own, counts = joins.of(value)
+            if _score(weight, counts, rules) >= rules.min_score:
+                mask |= own
+    return sorted(found.union(joins.spans(mask)))
 
 
 def spans(text: str | None, rules: SecretRules = SecretRules()) -> list[tuple[str, int, int]]:

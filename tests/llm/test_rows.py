@@ -82,6 +82,45 @@ def test_propagation():
     assert secrets.redact(None, []) is None
 
 
+def plain_lexed(text, rules):
+    """lexed_spans with whole lists of origins."""
+    bound, found = {}, set()
+    for m in secrets._LEX.finditer(text):
+        origin = []
+        for p in secrets._PART.finditer(text, m.start("value"), m.end("value")):
+            group = p.lastindex or 3
+            named = group == 3 and secrets._NAME.match(p[3]) and p[3] in bound
+            origin += bound[p[3]] if named else [p.span(group)]
+        bound[m["name"]] = origin = list(dict.fromkeys(o for o in origin if o[1] > o[0]))
+        weight = secrets.name_weight(m["name"])
+        if weight and secrets.literal_score(weight, "".join(text[a:b] for a, b in origin), rules) >= rules.min_score:
+            found.update(origin)
+    return sorted(found)
+
+
+def test_secrets_of_many_parts():
+    rng = random.Random(6)
+    parts = ["".join(rng.choice("abcdefABCDEF0123456789") for _ in range(12)) for _ in range(500)]
+    line = "secret_key = " + " + ".join(f'"{p}"' for p in parts)
+    lines = f'secret_key = "{parts[0]}"\n' + "\n".join(f'secret_key = secret_key + "{p}"' for p in parts[1:])
+    for text in (line, lines, lines.replace("secret_key", "body") + "\npassword = body"):
+        clear = secrets.redact(text, secrets.spans(text))
+        assert not [p for p in parts if p in clear]
+
+
+def test_secrets_like_whole_lists():
+    rng = random.Random(7)
+    rules = secrets.SecretRules()
+    for names in (["a", "key", "b", "secret"], [*(f"n{k}" for k in range(300)), "token"]):  # the second has more names than are kept
+        for _ in range(40):
+            rows = []
+            for _ in range(400):
+                value = [rng.choice(names) if rng.random() < 0.5 else '"' + "".join(rng.choice("abcXYZ0123 ") for _ in range(rng.randint(0, 9))) + '"' for _ in range(rng.randint(1, 3))]
+                rows.append(f"{rng.choice(names)} = {' + '.join(value)}")
+            text = "\n".join(rows)
+            assert secrets.lexed_spans(text, rules) == plain_lexed(text, rules)
+
+
 def test_field_marginals():
     rng = np.random.default_rng(0)
     u, trans = rng.normal(size=7) * 2, rng.normal(size=(2, 2))
