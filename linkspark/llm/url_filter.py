@@ -2,7 +2,9 @@
 
 Native throughout: hosts, paths, rules and features are SQL expressions, the
 trees are trained by Spark's own boosting from a bounded sample of labelled
-URLs, and scored as nested CASE expressions.
+URLs, weighted back to the shares of the labels, and scored as nested CASE
+expressions. The blocked shares of suffixes and sites, and of all URLs for
+those without labels, are counted over all distinct labelled URLs.
 
 A rule like ``net/de/`` fits the host ``net`` and all its subdomains where
 the path starts with ``/de/``; the longest rule that fits decides.
@@ -23,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from linkspark.llm.storage import materialize
+
 FEATURES = (
     "url_length", "host_length", "path_length", "host_depth", "path_depth", "digit_ratio", "host_digits", "hyphens",
     "entropy", "parameters", "query_length", "longest_label", "suffix_share", "site_share",
@@ -36,7 +40,6 @@ class UrlRules:
     rounds: int = 10
     depth: int = 3
     step: float = 0.3
-    top_suffixes: int = 1000  # suffixes with statistics of their own, the most frequent
     prior_weight: float = 20.0
 
 
@@ -65,6 +68,10 @@ def _label(host: Column, k: int) -> Column:
     return F.coalesce(F.get(F.reverse(F.split(host, r"\.")), F.lit(k)), F.lit(""))
 
 
+def _site(host: Column) -> Column:
+    return F.concat(_label(host, 1), F.lit("."), _label(host, 0))
+
+
 def _lexical(df: DataFrame) -> DataFrame:
     """Adds the features that need the URL alone, from __url, __host and __path."""
     url, host, path = F.col("__url"), F.col("__host"), F.col("__path")
@@ -92,20 +99,15 @@ def _lexical(df: DataFrame) -> DataFrame:
         F.length(query).cast("double").alias("query_length"),
         F.aggregate(F.transform(F.split(host, r"\."), F.length), F.lit(0), lambda a, x: F.greatest(a, x)).cast("double").alias("longest_label"),
         _label(host, 0).alias("__suffix"),
-        F.concat(_label(host, 1), F.lit("."), _label(host, 0)).alias("__site"),
+        _site(host).alias("__site"),
     )
 
 
-def _statistics(labelled: DataFrame, column: str, rules: UrlRules) -> DataFrame:
-    """Smoothed share of blocked URLs of the most frequent values; at most ``top_suffixes`` rows."""
-    own = labelled.groupBy(column).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("bad"))
-    return own.orderBy(F.desc("n"), column).limit(rules.top_suffixes)
-
-
 def _with_shares(df: DataFrame, tables: dict[str, DataFrame], prior: float, rules: UrlRules) -> DataFrame:
+    """Adds the smoothed shares of blocked URLs. Spark splits the rows of frequent values, or broadcasts small tables."""
     for column, name in (("__suffix", "suffix_share"), ("__site", "site_share")):
         share = (F.col("bad") + prior * rules.prior_weight) / (F.col("n") + rules.prior_weight)
-        df = df.join(F.broadcast(tables[column].select(column, share.alias(name))), column, "left").withColumn(name, F.coalesce(F.col(name), F.lit(prior)))
+        df = df.join(tables[column].select(column, share.alias(name)), column, "left").withColumn(name, F.coalesce(F.col(name), F.lit(prior)))
     return df
 
 
@@ -136,22 +138,25 @@ def train(labelled: DataFrame, url: str = "url", rules: UrlRules = UrlRules()) -
     from pyspark.ml.feature import VectorAssembler
 
     distinct = labelled.where(F.col(f"`{url}`").isNotNull() & F.col("label").isNotNull()).groupBy(F.col(f"`{url}`").alias("url")).agg(F.max("label").cast("double").alias("label"))
-    spark = labelled.sparkSession
-    rows = [r for k in (0.0, 1.0) for r in distinct.where(F.col("label") == k).orderBy(F.xxhash64("url"), "url").limit(rules.sample // 2).collect()]
-    sizes = [sum(r[1] == k for r in rows) for k in (0.0, 1.0)]
-    prior = sizes[1] / max(1, len(rows))
-    kind = T.StructType([T.StructField("url", T.StringType()), T.StructField("label", T.DoubleType())])
-    known = _lexical(_prepared(spark.createDataFrame(rows, kind).coalesce(2), "url")).cache()
-    tables = {}
-    for c in ("__suffix", "__site"):
-        found = _statistics(known, c, rules).collect()
-        tables[c] = spark.createDataFrame(found, f"{c} string, n long, bad double")
-    if not min(sizes):
-        known.unpersist()
+    sites = _prepared(distinct, "url").select("label", _label(F.col("__host"), 0).alias("__suffix"), _site(F.col("__host")).alias("__site"))
+    counts = materialize(sites.groupBy("__suffix", "__site").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("bad")), "sites")
+    tables = {c: materialize(counts.groupBy(c).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), c.strip("_")) for c in ("__suffix", "__site")}
+    n, bad = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0.0))).first()
+    prior = bad / max(1, n)
+    if not 0 < bad < n:
         return Model(None, tables, prior)
-    table = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(_with_shares(known, tables, prior, rules))
-    fitted = GBTClassifier(maxIter=rules.rounds, maxDepth=rules.depth, stepSize=rules.step, seed=7, minInstancesPerNode=5).fit(table.select("features", "label"))
-    known.unpersist()
+    spark = labelled.sparkSession
+    rows = []
+    for k, size in ((0.0, n - bad), (1.0, bad)):
+        own = distinct.where(F.col("label") == k).orderBy(F.xxhash64("url"), "url").limit(rules.sample // 2).collect()
+        rows += [(r[0], r[1], size / len(own)) for r in own]
+    kind = T.StructType([T.StructField("url", T.StringType()), T.StructField("label", T.DoubleType()), T.StructField("weight", T.DoubleType())])
+    known = _with_shares(_lexical(_prepared(spark.createDataFrame(rows, kind), "url")), tables, prior, rules)
+    order = ("url", *FEATURES, "label", "weight")
+    known = spark.createDataFrame(sorted(known.select(*order).collect(), key=lambda r: r[0]), T.StructType([T.StructField(c, T.StringType() if c == "url" else T.DoubleType()) for c in order]))
+    table = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(known.coalesce(2)).select("features", "label", "weight").cache()
+    fitted = GBTClassifier(maxIter=rules.rounds, maxDepth=rules.depth, stepSize=rules.step, seed=7, minInstancesPerNode=5, weightCol="weight").fit(table)
+    table.unpersist()
     margin = F.lit(0.0)
     for tree, weight in zip(fitted.trees, fitted.treeWeights, strict=True):
         margin = margin + float(weight) * _tree(tree._java_obj.rootNode())

@@ -340,3 +340,31 @@ def test_urls(spark):
     bare = url_filter.train(train.where("label = 0"))
     assert url_filter.judge(pages, bare, ()).where("verdict <> 'allow'").count() == 0
     assert url_filter.judge(pages.where("page_id < 0"), bare, URL_RULES).count() == 0
+
+
+def test_url_shares_of_all_labels(spark):
+    """Shares, prior and weights come from all labelled URLs, whatever the sample."""
+    rng = random.Random(8)
+    rows = [(f"http://h.site{k % 1500}.s{k % 1200}/{k}", int(k % 25 == 0)) for k in range(6000)]
+    rows += rows[:50] + [(None, 1), ("http://none.org/", None)]
+    train = spark.createDataFrame(rng.sample(rows, len(rows)), "url string, label int")
+    model = url_filter.train(train, rules=url_filter.UrlRules(sample=200, rounds=2))
+    assert model.prior == 240 / 6000
+    expected = Counter(f"s{k % 1200}" for k in range(6000))
+    assert {r[0]: r.n for r in model.tables["__suffix"].collect()} == expected
+    sites, bad = Counter(), Counter()
+    for u, y in set(rows[:6000]):
+        site = ".".join(u.split("/")[2].split(".")[1:])
+        sites[site] += 1
+        bad[site] += y
+    assert {r[0]: (r.n, r.bad) for r in model.tables["__site"].collect()} == {s: (n, bad[s]) for s, n in sites.items()}
+
+
+def test_url_sample_is_weighted(spark):
+    """URLs that look alike are judged by the real share of their label, not by that of the balanced sample."""
+    rows = [(f"http://one.org/{k:05d}", int(k % 10 == 0)) for k in range(3000)]
+    pages = spark.createDataFrame(rows, "url string, label int")
+    model = url_filter.train(pages, rules=url_filter.UrlRules(sample=400))
+    out = url_filter.judge(pages, model, ())
+    assert out.where("verdict <> 'allow'").count() <= 300  # the blocked URLs' real share; half of them by the balanced sample
+    assert abs(out.agg(F.avg("block_score")).first()[0] - 0.1) < 0.06
