@@ -278,7 +278,8 @@ def _met_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) that link, by the exact intersection. nodes: (node, doc_id of one such document)."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("doc_id").distinct()
+    members_of = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = members_of.join(nodes, "node").select("doc_id").distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, bytes]] = []
@@ -294,6 +295,8 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], pa.int64()), pa.array([s for _, s in held], pa.binary())], names=["node", "members"])
 
     texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").select("text")
+    nameless = named_sets(docs.where("doc_id IS NULL").select("text")).select(F.col("__node").alias("node"), "text")  # found by their sets
+    texts = texts.unionAll(nameless.join(members_of, "node", "left_semi").dropDuplicates(["node"]).select("text"))
     members = texts.mapInArrow(sets, "node long, members binary")
     members = materialize(members, "members")  # a set may come more than once; links are made distinct below
 

@@ -53,3 +53,14 @@ def test_keep_one(docs, texts):
 
 def test_nothing(no_docs):
     assert ngram_join.join_components(no_docs).count() == 0 and ngram_join.keep_one(no_docs).count() == 0
+
+
+def test_sets_of_null_ids_only(spark):
+    """A near copy that only a row without id holds gets its group's id, and links the two sides that don't link themselves."""
+    words = [f"w{k}" for k in range(60)]
+    edited = [" ".join(["x" if k in at else w for k, w in enumerate(words)]) for at in ((), (20,), (20, 45))]
+    texts = [(5, edited[0]), (None, edited[1]), (None, edited[1]), (6, edited[2]), (7, "quite another text of seven words"), (None, "text of a null id that is alone")]
+    assert 75 * len(shingles(edited[0]) | shingles(edited[2])) > 100 * len(shingles(edited[0]) & shingles(edited[2]))
+    d = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = Counter(tuple(r) for r in ngram_join.join_components(d).collect())
+    assert got == brute(texts) and {i: c for i, _, c in got if i} == {5: 5, 6: 5, 7: 7}
