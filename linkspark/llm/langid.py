@@ -5,8 +5,9 @@ trigrams predicts each bit. Decoding takes the language whose codeword has
 the least logistic loss over all bits, and flags the text as ambiguous when
 the runner-up is close.
 
-Training uses a bounded sample (``per_language`` texts of at most
-``max_chars`` code points); prediction covers every whole text.
+Training uses a bounded sample of every language (``per_language`` texts, of
+long ones the first ``max_chars`` code points); prediction covers every whole
+text.
 
 Defined results: null texts and texts without a letter are ``und`` with
 score 0; without training rows every text is ``und``; with one language all
@@ -135,8 +136,9 @@ def predict(raw: np.ndarray, at: np.ndarray, model: Model | None, ambiguous: flo
 
 def train_model(docs: DataFrame, rules: LangRules = LangRules()) -> Model | None:
     """From texts with a language outside the held-out fold."""
-    ids = sample_ids(docs.select("doc_id", "lang").where(F.col("text").isNotNull()), "lang", rules.per_language)
-    return fit(training_texts(docs, ids, "lang", rules.max_chars), rules)
+    ids = sample_ids(docs.where(F.length("text") > 0).select("doc_id", "lang"), "lang", rules.per_language)
+    pieces = docs.select("doc_id", F.left("text", F.lit(rules.max_chars)).alias("text"))
+    return fit(training_texts(pieces, ids, "lang", rules.max_chars), rules)
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text", rules: LangRules = LangRules()) -> DataFrame:

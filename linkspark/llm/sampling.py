@@ -11,20 +11,18 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def sample_ids(labels: DataFrame, label: str, per_class: int, most_classes: int = 500) -> DataFrame:
+def sample_ids(labels: DataFrame, label: str, per_class: int) -> DataFrame:
     """At most ``per_class`` training ids of each label value, those with the least hash of the id.
 
-    ``labels`` has doc_id and the label; an id with several labels takes the largest. Classes beyond the
-    ``most_classes`` most frequent are not learned. A threshold on the hash thins out each class where it lies.
+    ``labels`` has doc_id and the label; an id with several labels takes the largest. Every class is
+    learned. A threshold on the hash thins out each class where it lies; the classes' counts are broadcast.
     """
     one = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max(label).alias(label))
-    counts = one.groupBy(label).count().orderBy(F.desc("count"), label).limit(most_classes).collect()
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    wanted = F.lit(False)
-    for value, n in counts:
-        wanted = wanted | ((F.col(label) == value) & (place < int(min(1.0, 1.5 * per_class / n + 0.001) * (1 << 20))))
+    counts = one.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)
+    wanted = one.join(F.broadcast(counts), label).where(place < F.lit(1.5 * per_class) / F.col("__n") + 0.001)
     found: dict[object, list[tuple[int, object]]] = {}
-    for doc_id, value, key in one.where(wanted).select("doc_id", label, F.xxhash64("doc_id")).collect():
+    for doc_id, value, key in wanted.select("doc_id", label, F.xxhash64("doc_id")).collect():
         found.setdefault(value, []).append((key, doc_id))
     rows = [(d, value) for value, own in found.items() for _, d in sorted(own)[:per_class]]
     return labels.sparkSession.createDataFrame(rows, one.schema)

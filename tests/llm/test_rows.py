@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkspark.llm import bytescan as B
-from linkspark.llm import crf, decontaminate, langid, packing, quality, secrets, sharding, token_binary, tokens, toxicity, url_filter
+from linkspark.llm import crf, decontaminate, langid, packing, quality, sampling, secrets, sharding, token_binary, tokens, toxicity, url_filter
 from linkspark.llm.queries import URL_RULES, tokenizer_file
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
@@ -180,6 +180,17 @@ def test_language(spark, no_docs):
         assert min((code[a] != code[b]).sum() for a in range(n) for b in range(a)) >= (1 if n == 2 else 2)
 
 
+def test_every_language_is_learned(spark):
+    labels = spark.createDataFrame([(k, f"l{k % 600}") for k in range(6000)], "doc_id long, lang string")
+    ids = sampling.sample_ids(labels, "lang", 10).collect()  # as many as each has
+    assert {(r.doc_id, r.lang) for r in ids} == {(k, f"l{k % 600}") for k in range(6000) if zlib.crc32(str(k).encode()) % 5}
+    long = [(k, ("der und die nicht ich " if k % 2 else "the and of with that ") * (600 if k % 2 else 6), "de" if k % 2 else "en") for k in range(60)]
+    d = spark.createDataFrame(long, "doc_id long, text string, lang string")
+    model = langid.train_model(d)  # all texts of one language are longer than max_chars
+    assert model.languages == ["de", "en"]
+    assert langid.identify(d, model).where("lang_pred <> lang").count() == 0
+
+
 def test_tiling(spark, docs, no_docs):
     rng = random.Random(4)
     item = [f"w{k}" for k in range(40)]
