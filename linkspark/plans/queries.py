@@ -326,7 +326,7 @@ def page_languages(spark, sf_dir):
 @query()
 def entity_embeddings(spark, sf_dir):
     found = terms.entity_mentions(linked_texts(spark, sf_dir))
-    out = embeddings.entity_embeddings(found, dimensions=16, min_word_count=20, min_entity_count=5)
+    out = embeddings.entity_embeddings(found, min_word_count=20, min_entity_count=5)
     return out.select("_id", F.size("embedding").alias("dimensions"))
 
 

@@ -120,3 +120,24 @@ def test_embeddings(spark):
     got = {r[0]: r[1] for r in out.collect()}
     assert set(got) == {w + "A", "a", "c"} and all(abs(math.fsum(x * x for x in v) - 1) < 1e-6 for v in got.values())
     assert {r[0] for r in embeddings.entity_embeddings(m, dimensions=4, min_word_count=12, min_entity_count=5, exclude_words=True, partitions=1).collect()} == {w + "A"}
+
+
+def test_embeddings_query_has_production_dimensions(spark):
+    from linkspark.plans import queries
+
+    docs = spark.createDataFrame([(k, "some words, erst and more words, thion here.") for k in range(60)], "doc_id long, text string")
+    out = queries.entity_embeddings(_Tables(spark, docs), "any").collect()
+    assert out and {r.dimensions for r in out} == {100}
+
+
+class _Tables:
+    """A session whose tables are all one."""
+
+    def __init__(self, spark, df):
+        self.spark, self.df, self.read = spark, df, self
+
+    def parquet(self, *_):
+        return self.df
+
+    def __getattr__(self, name):
+        return getattr(self.spark, name)
