@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from linkspark.functions.text import let, strip
+from linkspark.functions.text import let, running_sums, strip
 
 WIKI_PREFIX = "en.wikipedia.org/wiki/"
 # Fixed value: an anchor, its target and its text. (?d): only \n ends a line.
@@ -23,18 +23,24 @@ def link_structs(content: Column, normalise=None) -> Column:
     What lies between anchors and the anchors' texts alternate, so a link starts after all gaps
     up to it and all texts before it.
     """
-    found = F.struct(
-        F.transform(F.split(content, ANCHOR, -1), F.length).alias("gaps"),
-        F.transform(F.regexp_extract_all(content, F.lit(ANCHOR), F.lit(2)), F.length).alias("names"),
-        F.regexp_extract_all(content, F.lit(ANCHOR), F.lit(1)).alias("targets"),
+    gaps = F.transform(F.split(content, ANCHOR, -1), F.length)
+    names = F.transform(F.regexp_extract_all(content, F.lit(ANCHOR), F.lit(2)), F.length)
+    parts = let(gaps, lambda g: let(names, lambda n: F.transform(n, lambda size, i: F.struct(F.get(g, i).alias("gap"), size.alias("size")))))
+    found = let(
+        parts,
+        lambda p: F.struct(
+            p.alias("parts"),
+            running_sums(F.transform(p, lambda x: x["gap"] + x["size"])).alias("since"),
+            F.regexp_extract_all(content, F.lit(ANCHOR), F.lit(1)).alias("targets"),
+        ),
     )
-    total = lambda array, n: F.aggregate(F.slice(array, 1, n), F.lit(0), lambda a, x: a + x)
 
     def of(f: Column) -> Column:
         def one(target: Column, i: Column) -> Column:
-            start = total(f["gaps"], i + 1) + total(f["names"], i)
+            part = F.get(f["parts"], i)
+            start = F.get(f["since"], i) + part["gap"]
             shown = normalise(target) if normalise else target
-            return F.struct(shown.alias("target"), start.alias("start"), (start + F.get(f["names"], i)).alias("stop"))
+            return F.struct(shown.alias("target"), start.alias("start"), (start + part["size"]).alias("stop"))
 
         return F.transform(f["targets"], one)
 

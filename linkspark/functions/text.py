@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 TOKEN = r"[\p{L}\p{N}]+"
 
 # Where a sentence may end, and the guards before it.
-_GUARDS = r"(?<!\s[a-z]\.)(?<!\w\.\w.)(?<![A-Z][a-z]\.)(?<![Ii]nc\.)(?<![Pp]ty\.)(?<![Ll]td\.)(?<=[.?!])"
+_GUARDS = r"(?<!\s[a-z]\.)(?<!\w\.\w.)(?<![A-Z][a-z]\.)(?<!([Ii]nc|[Pp]ty|[Ll]td)\.)(?<=[.?!])"
 SENTENCE_BREAK = _GUARDS + r"\s|\s*\n\s*"
 _BREAK = re.compile(SENTENCE_BREAK, re.ASCII)
 
@@ -26,6 +26,23 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def running_sums(numbers: Column, bits: int = 7) -> Column:
+    """For each number the sum of those before it. In blocks of 2 ** bits, so that long arrays take little more than linear time."""
+    total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
+
+    def of(a: Column) -> Column:
+        whole = F.sequence(F.lit(0), F.shiftright(F.size(a), bits))
+        blocks = F.transform(whole, lambda k: total(F.slice(a, F.shiftleft(k, bits) + 1, 1 << bits)))
+
+        def placed(b: Column) -> Column:
+            before = F.transform(b, lambda _, k: total(F.slice(b, F.lit(1), k)))
+            return let(before, lambda c: F.transform(a, lambda _, i: F.get(c, F.shiftright(i, bits)) + total(F.slice(a, F.shiftleft(F.shiftright(i, bits), bits) + 1, i.bitwiseAND((1 << bits) - 1)))))
+
+        return let(blocks, placed)
+
+    return let(numbers, of)
+
+
 def grams_of(toks: Column, max_n: int = 1, min_n: int = 1) -> Column:
     """All n-grams of an array of tokens, joined by spaces, for n from min_n to max_n."""
     if max_n == min_n == 1:

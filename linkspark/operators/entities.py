@@ -9,12 +9,14 @@ from linkspark.functions import text as X
 from linkspark.operators.ranking import ranked
 
 
-def _links(docs: DataFrame) -> DataFrame:
-    return docs.select("_id", "text", F.explode("links").alias("link"))
+def _anchors(docs: DataFrame) -> DataFrame:
+    """(anchor, target) of all links. Anchors are cut from the text first, so that no row has a copy of it."""
+    cut = F.transform("links", lambda link: F.struct(F.substring(F.col("text"), link["start"] + 1, link["stop"] - link["start"]).alias("anchor"), link["target"].alias("target")))
+    return docs.select(cut.alias("cut")).select(F.explode("cut").alias("c")).select("c.*")
 
 
-def _anchor(lowercase: bool) -> Column:
-    shown = X.strip(F.substring(F.col("text"), F.col("link.start") + 1, F.col("link.stop") - F.col("link.start")))
+def _shown(lowercase: bool) -> Column:
+    shown = X.strip(F.col("anchor"))
     return F.lower(shown) if lowercase else shown
 
 
@@ -34,14 +36,17 @@ def entity_counts(docs: DataFrame, min_count: int = 1, filter_target: str | None
 
 def entity_name_counts(docs: DataFrame, lowercase: bool = False, filter_target: str | None = None) -> DataFrame:
     """(_id: anchor text, counts by target, total)."""
-    named = _links(docs).select(_anchor(lowercase).alias("_id"), X.trim_link(F.col("link.target")).alias("target")).where("_id <> '' AND target <> ''")
+    named = _anchors(docs).select(_shown(lowercase).alias("_id"), X.trim_link(F.col("target")).alias("target")).where("_id <> '' AND target <> ''")
     each = _prefixed(named, "target", filter_target).groupBy("_id", "target").count()
     return each.groupBy("_id").agg(_counts_map("target", "count").alias("counts"), F.sum("count").alias("total"))
 
 
-def name_part_counts(docs: DataFrame, max_ngram: int = 2, lowercase: bool = False) -> DataFrame:
-    """(_id: n-gram, counts of its places): B, E, I begin, end and lie inside anchors; O is its count in all texts, above one."""
-    anchors = _links(docs).select(X.tokens(_anchor(lowercase)).alias("toks"))
+def name_part_counts(docs: DataFrame, max_ngram: int = 2, lowercase: bool = False, most_names: int = 500_000) -> DataFrame:
+    """(_id: n-gram, counts of its places): B, E, I begin, end and lie inside anchors; O is its count in all texts, above one.
+
+    Up to ``most_names`` n-grams of anchors are sent to all tasks, which then count no others; more are joined with the counts of all.
+    """
+    anchors = _anchors(docs).select(X.tokens(_shown(lowercase)).alias("toks"))
     parts = []
     for n in range(1, max_ngram + 1):
         grams = X.grams_of(F.col("toks"), n, n)
@@ -51,7 +56,11 @@ def name_part_counts(docs: DataFrame, max_ngram: int = 2, lowercase: bool = Fals
         parts.append(F.when(last >= 2, F.transform(F.slice(grams, 2, last - 1), lambda g: place(g, "I"))))
     none = F.array().cast("array<struct<_id:string,kind:string>>")
     inside = anchors.select(F.explode(F.concat(*(F.coalesce(p, none) for p in parts))).alias("p")).groupBy("p._id", "p.kind").count()
-    outside = docs.select(F.explode(X.ngrams(F.col("text"), max_ngram)).alias("_id")).groupBy("_id").count().where("count > 1")
+    grams = docs.select(F.explode(X.ngrams(F.col("text"), max_ngram)).alias("_id"))
+    names = inside.select("_id").distinct()
+    if names.limit(most_names + 1).count() <= most_names:
+        grams = grams.join(F.broadcast(names), "_id", "left_semi")
+    outside = grams.groupBy("_id").count().where("count > 1")
     known = inside.groupBy("_id").agg(F.collect_list(F.struct("kind", "count")).alias("parts"))  # three entries at most
     own = F.array(F.struct(F.lit("O").alias("kind"), F.col("count")))
     return known.join(outside, "_id").select("_id", F.map_from_entries(F.array_sort(F.concat("parts", own))).alias("counts"))
@@ -63,6 +72,16 @@ def entity_inlinks(docs: DataFrame) -> DataFrame:
     return raw.select(X.trim_link(F.col("target")).alias("target"), "_id").groupBy(F.col("target").alias("_id")).agg(F.array_sort(F.collect_list("_id")).alias("inlinks"))
 
 
+def entity_inlink_pairs(docs: DataFrame) -> DataFrame:
+    """(_id: target, source): ``entity_inlinks`` with a row for each source, ranged and sorted by both.
+
+    For targets with more sources than a row can hold; a frequent target's rows go to several tasks.
+    """
+    raw = docs.select("_id", F.explode(F.array_distinct(F.transform("links", lambda link: link["target"]))).alias("target"))
+    pairs = raw.select(X.trim_link(F.col("target")).alias("_id"), F.col("_id").alias("source"))
+    return pairs.repartitionByRange("_id", "source").sortWithinPartitions("_id", "source")
+
+
 def entity_vocab(docs: DataFrame, min_rank: int | None = 0, max_rank: int | None = 10_000, min_count: int = 1, filter_target: str | None = None) -> DataFrame:
     """(_id, count, rank) of targets by descending count."""
     return ranked(entity_counts(docs, min_count, filter_target), min_rank, max_rank)

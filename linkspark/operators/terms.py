@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkspark import schemas
 from linkspark.functions import text as X
 from linkspark.operators.ranking import ranked
+from linkspark.storage import Scratch
+
+# Fixed value: how a whole sentence ends.
+SENTENCE_ENDS = frozenset(".!?\"'")
 
 
 def term_frequencies(docs: DataFrame, lowercase: bool = False, max_ngram: int = 1) -> DataFrame:
@@ -32,49 +42,87 @@ def term_idfs(docs: DataFrame, lowercase: bool = False, max_ngram: int = 1, min_
     return frequencies.join(F.broadcast(total)).select("_id", F.ln(F.col("__total") / F.col("count")).alias("idf"))
 
 
+def _context(spans: list[dict[str, int]], start: int, stop: int, left: int, right: int) -> tuple[int, int]:
+    """Where the sentences begin and end that a link lies in, with ``left`` before and ``right`` after them."""
+    first = max(bisect_right(spans, start, key=lambda s: s["start"]) - 1, 0)
+    last = max(bisect_left(spans, stop, key=lambda s: s["start"]) - 1, first)
+    return spans[max(first - left, 0)]["start"], spans[min(last + right, len(spans) - 1)]["stop"]
+
+
 def entity_mentions(docs: DataFrame, sentence_window: int = 1, lowercase: bool = False, normalize_url: bool = True, strict_sentences: bool = True) -> DataFrame:
-    """(_id: target, source, text: the sentences around the link, span inside it)."""
+    """(_id: target, source, text: the sentences around the link, span inside it).
+
+    One Arrow pass makes the rows: sentences are found once a document, and no link's row holds the document.
+    """
     left = sentence_window // 2
     right = sentence_window - left - 1
-    spans = docs.where(F.size("links") > 0).select("_id", "text", "links", X.sentence_spans(F.col("text")).alias("ss")).where(F.size("ss") > 0)
-    each = spans.select("_id", "text", "ss", F.explode("links").alias("link"))
-    start, stop = F.col("link.start"), F.col("link.stop")
-    first = F.size(F.filter("ss", lambda s: s["start"] <= start)) - 1
-    last = F.greatest(F.size(F.filter("ss", lambda s: s["start"] < stop)) - 1, first)
-    each = each.select(
-        "_id", "text", "link",
-        F.get("ss", F.greatest(first - left, F.lit(0)))["start"].alias("begin"),
-        F.get("ss", F.least(last + right, F.size("ss") - 1))["stop"].alias("end"),
-    )
-    context = F.substring(F.col("text"), F.col("begin") + 1, F.col("end") - F.col("begin"))
-    target = X.trim_link(F.col("link.target")) if normalize_url else F.col("link.target")
-    out = each.select(target.alias("_id"), F.col("_id").alias("source"), context.alias("text"), F.struct((start - F.col("begin")).cast("int").alias("start"), (stop - F.col("begin")).cast("int").alias("stop")).alias("span"))
-    out = out.where(~((F.col("span.start") == 0) & (F.col("span.stop") == F.length("text"))))
-    if strict_sentences:
-        bare = X.strip(F.col("text"))
-        out = out.where((bare != "") & ~F.startswith(bare, F.lit("*")) & F.right(bare, F.lit(1)).isin(*".!?\"'"))
-    return out.withColumn("text", F.lower("text")) if lowercase else out
-
-
-def index_mentions(mentions: DataFrame, vocab: DataFrame, oov: int | str = "last") -> DataFrame:
+    schema = "_id string, source string, text string, start int, stop int"
+
+    def found(source: str, text: str, links: list[dict]) -> Iterator[tuple]:
+        spans = X.spans_of(text)
+        if not spans:
+            return
+        for link in links:
+            begin, end = _context(spans, link["start"], link["stop"], left, right)
+            context, start, stop = text[begin:end], link["start"] - begin, link["stop"] - begin
+            if start == 0 and stop == len(context):
+                continue
+            bare = context.strip()
+            if not strict_sentences or bare and not bare.startswith("*") and bare[-1] in SENTENCE_ENDS:
+                yield link["target"], source, context, start, stop
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["_id", "source", "text", "start", "stop"]
+        kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32()]
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                rows = [r for d in batch.slice(at, 256).to_pylist() for r in found(d["_id"], d["text"], d["links"])]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    each = docs.where((F.size("links") > 0) & F.col("text").isNotNull()).select("_id", "text", "links").mapInArrow(run, schema)
+    target = X.trim_link(F.col("_id")) if normalize_url else F.col("_id")
+    text = F.lower("text") if lowercase else F.col("text")
+    return each.select(target.alias("_id"), "source", text.alias("text"), F.struct("start", "stop").alias("span"))
+
+
+def _ranks_of(tokens: pa.ListArray, ranks: dict[str, int], unknown: int) -> pa.ListArray:
+    flat = tokens.flatten()
+    found = np.fromiter((ranks.get(t, unknown) for t in flat.to_pylist()), np.int64, len(flat))
+    ends = np.concatenate([[0], np.cumsum(tokens.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(found))
+
+
+def index_mentions(mentions: DataFrame, vocab: DataFrame, oov: int | str = "last", most_broadcast: int = 1_000_000) -> DataFrame:
     """(_id, source, sequence of vocabulary ranks, span in tokens). Unknown tokens get ``oov``; "last": the vocabulary's size less one.
 
-    The parts before, inside and after the link are tokenised apart. Tokens are ranked once for
-    each different one, so a frequent token is no hot key of a join with all its occurrences.
+    The parts before, inside and after the link are tokenised apart. A vocabulary of up to
+    ``most_broadcast`` terms is sent to all tasks, which look tokens up without a shuffle. A larger
+    one is joined with the different tokens of each mention; Spark splits the rows of a frequent token.
     """
     cut = lambda a, b: F.substring(F.col("text"), a + 1, b - a)
     start, stop = F.col("span.start"), F.col("span.stop")
     pre, mid = X.tokens(cut(F.lit(0), start)), X.tokens(cut(start, stop))
-    toks = mentions.select("_id", "source", F.monotonically_increasing_id().alias("__row"), pre.alias("pre"), mid.alias("mid"), X.tokens(F.substring(F.col("text"), stop + 1, 1 << 30)).alias("post"))
-    span = F.struct(F.size("pre").alias("start"), (F.size("pre") + F.size("mid")).alias("stop"))
-    toks = toks.select("_id", "source", "__row", span.alias("span"), F.concat("pre", "mid", "post").alias("toks"))
-    unknown = F.broadcast(vocab.agg((F.count(F.lit(1)) - 1).alias("__oov"))) if oov == "last" else None
-    ranks = vocab.select(F.col("_id").alias("token"), "rank")
-    each = toks.select("_id", "source", "__row", "span", F.posexplode_outer("toks").alias("pos", "token")).join(ranks, "token", "left")
-    each = each.join(unknown) if unknown is not None else each.withColumn("__oov", F.lit(int(oov)).cast("bigint"))
-    entry = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("rank", "__oov").alias("rank")))
-    grouped = each.groupBy("__row", "_id", "source", "span").agg(F.array_sort(F.collect_list(entry)).alias("s"))
-    return grouped.select("_id", "source", F.transform("s", lambda e: e["rank"]).alias("sequence"), "span")
+    toks = mentions.select("_id", "source", pre.alias("pre"), mid.alias("mid"), X.tokens(F.substring(F.col("text"), stop + 1, 1 << 30)).alias("post"))
+    span = F.struct(F.size("pre").alias("start"), (F.size("pre") + F.size("mid")).alias("stop")).alias("span")
+    toks = toks.select("_id", "source", F.concat("pre", "mid", "post").alias("toks"), span)
+    entries = vocab.select("_id", "rank").limit(most_broadcast + 1).toArrow()
+    if entries.num_rows <= most_broadcast:
+        ranks = dict(zip(entries.column(0).to_pylist(), entries.column(1).to_pylist(), strict=True))
+        unknown = entries.num_rows - 1 if oov == "last" else int(oov)
+        shared = mentions.sparkSession.sparkContext.broadcast(ranks)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _ranks_of(batch.column(2), shared.value, unknown), batch.column(3)], names=["_id", "source", "sequence", "span"])
+
+        return toks.mapInArrow(run, schemas.INDEXED_MENTIONS)
+    unknown = F.lit(vocab.count() - 1 if oov == "last" else int(oov)).cast("bigint")
+    rows = Scratch(mentions.sparkSession, "mentions").put(toks.withColumn("row", F.monotonically_increasing_id()), "tokens")
+    each = rows.select("row", F.explode(F.array_distinct("toks")).alias("token")).join(vocab.select(F.col("_id").alias("token"), "rank"), "token")
+    known = each.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("token", "rank"))).alias("known"))
+    sequence = F.transform("toks", lambda t: F.coalesce(F.try_element_at("known", t), unknown))
+    return rows.join(known, "row", "left").select("_id", "source", sequence.alias("sequence"), "span")
 
 
 def entity_term_weights(mentions: DataFrame, idfs: DataFrame, max_ngram: int = 1, normalize: bool = True) -> DataFrame:

@@ -22,9 +22,9 @@ def wiki_articles(pages: DataFrame, redirects: DataFrame | None = None, keep_unl
     return docs if redirects is None else relink(docs, redirects, keep_unlinked)
 
 
-def web_articles(pages: DataFrame) -> DataFrame:
-    """Documents of web pages: main content, anchors kept."""
-    found = pages.select("_id", html.article_markup(F.col("content")).alias("__markup")).where(F.col("__markup").isNotNull())
+def web_articles(pages: DataFrame, most_chars: int | None = html.MOST_CHARS) -> DataFrame:
+    """Documents of web pages: main content, anchors kept. Pages whose content has ``most_chars`` or more go; None keeps all."""
+    found = pages.select("_id", html.article_markup(F.col("content"), most_chars).alias("__markup")).where(F.col("__markup").isNotNull())
     return linked(found, "__markup")
 
 

@@ -1,9 +1,11 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from linkspark import schemas
+from linkspark.functions import text as X
 from linkspark.operators import embeddings, entities, redirects, relations, terms
 from linkspark.operators.ranking import ranked
 
@@ -33,12 +35,14 @@ def test_counts(docs):
 
 def test_parts(docs):
     parts = {r[0]: r[1] for r in entities.name_part_counts(docs).collect()}
+    assert parts == {r[0]: r[1] for r in entities.name_part_counts(docs, most_names=1).collect()}
     assert parts == {"Ann": {"B": 4, "E": 2, "O": 4}, "Lee": {"E": 2, "O": 2}, "Ann Lee": {"B": 2, "E": 2, "O": 2}}
 
 
 def test_inlinks_and_comentions(docs):
     inlinks = {r[0]: r[1] for r in entities.entity_inlinks(docs).collect()}
     assert inlinks["h/a"] == ["d1", "d1", "d2", "d3"] and inlinks["h/b"] == ["d1"]
+    assert rows(entities.entity_inlink_pairs(docs)) == sorted((t, s) for t, found in inlinks.items() for s in found)
     assert rows(entities.entity_comentions(docs)) == [("d1", ["h/a", "h/b"]), ("d2", ["h/a", ""]), ("d3", ["h/a"])]
     vocab = entities.entity_vocab(docs, min_count=0)
     assert rows(vocab) == [("", 1, 1), ("h/a", 4, 0), ("h/b", 1, 2)]
@@ -72,6 +76,42 @@ def test_index_mentions(spark, docs):
     vocab = spark.createDataFrame([("Ann", 3, 0), ("met", 2, 1), ("left", 2, 2)], schemas.VOCAB)
     out = rows(terms.index_mentions(terms.entity_mentions(docs), vocab).select("_id", "sequence", "span.start", "span.stop"))
     assert out == [("h/a", [0, 2, 1, 2], 0, 2), ("h/a", [2, 0, 2], 1, 2), ("h/b", [0, 2, 1, 2], 3, 4)]
+    for oov in ("last", 9):
+        few, many = (rows(terms.index_mentions(terms.entity_mentions(docs), vocab, oov, most_broadcast=n).select("_id", "source", "sequence", "span.start", "span.stop")) for n in (100, 1))
+        assert few == many
+
+
+def plain_mentions(d, window, strict):
+    """Sentences around a link, looked for one by one."""
+    left = window // 2
+    right = window - left - 1
+    spans = X.spans_of(d["text"])
+    for target, start, stop in d["links"]:
+        own = [k for k, s in enumerate(spans) if s["start"] < stop and (s["start"] >= start or k + 1 == len(spans) or spans[k + 1]["start"] > start)]
+        if not own:
+            continue
+        begin, end = spans[max(own[0] - left, 0)]["start"], spans[min(own[-1] + right, len(spans) - 1)]["stop"]
+        text = d["text"][begin:end]
+        if (start - begin, stop - begin) == (0, len(text)):
+            continue
+        bare = text.strip()
+        if not strict or bare and bare[0] != "*" and bare[-1] in ".!?\"'":
+            yield target, d["_id"], text, start - begin, stop - begin
+
+
+def test_mentions_like_plain_python(spark):
+    rng = random.Random(4)
+    given = []
+    for k in range(60):
+        text = "".join(rng.choice(["Ab", "cd", "e", " ", ". ", "! ", "\n", "* ", "é𝄞", "Inc. ", "?\" "]) for _ in range(rng.randint(0, 50)))
+        at = sorted(rng.sample(range(len(text) + 1), min(len(text) + 1, 2 * rng.randint(0, 4))))
+        given.append((f"d{k}", text, [(f"t{a}", a, b) for a, b in zip(at[::2], at[1::2])]))
+    given.append(("none", None, [("t", 0, 1)]))
+    docs = spark.createDataFrame(given, schemas.DOCUMENTS).repartition(3)
+    for window in (1, 2, 3, 5):
+        for strict in (True, False):
+            got = rows(terms.entity_mentions(docs, sentence_window=window, strict_sentences=strict).select("_id", "source", "text", "span.start", "span.stop"))
+            assert got == sorted(m for i, t, ln in given if t is not None for m in plain_mentions({"_id": i, "text": t, "links": ln}, window, strict))
 
 
 def test_weights(spark, docs):
