@@ -10,6 +10,10 @@ from linkspark.functions.language import guess_language
 from linkspark.functions.links import WIKI_PREFIX
 
 
+# Fixed value: the end of each page in a dump.
+PAGE_END = "\n  </page>\n"
+
+
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
@@ -28,9 +32,15 @@ def vectors(spark: SparkSession, rows) -> DataFrame:
 
 
 def wiki_dump(spark: SparkSession, path: str) -> DataFrame:
-    """Pages of an encyclopedia XML dump: _id, pid, namespace, redirect, content (null for redirects and empty pages)."""
+    """Pages of an encyclopedia XML dump: _id, pid, namespace, redirect, content (null for redirects and empty pages).
+
+    Pages are records of text, so a dump of one file is read by many tasks; what stands outside of pages is left out.
+    """
     schema = "title string, ns string, id bigint, redirect struct<_title:string>, revision struct<text:string>"
-    raw = spark.read.format("xml").option("rowTag", "page").option("ignoreSurroundingSpaces", "false").schema(schema).load(path)
+    begin = F.instr("value", "<page>")
+    page = F.concat(F.substring(F.col("value"), begin, F.length("value")), F.lit("</page>"))
+    records = spark.read.option("lineSep", PAGE_END).text(path).where(begin > 0)
+    raw = records.select(F.from_xml(page, schema, {"rowTag": "page", "ignoreSurroundingSpaces": "false"}).alias("p")).select("p.*")
     uri = F.concat(F.lit(WIKI_PREFIX), F.translate("title", " ", "_"))
     text = F.col("revision.text")
     content = F.when(F.col("redirect._title").isNull() & (text != ""), text)

@@ -3,6 +3,8 @@ import gzip
 import json
 import pickle
 
+import pytest
+
 from linkspark import cli, schemas
 from linkspark.plans import corpora
 from linkspark.sources import readers, writers
@@ -83,6 +85,75 @@ def test_cli(spark, tmp_path):
     assert [r[0] for r in cli.build(spark, args).collect()] == ["h/a\t2"]
 
 
+def test_cli_of_several_inputs(spark, tmp_path):
+    """Every builder runs from files, and one without its inputs says which it needs."""
+    at = {k: str(tmp_path / k) for k in ("docs", "vocab", "idfs", "redirects", "pages", "crawl", "kb")}
+    w = "en.wikipedia.org/wiki/"
+    docs = [(f"d{k}", "Ann met Bob here. Then Bob left.", [(w + "Ann", 0, 3), (w + "Bob#x", 8, 11)]) for k in range(12)]
+    writers.save_json(spark.createDataFrame(docs, schemas.DOCUMENTS), at["docs"])
+    writers.save_json(spark.createDataFrame([(w + "Ann", 9, 0), ("Bob", 8, 1)], schemas.VOCAB), at["vocab"])
+    writers.save_json(spark.createDataFrame([("Ann", 1.0), ("Bob", 0.5)], schemas.IDFS), at["idfs"])
+    writers.save_json(spark.createDataFrame([(w + "Ann", w + "Anna")], schemas.REDIRECTS), at["redirects"])
+    (tmp_path / "pages").write_text(XML)
+    (tmp_path / "crawl").write_bytes(b"WARC/1.0\r\nWARC-Target-URI: http://a\r\n\r\nHTTP/1.1 200 OK\r\n\r\n<p>A paragraph that is long enough to stay.</p>\r\n\r\n")
+    (tmp_path / "kb").write_text('[\n{"id":"Q1","labels":{"en":{"value":"one"}},"sitelinks":{"enwiki":{"title":"One"}},"claims":{"P1":[{"mainsnak":{"snaktype":"value","datatype":"string","datavalue":{"value":"v"}}}]}},\n{"id":"P1","labels":{"en":{"value":"is"}}}\n]\n')
+    at["from_redirects"] = at["redirects"]
+    expected = {
+        "mapped_comentions": 12, "index_mentions": 24, "entity_term_weights": 2, "wiki_corpus": 4, "wiki_redirects": 1, "wiki_articles": 1, "warc_corpus": 1, "web_articles": 1, "relations": 1,
+        "map_redirects": 2, "redirect_documents": 12, "entity_embeddings": 2, "entity_counts": 2, "entity_inlinks": 2, "entity_inlink_pairs": 24, "entity_vocab": 2, "entity_comentions": 12,
+        "term_frequencies": 6, "term_document_frequencies": 6, "term_vocab": 0, "term_idfs": 6, "entity_mentions": 24, "entity_name_counts": 2, "name_part_counts": 2,
+    }
+    assert set(expected) == set(cli.MODELS)
+    options = {"entity_embeddings": ["--option", "min_entity_count=13", "--option", "min_word_count=24", "--option", "dimensions=3"]}
+    for name, n in expected.items():
+        model = cli.MODELS[name]
+        given = [x for i in model.inputs for x in ("--input", f"{i}={at[i]}")]
+        args = cli.parser().parse_args([name, *given, *options.get(name, [])])
+        assert cli.build(spark, args).count() == n, name
+        if set(model.inputs) - set(model.may_lack):
+            with pytest.raises(SystemExit):
+                cli.build(spark, cli.parser().parse_args([name]))
+
+
+def test_loads(spark, tmp_path):
+    v = readers.vectors(spark, [("a", [1.0, 2.0]), ("b", [0.0])])
+    assert v.columns == ["_id", "embedding"] and sorted(map(tuple, v.collect())) == [("a", [1.0, 2.0]), ("b", [0.0])]
+    (tmp_path / "kb.json").write_text('[\n{"id":"Q1","labels":{"en":{"value":"one"}}},\n{"no":1},\nbroken\n]\n')
+    assert [(r.id, r.labels["en"].value) for r in readers.kb_dump(spark, str(tmp_path / "kb.json")).collect()] == [("Q1", "one")]
+
+
+def test_shared_folder(spark, tmp_path, monkeypatch):
+    """Intermediate tables lie in the cluster's folder; a cluster without one is refused; tables that are done are gone."""
+    from linkspark import storage
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError):
+        storage.shared_folder(Cluster)
+    Cluster.sparkContext.master = "local[4]"
+    assert storage.shared_folder(Cluster) == storage.shared_folder(Cluster)
+    Cluster.conf.get = staticmethod(lambda *a: "hdfs://host/shared/")
+    assert storage.shared_folder(Cluster) == "hdfs://host/shared"
+    monkeypatch.setattr(storage, "shared_folder", lambda _: f"file://{tmp_path}/shared")
+    scratch = storage.Scratch(spark, "t")
+    table = scratch.put(spark.range(3), "a")
+    assert table.count() == 3 and list((tmp_path / "shared").glob("t-*/a-0/*.parquet"))
+    scratch.drop(table)
+    assert not list((tmp_path / "shared").glob("t-*/a-0"))
+
+
+def test_messages_of_nested_values(spark):
+    df = spark.createDataFrame([("a", {"x": 1}, ("s", [1.5]), None)], "_id string, m map<string,int>, t struct<u:string,v:array<double>>, n string")
+    body = writers.redis_lines(df, "", "pickle").first()[0].split("\r\n")[-1]
+    assert pickle.loads(base64.b64decode(body)) == {"m": {"x": 1}, "t": {"u": "s", "v": [1.5]}, "n": None}
+    assert base64.b64decode(writers.redis_lines(df, "", "msgpack", "m").first()[0].split("\r\n")[-1]) == writers.pack_message('{"x":1}')
+
+
 def test_stream(spark, tmp_path):
     rows = [("d1", "Ann", [("h/a", 0, 3)]), ("d2", "Ann", [("h/a", 0, 3)])]
     writers.save_json(spark.createDataFrame(rows, schemas.DOCUMENTS), str(tmp_path / "docs"))
