@@ -16,6 +16,7 @@ from linkspark.operators import embeddings, entities, redirects, relations, term
 from linkspark.operators.ranking import ranked
 from linkspark.plans import corpora
 from linkspark.sources import readers, writers
+from linkspark.storage import Scratch
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -240,19 +241,53 @@ def kb_relations(spark, sf_dir):
     )
     kinds = [(f'{{"id":"P{n}","labels":{{"en":{{"value":"{v}"}}}}}},',) for n, v in ((1, "brand"), (2, "next"), (3, "made"), (4, "amount"))]
     lines = _table(spark, sf_dir, "part").select(body.alias("value")).unionAll(spark.createDataFrame([("[",), *kinds, ("]",)], "value string"))
-    items = readers.kb_lines(lines).select(F.from_json("value", readers.schemas.KB_ITEM).alias("i")).select("i.*")
-    return relations.relations(items).select("_id", F.explode("relations").alias("label", "value"))
+    dump = Scratch(spark, "kb").path("dump")
+    lines.write.text(dump)
+    return relations.relations(readers.kb_dump(spark, dump)).select("_id", F.explode("relations").alias("label", "value"))
 
 
-@query("SELECT url AS _id, html AS content FROM pages WHERE page_id % 5 <> 0")
-def warc_parse(spark, sf_dir):
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     crlf = "\r\n"
     status = F.when(F.col("page_id") % 5 == 0, "404 Not Found").otherwise("200 OK")
     record = F.concat(
         F.lit(f"WARC-Type: response{crlf}WARC-Target-URI: "), F.col("url"), F.lit(f"{crlf}Content-Type: application/http{crlf}{crlf}HTTP/1.1 "), status,
         F.lit(f"{crlf}Server: x{crlf}{crlf}"), F.col("html"), F.lit(crlf * 2),
     )
-    return _table(spark, sf_dir, "pages").select(readers.parse_warc(record).alias("p")).where("p IS NOT NULL").select("p.*")
+    return _table(spark, sf_dir, "pages").select(record.alias("value"))
+
+
+_CRAWL = "SELECT url AS _id, html AS content FROM pages WHERE page_id % 5 <> 0"
+
+
+@query(_CRAWL)
+def warc_parse(spark, sf_dir):
+    return _records(spark, sf_dir).select(readers.parse_warc(F.col("value")).alias("p")).where("p IS NOT NULL").select("p.*")
+
+
+@query(_CRAWL)
+def warc_files(spark, sf_dir):
+    """Through files of a crawl."""
+    crawl = Scratch(spark, "crawl").path("warc")
+    _records(spark, sf_dir).write.option("lineSep", "WARC/1.0\r\n").option("compression", "gzip").text(crawl)
+    return readers.warc_crawl(spark, crawl)
+
+
+@query(
+    """SELECT 'en.wikipedia.org/wiki/Doc_' || doc_id || '_x' AS _id, doc_id AS pid, CASE WHEN doc_id % 5 = 0 THEN '1' ELSE '0' END AS namespace,
+CASE WHEN doc_id % 7 = 0 THEN 'Doc ' || (doc_id + 1) END AS redirect, CASE WHEN doc_id % 7 <> 0 THEN text END AS content FROM documents"""
+)
+def wiki_files(spark, sf_dir):
+    """Through files of an encyclopedia's dump."""
+    name = F.concat(F.lit("Doc "), F.col("doc_id").cast("string"))
+    onward = F.concat(F.lit('<redirect title="Doc '), (F.col("doc_id") + 1).cast("string"), F.lit('" />'))
+    shown = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    page = F.concat(
+        F.lit("  <page>\n    <title>"), name, F.lit(" x</title>\n    <ns>"), F.when(F.col("doc_id") % 5 == 0, "1").otherwise("0"), F.lit("</ns>\n    <id>"), F.col("doc_id").cast("string"), F.lit("</id>\n    "),
+        F.when(F.col("doc_id") % 7 == 0, onward).otherwise(""), F.lit('<revision>\n      <text xml:space="preserve">'), shown, F.lit("</text>\n    </revision>\n  </page>"),
+    )
+    dump = Scratch(spark, "wiki").path("dump")
+    _table(spark, sf_dir, "documents").select(page.alias("value")).write.text(dump)
+    return readers.wiki_dump(spark, dump)
 
 
 _COUNTS = f"WITH {_LINKS}, c AS (SELECT target AS _id, count(*) AS count FROM k GROUP BY target HAVING count(*) > 1)"
@@ -273,38 +308,116 @@ def redis_format(spark, sf_dir):
     return writers.redis_lines(entity_counts(spark, sf_dir), "k:")
 
 
-@query("SELECT vec_id, (round(sqrt(list_sum([(x::DOUBLE) * x FOR x IN embedding])), 4) > 0)::INT AS nonzero, 1.0::DOUBLE AS norm, len(embedding) AS dimensions FROM embeddings")
+@query(_COUNTS + """, b AS (SELECT 'k:' || _id AS k, count::VARCHAR AS v FROM c) SELECT array_to_string(['*3', '$3', 'SET', '$' || strlen(k), k, '$' || strlen(v), v], chr(13) || chr(10)) AS value FROM b""")
+def redis_raw(spark, sf_dir):
+    return writers.redis_lines(entity_counts(spark, sf_dir), "k:", "raw", "count")
+
+
+# One entry, whose key "count" has five letters, and a whole number in its shortest form.
+@query(
+    _COUNTS
+    + """, b AS (SELECT 'k:' || _id AS k, to_base64(unhex('81A5636F756E74' || CASE WHEN count < 128 THEN printf('%02X', count) WHEN count < 256 THEN printf('CC%02X', count) WHEN count < 65536 THEN printf('CD%04X', count) ELSE printf('CE%08X', count) END)) AS v FROM c)
+SELECT array_to_string(['*3', '$3', 'SET', '$' || strlen(k), k, '$' || strlen(v), v], chr(13) || chr(10)) AS value FROM b"""
+)
+def redis_msgpack(spark, sf_dir):
+    return writers.redis_lines(entity_counts(spark, sf_dir), "k:", "msgpack")
+
+
+@query(f"WITH {_LINKS}, c AS (SELECT target AS _id, count(*) AS count FROM k GROUP BY target HAVING count(*) > 1) SELECT _id, count, row_number() OVER (ORDER BY count DESC, _id) - 1 AS rank FROM c")
+def vocab_files(spark, sf_dir):
+    """A vocabulary of all ranks, saved and loaded again."""
+    saved = Scratch(spark, "vocab").path("json")
+    writers.save_json(entities.entity_vocab(page_documents(spark, sf_dir), max_rank=None), saved)
+    return readers.vocab(spark, saved)
+
+
+@query(f"WITH {_REDIRECTS} SELECT DISTINCT _id, target FROM r")
+def redirect_files(spark, sf_dir):
+    saved = Scratch(spark, "redirects").path("json")
+    writers.save_json(_redirects(spark, sf_dir).distinct(), saved)
+    return readers.redirects(spark, saved)
+
+
+@query("WITH n AS (SELECT vec_id, embedding, sqrt(list_sum([(x::DOUBLE) * x FOR x IN embedding])) AS n FROM embeddings) SELECT vec_id, unnest(range(len(embedding)))::INT AS place, round(unnest(embedding)::DOUBLE / n, 6) AS value FROM n WHERE n > 0")
 def unit_embeddings(spark, sf_dir):
     v = embeddings.unit(F.transform("embedding", lambda x: x.cast("double")))
-    norm = F.round(F.sqrt(F.aggregate("u", F.lit(0.0), lambda a, x: a + x * x)), 6)
-    return _table(spark, sf_dir, "embeddings").select("vec_id", v.alias("u")).select("vec_id", F.col("u").isNotNull().cast("int").alias("nonzero"), norm.alias("norm"), F.size("u").cast("bigint").alias("dimensions"))
+    return _table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(v).alias("place", "value")).withColumn("value", F.round("value", 6))
 
 
 def linked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents whose words ``to`` to ``en`` in lower case of three letters and more, after a comma, are anchors."""
+    """Documents whose words of four letters and more after a comma are anchors."""
     marked = F.regexp_replace("text", r"(?<=, )(\p{L}{4,})", '<a href="en.wikipedia.org/wiki/$1#x">$1</a>')
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("_id"), marked.alias("content"))
     return corpora.linked(docs, "content")
 
 
-@query()
+# Sentences (_id, start, stop) of texts d (_id, text): words and the white space between them in turn. White space ends a
+# sentence at its first sign if the word before it ends one and no guard holds, and all of it does if it has a line break.
+_SENTENCES = r"""d AS (SELECT doc_id::VARCHAR AS _id, text FROM documents),
+tk AS (SELECT _id, unnest(regexp_extract_all(text, '[^ \x09-\x0D]+|[ \x09-\x0D]+')) AS p, unnest(range(len(regexp_extract_all(text, '[^ \x09-\x0D]+|[ \x09-\x0D]+')))) AS i FROM d),
+tp AS (SELECT *, (sum(length(p)) OVER (PARTITION BY _id ORDER BY i) - length(p))::BIGINT AS o, lag(p) OVER (PARTITION BY _id ORDER BY i) AS q FROM tk),
+ws AS (SELECT _id, o, p, coalesce(regexp_matches(q, '[.?!]$') AND NOT (i >= 2 AND regexp_full_match(q, '[a-z]\.')) AND NOT regexp_matches(q, '\w\.\w.$') AND NOT regexp_matches(q, '[A-Z][a-z]\.$') AND NOT regexp_matches(q, '([Ii]nc|[Pp]ty|[Ll]td)\.$'), false) AS ends FROM tp WHERE regexp_matches(p, '^[ \x09-\x0D]')),
+cuts AS (SELECT _id, o AS a, o + 1 AS b FROM ws WHERE ends UNION ALL SELECT _id, o + 1, o + length(p) FROM ws WHERE ends AND contains(substr(p, 2), chr(10)) UNION ALL SELECT _id, o, o + length(p) FROM ws WHERE NOT ends AND contains(p, chr(10))),
+gaps AS (SELECT _id, coalesce(lag(b) OVER (PARTITION BY _id ORDER BY a), 0) AS start, a AS stop FROM cuts UNION ALL SELECT d._id, coalesce(max(b), 0), any_value(length(text)) FROM d LEFT JOIN cuts USING (_id) GROUP BY d._id),
+s AS (SELECT _id, start::INT AS start, stop::INT AS stop FROM gaps WHERE start < stop)"""
+# Mentions m (_id, source, text, start, stop) of the links of linked_texts.
+_MENTIONS = _SENTENCES + r""",
+la AS (SELECT _id, text, regexp_extract_all(text, ', (\p{L}{4,})', 1) AS w, string_split_regex(text, ', \p{L}{4,}') AS g FROM d),
+lb AS (SELECT _id, text, unnest(range(len(w))) AS i, unnest(w) AS w, unnest(g[1:len(w)]) AS g FROM la),
+lc AS (SELECT _id, text, w, sum(length(g) + 2 + length(w)) OVER (PARTITION BY _id ORDER BY i) AS stop FROM lb),
+ld AS (SELECT _id, text, 'en.wikipedia.org/wiki/' || w AS target, (stop - length(w))::INT AS start, stop::INT AS stop FROM lc),
+le AS (SELECT ld.*, f.start AS begin FROM ld ASOF JOIN s f ON ld._id = f._id AND ld.start >= f.start),
+lf AS (SELECT le.*, e.stop AS fin FROM le ASOF JOIN s e ON le._id = e._id AND le.stop > e.start),
+lg AS (SELECT target AS _id, _id AS source, substr(text, begin + 1, fin - begin) AS text, start - begin AS start, stop - begin AS stop FROM lf),
+lh AS (SELECT *, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM lg),
+m AS (SELECT _id, source, text, start, stop FROM lh WHERE NOT (start = 0 AND stop = length(text)) AND bare <> '' AND NOT starts_with(bare, '*') AND right(bare, 1) IN ('.', '!', '?', '"', chr(39)))"""
+
+
+@query(f"WITH {_SENTENCES} SELECT * FROM s")
 def sentences(spark, sf_dir):
     return text_documents(spark, sf_dir).select("_id", F.explode(X.sentence_spans(F.col("text"))).alias("s")).select("_id", "s.*")
 
 
-@query()
+@query(f"WITH {_MENTIONS} SELECT * FROM m")
 def mentions(spark, sf_dir):
     return terms.entity_mentions(linked_texts(spark, sf_dir)).select("_id", "source", "text", "span.start", "span.stop")
 
 
-@query()
+_MENTION_TOKENS = f"t AS (SELECT *, regexp_extract_all(substr(text, 1, start), '{_TOK}') AS pre, regexp_extract_all(substr(text, start + 1, stop - start), '{_TOK}') AS mid, regexp_extract_all(substr(text, stop + 1), '{_TOK}') AS post FROM m)"
+
+
+@query(
+    f"""WITH {_MENTIONS}, {_MENTION_TOKENS}, n AS (SELECT row_number() OVER () AS r, *, pre || mid || post AS toks FROM t),
+vw AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_TOK}')) AS t FROM documents), vc AS (SELECT t, count(DISTINCT doc_id) AS n FROM vw GROUP BY t HAVING count(DISTINCT doc_id) > 2),
+v AS (SELECT t, rank FROM (SELECT t, row_number() OVER (ORDER BY n DESC, t) - 1 AS rank FROM vc) WHERE rank < 10000),
+e AS (SELECT r, unnest(toks) AS t, unnest(range(len(toks))) AS i FROM n), q AS (SELECT r, string_agg(coalesce(rank, (SELECT count(*) - 1 FROM v))::VARCHAR, ' ' ORDER BY i) AS sequence FROM e LEFT JOIN v USING (t) GROUP BY r)
+SELECT _id, source, sequence, len(pre)::INT AS start, (len(pre) + len(mid))::INT AS stop FROM n JOIN q USING (r)"""
+)
 def index_mentions(spark, sf_dir):
     vocab = terms.term_vocab(text_documents(spark, sf_dir), max_rank=10_000, min_rank=0)
     out = terms.index_mentions(terms.entity_mentions(linked_texts(spark, sf_dir)), vocab)
     return out.select("_id", "source", F.array_join(F.col("sequence").cast("array<string>"), " ").alias("sequence"), "span.start", "span.stop")
 
 
-@query()
+@query(
+    f"""WITH {_MENTIONS}, w AS (SELECT _id, unnest(regexp_extract_all(text, '{_TOK}')) AS t FROM m),
+i AS (SELECT t, ln((SELECT count(*) FROM d) / count(DISTINCT _id)) AS idf FROM (SELECT _id, unnest(regexp_extract_all(text, '{_TOK}')) AS t FROM d) GROUP BY t HAVING count(DISTINCT _id) > 2),
+c AS (SELECT _id, t AS term, count(*) AS n FROM w GROUP BY ALL), v AS (SELECT _id, term, sqrt(n) * idf AS v FROM c JOIN i ON term = t)
+SELECT _id, term, round(v / nullif(sqrt(sum(v * v) OVER (PARTITION BY _id)), 0), 6) AS weight FROM v"""
+)
+def mention_term_weights(spark, sf_dir):
+    """Weights of the terms in the sentences around links."""
+    found = terms.entity_mentions(linked_texts(spark, sf_dir))
+    out = terms.entity_term_weights(found, terms.term_idfs(text_documents(spark, sf_dir)))
+    return out.select("_id", F.explode("counts").alias("term", "weight")).withColumn("weight", F.round("weight", 6))
+
+
+# The template, the footnote and the category go; the file leaves its caption; the title, the cap and the marked words are links.
+# Of the texts' own signs, cells at the start of a line and brackets without content are markup.
+@query(
+    r"""WITH x AS (SELECT doc_id, regexp_replace(regexp_replace(replace(text, '||', chr(10) || '|'), '\n[|!](?:.*\|)?', chr(10), 'g'), ' \(\s*\)', '', 'g') AS text, len(regexp_extract_all(text, ', \p{L}{4,}')) AS n FROM documents)
+SELECT 'en.wikipedia.org/wiki/Doc_' || doc_id AS _id, rtrim('Doc (A cap.) ' || regexp_replace(text, ', (\p{L}{4,})', ', "\1"', 'g') || chr(10) || 'End', ' ' || chr(10)) AS text, (n + 2)::INT AS n_links FROM x"""
+)
 def wiki_articles(spark, sf_dir):
     title = F.concat(F.lit("en.wikipedia.org/wiki/Doc_"), F.col("doc_id").cast("string"))
     source = F.concat(F.lit("{{Infobox|a={{b}}}}'''Doc'''<ref>r</ref> ([[File:x.png|thumb|A [[cap]]]]) "), F.regexp_replace("text", r"(?<=, )(\p{L}{4,})", "[[$1|''$1'']]"), F.lit("\n== End ==\n[[Category:Docs]]"))
@@ -312,21 +425,41 @@ def wiki_articles(spark, sf_dir):
     return corpora.wiki_articles(pages).select("_id", "text", F.size("links").alias("n_links"))
 
 
-@query()
+# Blocks lie between the tags of blocks; what the pages have in their heads, bars and feet is silent. Anchors stand in bars only.
+@query(
+    r"""WITH a AS (SELECT url, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<!DOCTYPE[^>]*>|<head>.*?</head>|<nav>.*?</nav>|<footer>.*?</footer>|</?(article|body|br|div|h1|html|li|p|ul)\b[^>]*>', chr(30), 'g') AS x FROM pages),
+b AS (SELECT url, [replace(replace(replace(replace(p, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') FOR p IN string_split(x, chr(30))] AS p FROM a),
+c AS (SELECT url, [regexp_replace(q, '<[^>]*>', '', 'g') FOR q IN p IF list_sum([length(trim(r, ' ' || chr(9) || chr(10) || chr(13))) FOR r IN string_split_regex(q, '<[^>]*>')]) >= 25] AS p FROM b)
+SELECT url AS _id, replace(trim(array_to_string(p, chr(10)), ' ' || chr(9) || chr(10) || chr(13)), '&', '&amp;') AS text, 0 AS n_links FROM c"""
+)
 def web_articles(spark, sf_dir):
     pages = _table(spark, sf_dir, "pages").select(F.col("url").alias("_id"), F.col("html").alias("content"))
-    return corpora.web_articles(pages).select("_id", "text", F.size("links").alias("n_links"))
+    return corpora.web_articles(pages, most_chars=None).select("_id", "text", F.size("links").alias("n_links"))
+
 
+_HITS = ", ".join(f"{{'n': len([x FOR x IN w IF x IN ({', '.join(repr(x) for x in words)})]), 'code': '{code}'}}" for code, words in lang.PROFILES.items())
 
-@query()
+
+@query(
+    rf"""WITH t AS (SELECT page_id, regexp_extract_all(lower(regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<[^>]*>', ' ', 'g')), '\p{{L}}+') AS w FROM pages),
+h AS (SELECT page_id, list_reverse_sort([{_HITS}]) AS h FROM t) SELECT page_id, CASE WHEN h[1].n >= 5 AND h[1].n >= 1.2 * h[2].n THEN h[1].code END AS language FROM h"""
+)
 def page_languages(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", lang.guess_language(F.col("html")).alias("language"))
 
 
-@query()
+# Which tokens have vectors, and that these are of length one; the training itself is no matter of SQL.
+@query(
+    f"""WITH {_MENTIONS}, {_MENTION_TOKENS}, w AS (SELECT unnest(pre || [_id] || post) AS t FROM t)
+SELECT t AS _id, 100 AS dimensions, 1.0::DOUBLE AS norm FROM w GROUP BY t HAVING count(*) >= CASE WHEN starts_with(t, 'en.wikipedia.org/wiki/') THEN 5 ELSE 20 END"""
+)
 def entity_embeddings(spark, sf_dir):
     found = terms.entity_mentions(linked_texts(spark, sf_dir))
     out = embeddings.entity_embeddings(found, min_word_count=20, min_entity_count=5)
-    return out.select("_id", F.size("embedding").alias("dimensions"))
+    norm = F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)), 6)
+    return out.select("_id", F.size("embedding").alias("dimensions"), norm.alias("norm"))
 
 
+@query(f"WITH {_LINKS} SELECT target AS _id, url AS source FROM (SELECT DISTINCT url, t, target FROM k)")
+def entity_inlink_pairs(spark, sf_dir):
+    return entities.entity_inlink_pairs(page_documents(spark, sf_dir))
