@@ -1,59 +1,65 @@
-"""Intermediate tables in the folder that the whole cluster shares."""
+"""Session settings of this folder's queries, and rows whose columns keep their names and types. Intermediate tables are ``linkspark.storage``'s."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from contextlib import contextmanager
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pyspark.sql import DataFrame, SparkSession
+from linkspark.storage import Scratch, shared_folder
 
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+__all__ = ["Scratch", "as_struct", "extended", "prepare", "quoted", "shared_folder", "table", "unpacked", "without"]
 
+#: Of an Arrow batch between Spark and Python; both sides hold a few of them for each task.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset (as in tests) a local folder takes its place."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="linkspark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Settings for the whole session, made once by whoever owns it (the queries and the pipeline here, never an operator).
 
-@contextmanager
-def _shuffles_go(spark: SparkSession):
-    before = spark.conf.get(_CLEAN, None)
-    try:
-        spark.conf.set(_CLEAN, "true")
-        yield
-    finally:
-        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+    Small Arrow batches keep long texts from taking much more memory than short ones, and the
+    shuffle files of a finished query go at once. Operators give the same rows without them.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    return spark
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes the rows as Parquet into the shared folder and reads them back.
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-    That cuts the lineage in a way that survives lost executors, and lets the
-    shuffle files of the finished job go at once.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    with _shuffles_go(spark):
-        df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+def extended(schema: T.StructType, new: str) -> T.StructType:
+    """The fields of ``schema``, whatever their names are, and those of the DDL text ``new`` after them."""
+    return T.StructType([*schema.fields, *T.StructType.fromDDL(new).fields])
 
-#: Of an Arrow batch between Spark and Python; both sides hold a few of them for each task.
-BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
+def quoted(name: str) -> str:
+    """A column's name as a reference: dots, blanks and signs in it are part of the name. (PySpark's own ``mapInArrow`` takes any name but those with a backtick.)"""
+    return "`" + name.replace("`", "``") + "`"
 
-def bounded(df: DataFrame) -> DataFrame:
-    """The rows as they are, in a session whose Arrow batches are small: long texts then take no more memory than short ones."""
-    conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df
 
+def without(df: DataFrame, new: list[str]) -> list[str]:
+    """The columns of ``df`` but those that new ones replace. Case doesn't tell names apart, as in Spark."""
+    gone = {n.lower() for n in new}
+    return [c for c in df.columns if c.lower() not in gone]
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+def as_struct(df: DataFrame, name: str = "__row") -> Column:
+    """All columns of a row as one, so that none clashes with a new one; ``unpacked`` has them back."""
+    return F.struct(*(F.col(quoted(c)) for c in df.columns)).alias(name)
+
+
+def unpacked(columns: list[str], put: dict[str, Column] | None = None, name: str = "__row") -> list[Column]:
+    """The columns of ``as_struct`` as they came, but for those in ``put``."""
+    put = put or {}
+    return [(put[c] if c in put else F.col(f"{name}.{quoted(c)}")).alias(c) for c in columns]
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    return Scratch(df.sparkSession, name).put(df, name)
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    return df
