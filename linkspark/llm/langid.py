@@ -5,13 +5,17 @@ trigrams predicts each bit. Decoding takes the language whose codeword has
 the least logistic loss over all bits, and flags the text as ambiguous when
 the runner-up is close.
 
-Training uses a bounded sample of every language (``per_language`` texts, of
-long ones the first ``max_chars`` code points); prediction covers every whole
-text.
+Training uses a bounded sample of every language (``per_language`` texts but
+no more than ``most_texts`` in all, of long ones the first ``max_chars`` code
+points); prediction covers every whole text.
 
 Defined results: null texts and texts without a letter are ``und`` with
-score 0; without training rows every text is ``und``; with one language all
-others get it; repeated rows are judged alike; other columns pass through.
+score 0; very long texts are judged whole; without training rows every text
+is ``und``; with one language all others get it; of equal losses the first
+language in order wins, and is flagged; an id with several languages or
+texts is learned once in each language, by its least text; repeated rows are
+judged alike; an empty table gives no row; other columns pass through,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 
 from linkspark.llm import bytescan as B
 from linkspark.llm.sampling import sample_ids, training_texts
-from linkspark.llm.storage import bounded
+from linkspark.llm.storage import extended, quoted, without
 
 BINS = 1 << 13
 _LETTER = regex.compile(r"\p{L}")
@@ -43,6 +47,7 @@ _ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
 @dataclass(frozen=True)
 class LangRules:
     per_language: int = 400
+    most_texts: int = 8000  # of all languages together, if there are not more languages; 32 KB each on the driver
     max_chars: int = 10_000
     steps: int = 150
     rate: float = 20.0
@@ -136,17 +141,17 @@ def predict(raw: np.ndarray, at: np.ndarray, model: Model | None, ambiguous: flo
 
 def train_model(docs: DataFrame, rules: LangRules = LangRules()) -> Model | None:
     """From texts with a language outside the held-out fold."""
-    ids = sample_ids(docs.where(F.length("text") > 0).select("doc_id", "lang"), "lang", rules.per_language)
-    pieces = docs.select("doc_id", F.left("text", F.lit(rules.max_chars)).alias("text"))
-    return fit(training_texts(pieces, ids, "lang", rules.max_chars), rules)
+    full = docs.where(F.length("text") > 0)
+    ids = sample_ids(full, "lang", rules.per_language, most=rules.most_texts)
+    return fit(training_texts(full.select("doc_id", "lang", F.left("text", F.lit(rules.max_chars)).alias("text")), ids, "lang"), rules)
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text", rules: LangRules = LangRules()) -> DataFrame:
     """Adds ``lang_pred, score, ambiguous`` to every row; columns of those names are replaced."""
     new = [("lang_pred", "string"), ("score", "double"), ("ambiguous", "boolean")]
-    others = [c for c in docs.columns if c not in {n for n, _ in new}]
-    source = docs.select(*(F.col(f"`{c}`") for c in others))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema] + [f"`{n}` {t}" for n, t in new])
+    others = without(docs, [n for n, _ in new])
+    source = docs.select(*(F.col(quoted(c)) for c in others))
+    schema = extended(source.schema, ", ".join(f"{n} {t}" for n, t in new))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bins x bits numbers
     bound = rules.ambiguous
 
@@ -159,4 +164,4 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", rules: La
                     arrays = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(unsure)]
                     yield pa.RecordBatch.from_arrays([*(c.slice(i + a, b - a) for c in batch.columns), *arrays], names=[*others, *(n for n, _ in new)])
 
-    return bounded(source).mapInArrow(run, schema)
+    return source.mapInArrow(run, schema)
