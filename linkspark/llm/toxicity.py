@@ -4,15 +4,20 @@ Document labels are carried over to tokens: in a toxic training document a
 token is labelled when its word or one of its beginnings is many times more
 frequent, by documents, in toxic than in other documents. The field is
 trained on those tokens; its forward-backward marginals give the offending
-offsets and, by their largest value, a calibrated document score.
+offsets. The number of toxic tokens that they expect, and its share of the
+text, give a calibrated document score: one word that only looks like an
+offence doesn't make a text toxic.
 
 Training uses a bounded sample (``per_class`` documents a label of at most
 ``max_chars`` code points, near copies once); scoring covers every whole
 text. The model has a fixed size whatever the sample.
 
 Defined results: null and empty texts have no span and the score of a
-document without any marginal; without training rows of both labels every
-score is 0; repeated rows are scored alike; other columns pass through.
+document without any marginal; very long texts are scored whole, but not
+learned from; without training rows of both labels every score is 0; an id
+with several labels has the largest; of an id's several texts the least is
+learned; each row is scored by itself, so repeated rows are scored alike; an
+empty table gives no row; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,11 +33,12 @@ from pyspark.sql import functions as F
 
 from linkspark.llm import bytescan as B
 from linkspark.llm import crf
-from linkspark.llm.sampling import sample_ids, training_texts
-from linkspark.llm.storage import bounded
+from linkspark.llm.sampling import fold, sample_ids, training_texts
+from linkspark.llm.storage import as_struct, extended, quoted, unpacked, without
 
 PREFIXES = (4, 5, 6)
 BITS = 18
+LIKELY = 0.2  # marginals from which tokens count as expected ones
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
@@ -55,13 +61,21 @@ class ToxicityRules:
 class Model:
     weight: np.ndarray  # of each hashed feature, then the bias
     trans: np.ndarray
-    slope: float
-    offset: float
+    curve: np.ndarray  # weights of the figures of ``figures_of``
 
-    def scores(self, top: np.ndarray) -> np.ndarray:
-        """From the largest marginal of each document."""
-        p = np.clip(top, 1e-9, 1 - 1e-9)
-        return 1 / (1 + np.exp(-np.clip(self.slope * np.log(p / (1 - p)) + self.offset, -40, 40)))
+    def scores(self, figures: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(figures @ self.curve, -40, 40)))
+
+
+def figures_of(p: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each document logarithms of the expected toxic tokens and of their share, and a one.
+
+    p: marginals of all tokens. first: where each document's begin, and their number.
+    """
+    docs = len(first) - 1
+    likely = np.flatnonzero(p >= LIKELY)  # the others' small values would add up with length
+    expected = 0.02 + np.bincount(np.searchsorted(first, likely, "right") - 1, weights=p[likely], minlength=docs)
+    return np.stack([np.log(expected), np.log(expected / (np.diff(first) + 100)), np.ones(docs)], 1)
 
 
 def token_features(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -89,8 +103,8 @@ def _slots(features: np.ndarray) -> np.ndarray:
     return ((features >> np.uint64(64 - BITS + 2)) + kinds).astype(np.int64)
 
 
-def fit(texts: list[tuple[str, int]], rules: ToxicityRules = ToxicityRules()) -> Model | None:
-    """None if a label has no text with a word."""
+def fit(texts: list[tuple[str, int]], rules: ToxicityRules = ToxicityRules(), totals: dict[int, int] | None = None) -> Model | None:
+    """None if a label has no text with a word. totals: how many documents have each label, if the texts are a sample."""
     kept: list[tuple[np.ndarray, int]] = []
     sketches: set[int] = set()
     for text, label in texts:
@@ -103,42 +117,42 @@ def fit(texts: list[tuple[str, int]], rules: ToxicityRules = ToxicityRules()) ->
             continue
         sketches.update(own)
         kept.append((token_features(raw, starts, ends), int(label > 0)))
-    totals = Counter(label for _, label in kept)
-    if not totals[0] or not totals[1]:
+    found = Counter(label for _, label in kept)
+    if not found[0] or not found[1]:
         return None
     table = _telling(kept, rules)
+    hits = [np.isin(features, table).any(1) if label else np.zeros(len(features), bool) for features, label in kept]
+    alike = np.unique(np.concatenate([features[hit].reshape(-1) for (features, _), hit in zip(kept, hits, strict=True)]))
     chains, labels = [], []
-    for n, (features, label) in enumerate(kept):
-        hit = np.isin(features, table).any(1) if label else np.zeros(len(features), bool)
-        if label:
-            near = np.zeros(len(features) + 1, np.int64)
-            at = np.flatnonzero(hit)
-            np.add.at(near, np.maximum(at - rules.context, 0), 1)
-            np.add.at(near, np.minimum(at + rules.context + 1, len(features)), -1)
-            inside = np.flatnonzero(np.cumsum(near)[:-1] > 0)
-            pieces = np.split(inside, np.flatnonzero(np.diff(inside) > 1) + 1) if len(inside) else []
-        else:
+    for n, ((features, label), hit) in enumerate(zip(kept, hits, strict=True)):
+        near = np.zeros(len(features) + 1, np.int64)
+        at = np.flatnonzero(hit if label else np.isin(features, alike).any(1))  # of other documents, tokens that look like labelled ones
+        np.add.at(near, np.maximum(at - rules.context, 0), 1)
+        np.add.at(near, np.minimum(at + rules.context + 1, len(features)), -1)
+        if not label:
             size = min(len(features), rules.clean_tokens)
             begin = (n * 7919) % (len(features) - size + 1)
-            pieces = [np.arange(begin, begin + size)]
-        for piece in pieces:
+            near[begin] += 1
+            near[begin + size] -= 1
+        inside = np.flatnonzero(np.cumsum(near)[:-1] > 0)
+        for piece in np.split(inside, np.flatnonzero(np.diff(inside) > 1) + 1) if len(inside) else []:
             chains.append(features[piece])
             labels.append(hit[piece].astype(np.int64))
     first = np.zeros(sum(map(len, chains)), bool)
     first[np.cumsum([0, *(len(c) for c in chains[:-1])])] = True
     weight, trans = crf.train(_slots(np.concatenate(chains)), np.concatenate(labels), first, 1 << BITS)
-    top = np.concatenate([_largest([f for f, _ in kept[a : a + 200]], weight, trans) for a in range(0, len(kept), 200)])
-    slope, offset = _calibrate(top, np.array([label for _, label in kept]))
-    return Model(weight.astype(np.float32), trans, slope, offset)
+    figures = np.concatenate([_figures([f for f, _ in kept[a : a + 200]], weight, trans) for a in range(0, len(kept), 200)])
+    label = np.array([label for _, label in kept])
+    share = np.array([(totals or found).get(k, 0) / found[k] for k in (0, 1)])  # of documents that each of the sample stands for
+    return Model(weight.astype(np.float32), trans, _calibrate(figures, label, (share / share.min())[label]))
 
 
-def _largest(features: list[np.ndarray], weight: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """The largest marginal of each document."""
-    begin = np.cumsum([0, *(len(f) for f in features[:-1])])
+def _figures(features: list[np.ndarray], weight: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    first = np.cumsum([0, *(len(f) for f in features)])
     slots = _slots(np.concatenate(features))
-    first = np.zeros(len(slots), bool)
-    first[begin] = True
-    return np.maximum.reduceat(crf.marginals(weight[slots].sum(1) + weight[-1], first, trans), begin)
+    head = np.zeros(len(slots), bool)
+    head[first[:-1]] = True
+    return figures_of(crf.marginals(weight[slots].sum(1) + weight[-1], head, trans), first)
 
 
 def _telling(kept: list[tuple[np.ndarray, int]], rules: ToxicityRules) -> np.ndarray:
@@ -174,18 +188,37 @@ def _telling(kept: list[tuple[np.ndarray, int]], rules: ToxicityRules) -> np.nda
     return np.array(sorted(taken), np.uint64)
 
 
-def _calibrate(top: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """A logistic curve over the logit of the largest marginal, by Newton steps with a light penalty."""
-    p = np.clip(top, 1e-9, 1 - 1e-9)
-    x = np.stack([np.log(p / (1 - p)), np.ones(len(p))], 1)
-    w = np.array([0.5, 0.0])
-    weight = np.where(label == 1, 0.5 / max(1, label.sum()), 0.5 / max(1, (1 - label).sum())) * len(label)
-    for _ in range(30):
+def _calibrate(x: np.ndarray, label: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weights of a logistic curve over the figures; more toxic tokens never lower a score, so a figure of negative weight is left out."""
+    fits = []
+    for used in ([0, 1, 2], [0, 2], [1, 2]):
+        w, value = _logistic(x[:, used], label, weight)
+        if (w[:-1] >= 0).all():
+            full = np.zeros(x.shape[1])
+            full[used] = w
+            fits.append((value, full))
+    return max(fits, key=lambda f: f[0])[1] if fits else np.zeros(x.shape[1])
+
+
+def _logistic(x: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights of the greatest penalised likelihood, and that, by Newton steps that are halved until they gain."""
+
+    def value(w: np.ndarray) -> float:
+        z = x @ w
+        return float((weight * (label * z - np.logaddexp(0, z))).sum() - 0.05 * w @ w)
+
+    w = np.zeros(x.shape[1])
+    best = value(w)
+    for _ in range(100):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        grad = x.T @ (weight * (label - q)) - 0.1 * (w - [0.5, 0])
-        hess = (x * (weight * q * (1 - q))[:, None]).T @ x + 0.1 * np.eye(2)
-        w = w + np.clip(np.linalg.solve(hess, grad), -1, 1)
-    return float(max(w[0], 1e-3)), float(w[1])
+        hess = (x * (weight * q * (1 - q))[:, None]).T @ x + 0.1 * np.eye(len(w))
+        step = np.linalg.solve(hess, x.T @ (weight * (label - q)) - 0.1 * w)
+        while (new := value(w + step)) < best and np.abs(step).max() > 1e-9:
+            step = step / 2
+        if new - best < 1e-9:
+            break
+        w, best = w + step, new
+    return w, best
 
 
 def score_slice(raw: np.ndarray, at: np.ndarray, model: Model | None, threshold: float) -> tuple[np.ndarray, list[str], np.ndarray]:
@@ -194,15 +227,11 @@ def score_slice(raw: np.ndarray, at: np.ndarray, model: Model | None, threshold:
     starts, ends, first = B.words(raw, at)
     if model is None:
         return np.zeros(docs), [""] * docs, np.zeros(docs, np.int64)
-    top = np.full(docs, 1e-9)
-    if not len(starts):
-        return model.scores(top), [""] * docs, np.zeros(docs, np.int64)
-    slots = _slots(token_features(raw, starts, ends))
+    slots = _slots(token_features(raw, starts, ends)) if len(starts) else np.zeros((0, 1 + len(PREFIXES)), np.int64)
     begin = np.zeros(len(starts), bool)
-    full = np.flatnonzero(np.diff(first))
-    begin[first[full]] = True
+    begin[first[np.flatnonzero(np.diff(first))]] = True
     p = crf.marginals(model.weight[slots].sum(1, dtype=np.float64) + float(model.weight[-1]), begin, model.trans)
-    top[full] = np.maximum.reduceat(p, first[full])
+    figures = figures_of(p, first)
     hit = np.flatnonzero(p >= threshold)
     spans = [""] * docs
     number = np.zeros(docs, np.int64)
@@ -220,21 +249,25 @@ def score_slice(raw: np.ndarray, at: np.ndarray, model: Model | None, threshold:
             texts.setdefault(d, []).append(f"{chars[starts[hit[h]]] - chars[at[d]]}:{chars[ends[hit[t]]] - chars[at[d]]}")
         for d, found in texts.items():
             spans[d] = ",".join(found)
-    return model.scores(top), spans, number
+    return model.scores(figures), spans, number
 
 
 def train_model(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = ToxicityRules()) -> Model | None:
     """From the labelled documents outside the held-out fold."""
-    ids = sample_ids(labels.select("doc_id", "toxic"), "toxic", rules.per_class)
-    return fit(training_texts(docs, ids, "toxic", rules.max_chars), rules)
+    fits = docs.where(F.col("text").isNotNull() & (F.length("text") <= rules.max_chars)).select("doc_id", "text")
+    ids = sample_ids(labels, "toxic", rules.per_class, eligible=fits)
+    one = labels.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    training = labels.where(F.col("toxic").isNotNull() & (fold(F.col("doc_id")) != 0))
+    totals = {int(k): n for k, n in training.groupBy((F.col("toxic") > 0).cast("int")).count().collect()}
+    return fit(training_texts(fits, one, "toxic"), rules, totals)
 
 
 def score_documents(docs: DataFrame, model: Model | None, text: str = "text", rules: ToxicityRules = ToxicityRules()) -> DataFrame:
     """Adds ``score, predicted, toxic_spans, n_toxic_tokens`` to every row; columns of those names are replaced."""
     new = [("score", "double"), ("predicted", "int"), ("toxic_spans", "string"), ("n_toxic_tokens", "long")]
-    others = [c for c in docs.columns if c not in {n for n, _ in new}]
-    source = docs.select(*(F.col(f"`{c}`") for c in others))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema] + [f"`{n}` {t}" for n, t in new])
+    others = without(docs, [n for n, _ in new])
+    source = docs.select(*(F.col(quoted(c)) for c in others))
+    schema = extended(source.schema, ", ".join(f"{n} {t}" for n, t in new))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size, 1 MB
     threshold = rules.span_threshold
 
@@ -246,10 +279,10 @@ def score_documents(docs: DataFrame, model: Model | None, text: str = "text", ru
                 arrays = [pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(spans, pa.string()), pa.array(number, pa.int64())]
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns), *arrays], names=[*others, *(n for n, _ in new)])
 
-    return bounded(source).mapInArrow(run, schema)
+    return source.mapInArrow(run, schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = ToxicityRules()) -> DataFrame:
     """The rows that are not predicted toxic; columns as they came."""
-    scored = score_documents(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col("text").alias("__text")), train_model(docs, labels, rules), "__text", rules)
-    return scored.where("predicted = 0").select("__row.*")
+    scored = score_documents(docs.select(as_struct(docs), F.col("text").alias("__text")), train_model(docs, labels, rules), "__text", rules)
+    return scored.where("predicted = 0").select(*unpacked(docs.columns))
