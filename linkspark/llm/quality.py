@@ -6,7 +6,9 @@ fail. Failing lines are cut out; a document that loses too large a share of
 its words that way, or fails the base rules on the whole text, is rejected.
 
 Defined results: null and empty texts have no words and fail the base rules;
-repeated rows are each judged alike; other columns are passed through.
+very long texts are judged whole, in memory of some forty times their bytes;
+each row is judged by itself, so repeated rows and ties need no rule; an
+empty table gives no row; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkspark.llm import bytescan as B
-from linkspark.llm.storage import bounded
+from linkspark.llm.storage import as_struct, extended, quoted, unpacked, without
 
 # Phrases of boilerplate lines, in lower case.
 BOILERPLATE = (
@@ -169,9 +171,9 @@ def line_quality(docs: DataFrame, text: str = "text", rules: LineRules = LineRul
     new = [("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long"), ("base_failed", "boolean"), ("kept", "boolean"), ("n_kept_words", "long")]
     if with_clean_text:
         new.append(("clean_text", "string"))
-    others = [c for c in docs.columns if c not in {n for n, _ in new}]
-    source = docs.select(*(docs[f"`{c}`"] for c in others))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema] + [f"`{n}` {t}" for n, t in new])
+    others = without(docs, [n for n, _ in new])
+    source = docs.select(*(F.col(quoted(c)) for c in others))
+    schema = extended(source.schema, ", ".join(f"{n} {t}" for n, t in new))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,7 +185,7 @@ def line_quality(docs: DataFrame, text: str = "text", rules: LineRules = LineRul
                     arrays.append(pa.array(_without(raw, at, *out["_failed"]), pa.string()))
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns), *arrays], names=[*others, *(n for n, _ in new)])
 
-    return bounded(source).mapInArrow(run, schema)
+    return source.mapInArrow(run, schema)
 
 
 def _without(raw: np.ndarray, at: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[str]:
@@ -201,5 +203,5 @@ def _without(raw: np.ndarray, at: np.ndarray, starts: np.ndarray, ends: np.ndarr
 
 def clean_documents(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """The kept documents with their failing lines removed; columns as they came."""
-    out = line_quality(docs, rules=rules, with_clean_text=True)
-    return out.where("kept").withColumn("text", F.col("clean_text")).select(*docs.columns)
+    out = line_quality(docs.select(as_struct(docs), F.col("text").alias("__text")), "__text", rules, with_clean_text=True)
+    return out.where("kept").select(*unpacked(docs.columns, {"text": F.col("clean_text")}))
