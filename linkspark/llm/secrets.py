@@ -1,16 +1,25 @@
 """Secret scan by assignment-aware lexing.
 
 Three base patterns (assignments to telling names, access keys, long hex
-runs) are found first. Then each text is lexed as source or configuration:
-``name = "literal"``, ``name: literal``, ``export NAME=literal``, ``name =
-other`` and concatenations with ``+``. Constants are propagated through
-names in text order, and a literal whose value reaches a sensitive name is
-scored by that name and by its own shape; literals that pass become spans of
-kind ``literal``. A value may be joined from any number of literals; names
-share the values they are joined from, so that long chains take linear space.
-
-Defined results: null and empty texts have no spans; rows are judged one by
-one, so repeated rows and ties need no rule; other columns pass through.
+runs) are found first. Then each text is lexed as source or configuration
+into pairs of a name and a value: ``name = "literal"``, ``name: literal``,
+``name := other``, ``"name" => "literal"``, ``--name=literal``, ``export
+NAME=literal``, ``settings["name"] = "literal"``, triple quotes, ``name: |`` with the
+indented lines below it, and values joined with ``+``; the result of a call is
+no literal. Constants are propagated through names in text order, and a
+literal whose value reaches a sensitive name is scored by that name and by its
+own shape; literals that pass become spans of kind ``literal``. An assignment
+in a comment is scored by its own name, but binds nothing. Names are those of
+the whole text: nested scopes share them.
+
+A value may be joined from any number of literals; names share the values
+they are joined from, so that long chains take linear space. No pattern goes
+over a stretch of text more than a few times, whatever it holds.
+
+Defined results: null and empty texts have no spans; very long texts are
+scanned whole; spans at one place are in the order of ``KINDS``, then by end;
+rows are judged one by one, so repeated rows and ties need no rule; an empty
+table gives no row; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkspark.llm.storage import bounded
+from linkspark.llm.storage import extended, quoted, without
 
 KINDS = ("assign", "access", "hex", "literal")
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -41,11 +50,20 @@ SENSITIVE = {
     "access": 1.0, "signature": 1.0, "salt": 1.0, "cert": 1.0,
 }
 
+_QUOTED = r"""(?:[bBrRuUfF]{1,2}(?=["']))?(?:\"{3}[\s\S]*?\"{3}|'{3}[\s\S]*?'{3}|"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+')"""
+_KEYS = r"""\[[ \t]*+["'][^"'\\\n\]]++["'][ \t]*+\]"""
 _LEX = re.compile(
-    r"""(?P<name>[A-Za-z_][A-Za-z0-9_.-]*)["']?[ \t]*(?::=|[:=](?!=))[ \t]*(?P<value>(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[A-Za-z0-9+/_.=$@!%^&*~-]+)(?:[ \t]*\+[ \t]*(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[A-Za-z_][A-Za-z0-9_.]*))*)"""
+    rf"""(?<![A-Za-z0-9_.-])[0-9.-]*+(?P<name>[A-Za-z_][A-Za-z0-9_.-]*+)["']?(?P<keys>(?:[ \t]*+{_KEYS})*+)"""
+    rf"""[ \t]*+(?::=|=>|=(?![=>])|:(?!=))[ \t]*+"""
+    rf"""(?:(?P<value>(?:{_QUOTED}|[A-Za-z_][A-Za-z0-9_.]*+(?:{_KEYS})++|[A-Za-z0-9+/_.=$@!%^&*~-]++)(?:[ \t]*+\+[ \t]*+(?:{_QUOTED}|[A-Za-z_][A-Za-z0-9_.]*+(?:{_KEYS})*+))*+)|(?P<block>[|>][+-]?[ \t\r]*+\n))"""
 )
-_PART = re.compile(r""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([A-Za-z0-9/_.=$@!%^&*~-]+(?:\+(?=[A-Za-z0-9/=])[A-Za-z0-9/_.=$@!%^&*~-]+)*)""")
+_PART = re.compile(
+    rf"""\"{{3}}([\s\S]*?)\"{{3}}|'{{3}}([\s\S]*?)'{{3}}|"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|[bBrRuUfF]{{1,2}}(?=["'])|([A-Za-z_][A-Za-z0-9_.]*+(?:{_KEYS})++)"""
+    r"""|([A-Za-z0-9/_.=$@!%^&*~-]++(?:\+(?=[A-Za-z0-9/=])[A-Za-z0-9/_.=$@!%^&*~-]++)*+)"""
+)
+_KEY = re.compile(r"""["']([^"'\\\n\]]++)["']""")
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
+_COMMENTS = re.compile(rf"""\\[\s\S]|{_QUOTED}|(?P<comment>(?<![^\s;,(){{}}])(?:#|//)[^\n]*+|/\*(?:[^*]|\*(?!/))*+(?:\*/|\Z))""")
 _SPLIT = re.compile(r"[_.\-]+|(?<=[a-z0-9])(?=[A-Z])")
 
 
@@ -140,23 +158,69 @@ class _Joins:
         return [o for o, k in self.bit.items() if chosen[k : k + 1] == "1"]
 
 
+def _comments(text: str) -> list[tuple[int, int]]:
+    if "#" not in text and "//" not in text and "/*" not in text:
+        return []
+    return [m.span() for m in _COMMENTS.finditer(text) if m["comment"]]
+
+
+def _full_name(name: str, keys: str) -> str:
+    """``settings["db"]["password"]`` is settings.db.password."""
+    return ".".join([name, *_KEY.findall(keys)]) if keys else name
+
+
+def _block(text: str, m: re.Match) -> tuple[list[tuple[int, int]], int]:
+    """The lines below a name that are indented more than it, without their blanks, and where they end."""
+    line = text.rfind("\n", 0, m.start()) + 1
+    indent = len(text[line : m.start()]) - len(text[line : m.start()].lstrip(" -\"'"))
+    found, here = [], m.end()
+    while here < len(text):
+        end = text.find("\n", here)
+        end = len(text) if end < 0 else end
+        bare = text[here:end].strip()
+        begin = here + len(text[here:end]) - len(text[here:end].lstrip())
+        if bare and begin - here <= indent:
+            break
+        if bare:
+            found.append((begin, begin + len(bare)))
+        here = end + 1
+    return found, here
+
+
 def lexed_spans(text: str, rules: SecretRules) -> list[tuple[int, int]]:
     """Spans of the literals whose values reach sensitive names."""
     bound: dict[str, _Value] = {}
     joins = _Joins(text)
     found: set[tuple[int, int]] = set()
-    mask = 0
-    for m in _LEX.finditer(text):
+    comments, c = _comments(text), 0
+    mask, here = 0, 0
+    while m := _LEX.search(text, here):
+        here = m.end()
+        while c < len(comments) and comments[c][1] <= m.start():
+            c += 1
+        remark = c < len(comments) and comments[c][0] <= m.start()
+        name = _full_name(m["name"], m["keys"])
+        weight = name_weight(name)
         origin: list[tuple[int, int] | _Value] = []
-        for p in _PART.finditer(text, m.start("value"), m.end("value")):
-            group = p.lastindex or 3
-            if group == 3 and _NAME.match(p[3]) and p[3] in bound:
-                origin.append(bound[p[3]])
-            elif p.end(group) > p.start(group):
-                origin.append(p.span(group))
+        if m["block"] is not None:
+            if not weight:
+                continue  # its lines are lexed as they come
+            origin, here = _block(text, m)
+        elif text[here : here + 1] != "(":
+            for p in _PART.finditer(text, m.start("value"), m.end("value")):
+                group = p.lastindex
+                if group is None:
+                    continue
+                if group == 5 or group == 6 and _NAME.match(p[6]):
+                    known = bound.get(p[6] or _full_name(p[5].partition("[")[0].rstrip(), p[5]))
+                    if known is not None and not remark:
+                        origin.append(known)
+                        continue
+                if group != 5 and p.end(group) > p.start(group):
+                    origin.append(p.span(group))
         value = origin[0] if len(origin) == 1 and isinstance(origin[0], _Value) else _Value(origin)
-        bound[m["name"]] = value
-        weight = name_weight(m["name"])
+        if not remark:
+            bound[name] = value
         if weight and value.plain:
             if literal_score(weight, "".join(text[a:b] for a, b in value.parts), rules) >= rules.min_score:
                 found.update(value.parts)
@@ -201,9 +265,9 @@ def redact(text: str | None, found: list[tuple[str, int, int]], mark: str = "[SE
 
 
 def _mapped(docs: DataFrame, text: str, new: list[tuple[str, str]], make) -> DataFrame:
-    others = [c for c in docs.columns if c not in {n for n, _ in new}]
-    source = docs.select(*(docs[f"`{c}`"] for c in others))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema] + [f"`{n}` {t}" for n, t in new])
+    others = without(docs, [n for n, _ in new])
+    source = docs.select(*(F.col(quoted(c)) for c in others))
+    schema = extended(source.schema, ", ".join(f"{n} {t}" for n, t in new))
     kinds = {"long": pa.int64(), "string": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +278,7 @@ def _mapped(docs: DataFrame, text: str, new: list[tuple[str, str]], make) -> Dat
                 arrays = [pa.array([r[k] for r in rows], kinds[t]) for k, (_, t) in enumerate(new)]
                 yield pa.RecordBatch.from_arrays([*(c.slice(at, 256) for c in batch.columns), *arrays], names=[*others, *(n for n, _ in new)])
 
-    return bounded(source).mapInArrow(run, schema)
+    return source.mapInArrow(run, schema)
 
 
 def find_secrets(docs: DataFrame, text: str = "text", rules: SecretRules = SecretRules()) -> DataFrame:
@@ -232,4 +296,4 @@ def find_secrets(docs: DataFrame, text: str = "text", rules: SecretRules = Secre
 def redact_secrets(docs: DataFrame, text: str = "text", rules: SecretRules = SecretRules(), mark: str = "[SECRET]") -> DataFrame:
     """Every row, with its secrets replaced in ``text``; the columns stay as they came."""
     out = _mapped(docs, text, [("__redacted", "string")], lambda v: (redact(v, spans(v, rules), mark),))
-    return out.select(*(F.col("__redacted").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns))
+    return out.select(*(F.col("__redacted").alias(c) if c == text else F.col(quoted(c)) for c in docs.columns))
