@@ -10,25 +10,36 @@ tiles, in whatever order they stand, cover ``threshold`` of its words.
 Words are lower-cased (A-Z) and lose surrounding ASCII punctuation; words
 that are all punctuation don't count.
 
-The test items are broadcast in blocks of bounded size, each block joined
-with all documents. Defined results: null and empty texts, and items of
-fewer than ``min_match`` words, match nothing; repeated documents or items
-are each judged; an empty table on either side gives no match; other columns
-pass through.
+Test items of up to ``block_bytes`` are broadcast, and each document is judged
+where it lies. Beyond that, hashes of the items' windows and of those windows
+of documents that may be among them are joined, and each pair that shares one
+is judged with both of its texts. Equal texts are judged once there.
+
+Seeds are gone through in blocks of bounded size and kept as maximal runs
+only, so texts of one word repeated take no more memory than others.
+
+Defined results: null and empty texts, and items of fewer than ``min_match``
+words, match nothing; very long texts are judged whole; of tiles of one
+length the first in the document, then in the item, is marked first; repeated
+documents or items are each judged; an empty table on either side gives no
+match; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from linkspark.llm import bytescan as B
-from linkspark.llm.storage import bounded
+from linkspark.llm.storage import Scratch, as_struct, extended, quoted, unpacked
 
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
@@ -38,7 +49,8 @@ _PUNCT[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = Tru
 class TilingRules:
     min_match: int = 5
     threshold: float = 0.6
-    block_bytes: int = 32 << 20  # of test texts that are broadcast at once
+    block_bytes: int = 32 << 20  # of test texts that are broadcast; more are joined
+    filter_bits: int = 28  # 2 ** bits bits, 32 MB, tell which windows of documents are joined
 
 
 def bare_words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,63 +73,110 @@ def bare_words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return B.hashes(raw, starts, ends, lower=True), np.searchsorted(starts, at)
 
 
-def tile(own: np.ndarray, other: np.ndarray, seeds: np.ndarray, size: int) -> list[tuple[int, int, int]]:
-    """Tiles (start in own, start in other, length) of a greedy tiling.
+Runs = tuple[np.ndarray, np.ndarray, np.ndarray]
+_SEEDS = 1 << 18  # gone through at once
+_TRIED = 1 << 12  # runs looked at together
 
-    seeds: rows (i, j) with own[i : i + size] == other[j : j + size]; all of them.
+
+def _free_windows(taken: np.ndarray, size: int) -> np.ndarray:
+    """Running count (n+1 numbers) of the places from which ``size`` words are free."""
+    total = np.concatenate([[0], np.cumsum(taken)])
+    free = np.zeros(len(taken) + 1, np.int64)
+    if len(taken) >= size:
+        free[1 : len(taken) - size + 2] = total[size:] == total[:-size]
+    return np.cumsum(free)
+
+
+def tile(own: int, other: int, runs: Runs, size: int) -> list[tuple[int, int, int]]:
+    """Tiles (start in one, start in the other, length) of a greedy tiling of texts of ``own`` and ``other`` words.
+
+    runs: starts in both and lengths of all maximal common runs of ``size`` words or more.
     """
-    seeds = seeds[np.lexsort((seeds[:, 0], seeds[:, 0] - seeds[:, 1]))]
-    diagonal = seeds[:, 0] - seeds[:, 1]
-    head = np.ones(len(seeds), bool)
-    head[1:] = (np.diff(diagonal) != 0) | (np.diff(seeds[:, 0]) != 1)
-    at = np.flatnonzero(head)
-    length = np.diff(np.append(at, len(seeds))) + size - 1
-    waiting: dict[int, list[tuple[int, int]]] = {}
-    for (i, j), n in zip(seeds[at].tolist(), length.tolist(), strict=True):
-        waiting.setdefault(n, []).append((i, j))
-    marked, used = np.zeros(len(own), bool), np.zeros(len(other), bool)
-    tiles = []
-    while waiting:
-        n = max(waiting)
-        for i, j in sorted(waiting.pop(n)):
-            free = ~(marked[i : i + n] | used[j : j + n])
-            if free.all():
-                marked[i : i + n] = True
-                used[j : j + n] = True
-                tiles.append((i, j, n))
-                continue
-            edge = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]]).astype(np.int8)))
-            for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                if b - a >= size:
-                    waiting.setdefault(b - a, []).append((i + a, j + a))
-    return tiles
+    order = np.lexsort((runs[1], runs[0], -runs[2]))
+    i, j, n = (x[order] for x in runs)
+    marked, used = np.zeros(own, bool), np.zeros(other, bool)
+    free = [_free_windows(marked, size), _free_windows(used, size)]
+    pieces: list[tuple[int, int, int]] = []  # of runs that tiles have cut: a heap of (-length, start, start)
+    ready: list[tuple[int, int, int]] = []  # the next runs that may be free, the first one last
+    tiles, at, stale = [], 0, False
+    while True:
+        while not ready and at < len(i):
+            if stale:
+                free, stale = [_free_windows(marked, size), _free_windows(used, size)], False
+            a, b, c = i[at : at + _TRIED], j[at : at + _TRIED], n[at : at + _TRIED]
+            may = (free[0][a + c - size + 1] > free[0][a]) & (free[1][b + c - size + 1] > free[1][b])
+            ready = list(zip((-c[may]).tolist(), a[may].tolist(), b[may].tolist()))[::-1]
+            at += _TRIED
+            if not free[0][-1] or not free[1][-1]:
+                at, ready, pieces = len(i), [], []
+        if not ready and not pieces:
+            return tiles
+        c, a, b = ready.pop() if not pieces or ready and ready[-1] < pieces[0] else heapq.heappop(pieces)
+        open_ = ~(marked[a : a - c] | used[b : b - c])
+        if open_.all():
+            marked[a : a - c] = True
+            used[b : b - c] = True
+            tiles.append((a, b, -c))
+            stale = True
+            continue
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], open_, [False]]).astype(np.int8)))
+        for x, y in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+            if y - x >= size:
+                heapq.heappush(pieces, (x - y, a + x, b + x))
 
 
 @dataclass(frozen=True)
 class Index:
-    """The windows of a block of test items."""
+    """The windows of test items, whose words lie one after the other."""
 
     ids: list
-    words: list[np.ndarray]
+    first: np.ndarray  # where each item's words begin, and the end of the last
     key: np.ndarray  # ascending window hashes
-    item: np.ndarray  # the item and the start of each
-    start: np.ndarray
+    place: np.ndarray  # the word at which each window begins
     quick: np.ndarray  # by the low 16 bits of the hash
 
+    def words(self, item: int) -> int:
+        return int(self.first[item + 1] - self.first[item])
+
 
 def build_index(items: list[tuple[object, str | None]], rules: TilingRules) -> Index:
     raw, at = B.text_buffers(pa.array([t for _, t in items], pa.string()))
     word, first = bare_words(raw, at) if len(raw) else (np.zeros(0, np.uint64), np.zeros(len(items) + 1, np.int64))
     key, where = B.windows(word, first, rules.min_match)
-    owner = np.searchsorted(first, where, "right") - 1
     order = np.argsort(key, kind="stable")
     quick = np.zeros(1 << 16, bool)
     quick[(key & np.uint64(0xFFFF)).astype(np.int64)] = True
-    return Index([i for i, _ in items], [word[a:b] for a, b in zip(first[:-1], first[1:], strict=True)], key[order], owner[order], (where - first[owner])[order], quick)
+    return Index([i for i, _ in items], first, key[order], where[order], quick)
+
+
+def _joined(at: np.ndarray, place: np.ndarray, n: np.ndarray, doc: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of seeds with those joined that follow each other on one diagonal."""
+    order = np.lexsort((at, at - place))
+    at, place, n, doc, item = (x[order] for x in (at, place, n, doc, item))
+    head = np.ones(len(at), bool)
+    head[1:] = (np.diff(at - place) != 0) | (at[1:] != at[:-1] + n[:-1]) | (np.diff(doc) != 0) | (np.diff(item) != 0)
+    begin = np.flatnonzero(head)
+    return at[begin], place[begin], np.add.reduceat(n, begin), doc[begin], item[begin]
+
+
+def _runs(near: np.ndarray, lo: np.ndarray, count: np.ndarray, first: np.ndarray, index: Index) -> tuple[np.ndarray, ...]:
+    """All maximal runs of seeds: start in the documents' words and in the items', number of seeds, document, item.
+
+    near, lo, count: windows of documents, and where and how many of the index are equal to each.
+    """
+    ends = np.cumsum(count)
+    found = []
+    for a in range(0, int(ends[-1]), _SEEDS):
+        seed = np.arange(a, min(a + _SEEDS, int(ends[-1])))
+        which = np.searchsorted(ends, seed, "right")
+        at, place = near[which], index.place[lo[which] + seed - (ends - count)[which]]
+        doc, item = np.searchsorted(first, at, "right") - 1, np.searchsorted(index.first, place, "right") - 1
+        found.append(_joined(at, place, np.ones(len(at), np.int64), doc, item))
+    return found[0] if len(found) == 1 else _joined(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
 
 def matches(raw: np.ndarray, at: np.ndarray, index: Index, rules: TilingRules) -> list[tuple[int, int, int, int]]:
-    """(document, item, words covered, tiles) for all pairs that share a window."""
+    """(document, item, words covered, tiles) for all pairs whose common runs are long enough together for ``threshold``."""
     word, first = bare_words(raw, at)
     key, where = B.windows(word, first, rules.min_match)
     if not len(key) or not len(index.key):
@@ -128,81 +187,173 @@ def matches(raw: np.ndarray, at: np.ndarray, index: Index, rules: TilingRules) -
     near, lo, count = near[count > 0], lo[count > 0], count[count > 0]
     if not len(near):
         return []
-    at_word = np.repeat(where[near], count)
-    entry = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())
-    doc = np.searchsorted(first, at_word, "right") - 1
-    item = index.item[entry]
+    begin, place, n, doc, item = _runs(where[near], lo, count, first, index)
+    n = n + rules.min_match - 1
     order = np.lexsort((item, doc))
-    doc, item, at_word, start = doc[order], item[order], at_word[order], index.start[entry][order]
+    begin, place, n, doc, item = (x[order] for x in (begin, place, n, doc, item))
     head = np.flatnonzero(np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(item) != 0)]))
+    enough = np.add.reduceat(n, head) >= rules.threshold * np.diff(index.first)[item[head]]
     out = []
-    for a, b in zip(head.tolist(), [*head[1:].tolist(), len(doc)], strict=True):
+    for a, b in zip(head[enough].tolist(), np.append(head[1:], len(doc))[enough].tolist(), strict=True):
         d, k = int(doc[a]), int(item[a])
-        own = word[first[d] : first[d + 1]]
-        tiles = tile(own, index.words[k], np.stack([at_word[a:b] - first[d], start[a:b]], 1), rules.min_match)
-        out.append((d, k, sum(n for _, _, n in tiles), len(tiles)))
+        own = begin[a:b] - first[d], place[a:b] - index.first[k], n[a:b]
+        tiles = tile(int(first[d + 1] - first[d]), index.words(k), own, rules.min_match)
+        out.append((d, k, sum(m for _, _, m in tiles), len(tiles)))
     return out
 
 
-def blocks(benchmark: DataFrame, rules: TilingRules) -> Iterator[list[tuple[object, str | None]]]:
-    """The test items in blocks of about ``block_bytes``, each small enough for the driver and a broadcast."""
-    items = benchmark.select("item_id", "text")
-    total = items.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
-    n = max(1, -(-int(max((total[0] or 0), 64 * total[1])) // rules.block_bytes))
-    for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield [(r[0], r[1]) for r in sorted(part.collect(), key=lambda r: (str(r[0]), r[1] or ""))]
+_FIGURE_NAMES = ["item_words", "covered_words", "n_tiles", "coverage", "contaminated"]
+_FIGURES = "item_words long, covered_words long, n_tiles long, coverage double, contaminated boolean"
+
+
+def _figures(rows: list[tuple[int, int, int]]) -> list[pa.Array]:
+    """Columns of (item words, words covered, tiles)."""
+    size, covered, tiles = zip(*rows, strict=True)
+    return [*(pa.array(x, pa.int64()) for x in (size, covered, tiles)), pa.array([c / s for s, c in zip(size, covered, strict=True)], pa.float64()), pa.array([True] * len(rows))]
+
+
+def _few(benchmark: DataFrame, rules: TilingRules) -> bool:
+    """Whether all test items, with some bytes for each, are within the bound of a broadcast."""
+    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) + 64 * F.count(F.lit(1))).first()[0]
+    return size <= rules.block_bytes
+
+
+def _shared_index(benchmark: DataFrame, rules: TilingRules):
+    rows = sorted(((r[0], r[1]) for r in benchmark.select("item_id", "text").collect()), key=lambda r: (str(r[0]), r[1] or ""))
+    return benchmark.sparkSession.sparkContext.broadcast(build_index(rows, rules))
+
+
+def _text_key(text: Column) -> Column:
+    """128 bits that name a text."""
+    return F.struct(F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"))
+
+
+def _windows(df: DataFrame, rules: TilingRules, slots=None) -> DataFrame:
+    """(name, key): the different window hashes of each text; df: name, text. With ``slots``, those whose upper bits are among them."""
+    schema = T.StructType([df.schema["name"], *T.StructType.fromDDL("key long")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, _, raw, at in B.slices(batch.column(1)):
+                word, first = bare_words(raw, at) if len(raw) else (np.zeros(0, np.uint64), np.zeros(len(at), np.int64))
+                key, where = B.windows(word, first, rules.min_match)
+                if slots is not None:
+                    near = _has(slots.value, key, rules.filter_bits)
+                    key, where = key[near], where[near]
+                owner = np.searchsorted(first, where, "right") - 1
+                pair = np.unique(np.stack([owner.astype(np.uint64), key], 1), axis=0) if len(key) else np.zeros((0, 2), np.uint64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pair[:, 0].astype(np.int64) + i)), pa.array(pair[:, 1].view(np.int64))], names=["name", "key"])
+
+    return df.select("name", "text").mapInArrow(run, schema)
+
+
+def _has(bits: np.ndarray, key: np.ndarray, width: int) -> np.ndarray:
+    slot = (key >> np.uint64(64 - width)).astype(np.int64)
+    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _slots(windows: DataFrame, rules: TilingRules) -> np.ndarray:
+    """A bit for each value of the upper bits of a window hash; the driver gets that many bits and no more."""
+    width = rules.filter_bits
+    high = max(0, width - 20)  # a part has 2 ** 20 bits at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            slot = (batch.column(1).to_numpy().view(np.uint64) >> np.uint64(64 - width)).astype(np.int64)
+            low = width - high
+            for part in np.unique(slot >> low).tolist():
+                own = slot[slot >> low == part] & ((1 << low) - 1)
+                bits = parts.setdefault(part, np.zeros(1 << low, bool))
+                bits[own] = True
+        for part, bits in parts.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
+
+    out = np.zeros(max(1, 1 << width >> 3), np.uint8)
+    size = len(out) >> high
+    parted = windows.repartition(F.shiftrightunsigned("key", 64 - high) if high else F.lit(0))
+    for part, bits in parted.mapInArrow(run, "part int, bits binary").toLocalIterator():
+        out[part * size : (part + 1) * size] |= np.frombuffer(bits, np.uint8)
+    return out
+
+
+def seed_join(docs: DataFrame, benchmark: DataFrame, rules: TilingRules = TilingRules()) -> DataFrame:
+    """(k1, k2, item_id, figures) of each contaminated text and item, stored. docs: text. No table is broadcast whole; the texts of pairs are joined."""
+    scratch = Scratch(docs.sparkSession, "tiling")
+    items = scratch.put(benchmark.select(F.monotonically_increasing_id().alias("name"), "item_id", "text"), "items")
+    seeds = scratch.put(_windows(items.select("name", "text"), rules), "seeds")
+    slots = docs.sparkSession.sparkContext.broadcast(_slots(seeds, rules))
+    named = docs.where(F.col("text").isNotNull()).select(_text_key(F.col("text")).alias("name"), "text")
+    near = scratch.put(_windows(named, rules, slots).select("name.*", "key").distinct(), "near")
+    pairs = scratch.put(near.join(seeds, "key").select("k1", "k2", "name").distinct(), "pairs")
+    wanted = pairs.select("k1", "k2").distinct()
+    texts = named.select("name.*", "text").join(wanted, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+    both = pairs.join(texts, ["k1", "k2"]).join(items.withColumnRenamed("text", "item"), "name").select("k1", "k2", "item_id", "text", "item")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, kept = [], []
+            for k in range(len(batch)):
+                index = build_index([(None, batch.column(4)[k].as_py())], rules)
+                raw, at = B.text_buffers(batch.column(3).slice(k, 1))
+                for _, _, covered, tiles in matches(raw, at, index, rules):
+                    if covered >= rules.threshold * index.words(0):
+                        rows.append((index.words(0), covered, tiles))
+                        kept.append(k)
+            if rows:
+                taken = batch.select([0, 1, 2]).take(pa.array(kept))
+                yield pa.RecordBatch.from_arrays([*taken.columns, *_figures(rows)], names=["k1", "k2", "item_id", *_FIGURE_NAMES])
+
+    out = scratch.put(both.mapInArrow(run, extended(both.select("k1", "k2", "item_id").schema, _FIGURES)), "found")
+    scratch.drop(items, seeds, near, pairs)
+    return out
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", rules: TilingRules = TilingRules()) -> DataFrame:
     """One row for each contaminated document and item: id, item_id, item_words, covered_words, n_tiles, coverage, contaminated."""
-    source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    kind = next(f.dataType.simpleString() for f in source.schema if f.name == "doc_id")
-    item_kind = next(f.dataType.simpleString() for f in benchmark.schema if f.name == "item_id")
-    schema = f"doc_id {kind}, item_id {item_kind}, item_words long, covered_words long, n_tiles long, coverage double, contaminated boolean"
-    out = None
-    for block in blocks(benchmark, rules):
-        shared = docs.sparkSession.sparkContext.broadcast(build_index(block, rules))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            for batch in batches:
-                for i, j, raw, at in B.slices(batch.column(1)):
-                    rows = [(i + d, k, c, n) for d, k, c, n in matches(raw, at, index, rules) if c >= rules.threshold * len(index.words[k])]
-                    if rows:
-                        size = [len(index.words[k]) for _, k, _, _ in rows]
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                batch.column(0).take(pa.array([r[0] for r in rows])),
-                                pa.array([index.ids[r[1]] for r in rows], pa.int64() if item_kind == "bigint" else None),
-                                pa.array(size, pa.int64()),
-                                pa.array([r[2] for r in rows], pa.int64()),
-                                pa.array([r[3] for r in rows], pa.int64()),
-                                pa.array([r[2] / s for r, s in zip(rows, size, strict=True)], pa.float64()),
-                                pa.array([True] * len(rows)),
-                            ],
-                            names=["doc_id", "item_id", "item_words", "covered_words", "n_tiles", "coverage", "contaminated"],
-                        )
-
-        part = bounded(source).mapInArrow(run, schema)
-        out = part if out is None else out.unionAll(part)
-    return out
+    source = docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(text)).alias("text"))
+    items = benchmark.select("item_id", "text")
+    if not _few(items, rules):
+        found = seed_join(source.select("text"), items, rules)
+        keyed = source.where(F.col("text").isNotNull()).select("doc_id", _text_key(F.col("text")).alias("k")).select("doc_id", "k.*")
+        return keyed.join(found, ["k1", "k2"]).drop("k1", "k2")
+    shared = _shared_index(items, rules)
+    kind = T.StructType([source.schema["doc_id"], items.schema["item_id"]])
+    item_kind = to_arrow_type(items.schema["item_id"].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        item_ids = None
+        for batch in batches:
+            for i, _, raw, at in B.slices(batch.column(1)):
+                rows = [(i + d, k, c, n) for d, k, c, n in matches(raw, at, index, rules) if c >= rules.threshold * index.words(k)]
+                if rows:
+                    if item_ids is None:
+                        item_ids = pa.array(index.ids, item_kind)
+                    named = [batch.column(0).take(pa.array([r[0] for r in rows])), item_ids.take(pa.array([r[1] for r in rows]))]
+                    yield pa.RecordBatch.from_arrays([*named, *_figures([(index.words(k), c, n) for _, k, c, n in rows])], names=["doc_id", "item_id", *_FIGURE_NAMES])
+
+    return source.mapInArrow(run, extended(kind, _FIGURES))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", rules: TilingRules = TilingRules()) -> DataFrame:
-    """The rows that no item contaminates; columns as they came. No shuffle: each row is judged where it lies."""
-    for block in blocks(benchmark, rules):
-        shared = docs.sparkSession.sparkContext.broadcast(build_index(block, rules))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            for batch in batches:
-                keep = np.ones(len(batch), bool)
-                for i, _, raw, at in B.slices(batch.column(batch.schema.get_field_index(text))):
-                    for d, k, covered, _ in matches(raw, at, index, rules):
-                        if covered >= rules.threshold * len(index.words[k]):
-                            keep[i + d] = False
-                yield batch if keep.all() else batch.filter(pa.array(keep))
-
-        docs = bounded(docs).mapInArrow(run, docs.schema)
-    return docs
+    """The rows that no item contaminates; columns as they came. With few items nothing is shuffled: each row is judged where it lies."""
+    items = benchmark.select("item_id", "text")
+    if not _few(items, rules):
+        found = seed_join(docs.select(F.col(quoted(text)).alias("text")), items, rules).select("k1", "k2").distinct()
+        key = _text_key(F.col(quoted(text)))
+        rows = docs.select(as_struct(docs), key.getField("k1").alias("k1"), key.getField("k2").alias("k2"))
+        return rows.join(found, ["k1", "k2"], "left_anti").select(*unpacked(docs.columns))
+    shared = _shared_index(items, rules)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for batch in batches:
+            keep = np.ones(len(batch), bool)
+            for i, _, raw, at in B.slices(batch.column(batch.schema.get_field_index(text))):
+                for d, k, covered, _ in matches(raw, at, index, rules):
+                    if covered >= rules.threshold * index.words(k):
+                        keep[i + d] = False
+            yield batch if keep.all() else batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
