@@ -6,13 +6,19 @@ URLs, weighted back to the shares of the labels, and scored as nested CASE
 expressions. The blocked shares of suffixes and sites, and of all URLs for
 those without labels, are counted over all distinct labelled URLs.
 
+For the rows that train the trees those shares are taken from the URLs of
+other hosts, so that a tree learns what a share tells of a host not seen yet.
+
 A rule like ``net/de/`` fits the host ``net`` and all its subdomains where
-the path starts with ``/de/``; the longest rule that fits decides.
+the path starts with ``/de/``; the longest rule that fits decides. Few rules
+are one CASE expression; more are joined by host.
 
 Defined results: a null URL or one without ``://`` has empty host and path,
-no rule, and the method's verdict on the empty URL; without labels of both
-kinds the method allows; repeated rows are judged alike; other columns pass
-through.
+no rule, and the method's verdict on the empty URL; very long URLs are judged
+whole; of rules of one length that with the longer host wins, and of equal
+rules that which blocks; a URL with several labels has the largest; without
+labels of both kinds the method allows; repeated rows are judged alike; an
+empty table gives no row; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,13 +31,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkspark.llm.storage import materialize
+from linkspark.llm.storage import Scratch, quoted, without
 
 FEATURES = (
     "url_length", "host_length", "path_length", "host_depth", "path_depth", "digit_ratio", "host_digits", "hyphens",
     "entropy", "parameters", "query_length", "longest_label", "suffix_share", "site_share",
 )
-MAX_RULES = 1000
+MOST_CASES = 200  # rules in one expression
+_FOLDS = 5
 
 
 @dataclass(frozen=True)
@@ -52,18 +59,43 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def _rank(rule: tuple[str, str]) -> tuple[int, int, bool]:
+    """The rule of the largest rank wins."""
+    return len(rule[1]), len(rule[1].partition("/")[0]), rule[0] == "block"
+
+
 def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Column:
-    """The struct (rule, verdict) of the longest rule that fits, or null. rules: (verdict, rule)."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules; join them as a table instead")
+    """The struct (rule, verdict) of the longest rule that fits, or null, as one expression. rules: (verdict, rule)."""
     out: Column = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for verdict, rule in sorted(rules, key=lambda r: len(r[1])):
+    for verdict, rule in sorted(rules, key=_rank):
         site, _, rest = rule.partition("/")
         fits = ((host == site) | F.endswith(host, F.lit("." + site))) & F.startswith(path, F.lit("/" + rest))
         out = F.when(fits, F.struct(F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(out)
     return out
 
 
+def with_rule(df: DataFrame, rules: Sequence[tuple[str, str]] | DataFrame) -> DataFrame:
+    """Adds ``__found`` as ``longest_rule`` has it, from __host and __path. rules: (verdict, rule) pairs, or a table of the two.
+
+    A table's rules, or many, are joined with the different hosts, by every end of a host; a host's few rules are then
+    joined with its URLs. Spark splits a frequent host's rows.
+    """
+    if not isinstance(rules, DataFrame):
+        if len(rules) <= MOST_CASES:
+            return df.withColumn("__found", longest_rule(F.col("__host"), F.col("__path"), rules))
+        rules = df.sparkSession.createDataFrame(list(rules), "verdict string, rule string")
+    site = F.substring_index("rule", "/", 1)
+    strength = F.struct(F.length("rule").alias("n"), F.length(site).alias("m"), (F.col("verdict") == "block").alias("block"), "rule", "verdict", F.concat(F.lit("/"), F.substring(F.col("rule"), F.length(site) + 2, F.length("rule"))).alias("rest"))
+    own = rules.select(site.alias("site"), strength.alias("r"))
+    labels = F.split("__host", r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    known = df.select("__host").distinct().select("__host", F.explode(ends).alias("site")).join(own, "site").groupBy("__host").agg(F.array_sort(F.collect_list("r")).alias("__rules"))
+    fits = F.filter("__rules", lambda r: F.startswith(F.col("__path"), r["rest"]))
+    best = F.try_element_at(fits, F.lit(-1))
+    found = F.when(best.isNotNull(), F.struct(best["rule"].alias("rule"), best["verdict"].alias("verdict")))
+    return df.join(known, "__host", "left").withColumn("__found", found).drop("__rules")
+
+
 def _label(host: Column, k: int) -> Column:
     return F.coalesce(F.get(F.reverse(F.split(host, r"\.")), F.lit(k)), F.lit(""))
 
@@ -103,11 +135,19 @@ def _lexical(df: DataFrame) -> DataFrame:
     )
 
 
-def _with_shares(df: DataFrame, tables: dict[str, DataFrame], prior: float, rules: UrlRules) -> DataFrame:
-    """Adds the smoothed shares of blocked URLs. Spark splits the rows of frequent values, or broadcasts small tables."""
+def _with_shares(df: DataFrame, tables: dict[str, DataFrame], prior: float, rules: UrlRules, folds: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Adds the smoothed shares of blocked URLs; with ``folds``, of those that are not in the row's own __fold.
+
+    Spark splits the rows of frequent values, or broadcasts small tables.
+    """
     for column, name in (("__suffix", "suffix_share"), ("__site", "site_share")):
-        share = (F.col("bad") + prior * rules.prior_weight) / (F.col("n") + rules.prior_weight)
-        df = df.join(tables[column].select(column, share.alias(name)), column, "left").withColumn(name, F.coalesce(F.col(name), F.lit(prior)))
+        df = df.join(tables[column].select(column, F.col("n").alias("__n"), F.col("bad").alias("__bad")), column, "left")
+        n, bad = F.coalesce("__n", F.lit(0)), F.coalesce("__bad", F.lit(0.0))
+        if folds is not None:
+            df = df.join(folds[column].select(column, "__fold", F.col("n").alias("__own"), F.col("bad").alias("__own_bad")), [column, "__fold"], "left")
+            n, bad = n - F.coalesce("__own", F.lit(0)), bad - F.coalesce("__own_bad", F.lit(0.0))
+        share = (bad + prior * rules.prior_weight) / (n + rules.prior_weight)
+        df = df.withColumn(name, share).drop("__n", "__bad", "__own", "__own_bad")
     return df
 
 
@@ -123,12 +163,13 @@ def _tree(node) -> Column:
 @dataclass(frozen=True)
 class Model:
     margin: Column | None  # over FEATURES; positive means block
-    tables: dict[str, DataFrame]
+    tables: dict[str, DataFrame]  # labelled and blocked URLs of each suffix and site
     prior: float
+    fitted: object = None  # Spark's own model, whose trees the margin has
 
 
 def _prepared(df: DataFrame, url: str) -> DataFrame:
-    clean = F.when(F.instr(F.col(f"`{url}`"), "://") > 0, F.col(f"`{url}`")).otherwise("")
+    clean = F.when(F.instr(F.col(quoted(url)), "://") > 0, F.col(quoted(url))).otherwise("")
     return df.withColumns({"__url": clean, "__host": host_of(clean), "__path": path_of(clean)})
 
 
@@ -137,42 +178,51 @@ def train(labelled: DataFrame, url: str = "url", rules: UrlRules = UrlRules()) -
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    distinct = labelled.where(F.col(f"`{url}`").isNotNull() & F.col("label").isNotNull()).groupBy(F.col(f"`{url}`").alias("url")).agg(F.max("label").cast("double").alias("label"))
-    sites = _prepared(distinct, "url").select("label", _label(F.col("__host"), 0).alias("__suffix"), _site(F.col("__host")).alias("__site"))
-    counts = materialize(sites.groupBy("__suffix", "__site").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("bad")), "sites")
-    tables = {c: materialize(counts.groupBy(c).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), c.strip("_")) for c in ("__suffix", "__site")}
+    spark = labelled.sparkSession
+    scratch = Scratch(spark, "urls")
+    distinct = labelled.where(F.col(quoted(url)).isNotNull() & F.col("label").isNotNull()).groupBy(F.col(quoted(url)).alias("url")).agg(F.max("label").cast("double").alias("label"))
+    distinct = scratch.put(distinct.withColumn("__fold", F.pmod(F.xxhash64(host_of(F.col("url"))), F.lit(_FOLDS)).cast("int")), "labelled")
+    sites = _prepared(distinct, "url").select("label", "__fold", _label(F.col("__host"), 0).alias("__suffix"), _site(F.col("__host")).alias("__site"))
+    counted = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
+    counts = scratch.put(sites.groupBy("__suffix", "__site", "__fold").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("bad")), "sites")
+    tables = {c: scratch.put(counts.groupBy(c).agg(*counted), c.strip("_")) for c in ("__suffix", "__site")}
     n, bad = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0.0))).first()
     prior = bad / max(1, n)
     if not 0 < bad < n:
         return Model(None, tables, prior)
-    spark = labelled.sparkSession
     rows = []
     for k, size in ((0.0, n - bad), (1.0, bad)):
         own = distinct.where(F.col("label") == k).orderBy(F.xxhash64("url"), "url").limit(rules.sample // 2).collect()
-        rows += [(r[0], r[1], size / len(own)) for r in own]
-    kind = T.StructType([T.StructField("url", T.StringType()), T.StructField("label", T.DoubleType()), T.StructField("weight", T.DoubleType())])
-    known = _with_shares(_lexical(_prepared(spark.createDataFrame(rows, kind), "url")), tables, prior, rules)
+        rows += [(r[0], r[1], r[2], size / len(own)) for r in own]
     order = ("url", *FEATURES, "label", "weight")
-    known = spark.createDataFrame(sorted(known.select(*order).collect(), key=lambda r: r[0]), T.StructType([T.StructField(c, T.StringType() if c == "url" else T.DoubleType()) for c in order]))
+    sample = spark.createDataFrame(rows, "url string, label double, __fold int, weight double")
+    folds = {c: counts.groupBy(c, "__fold").agg(*counted) for c in ("__suffix", "__site")}
+    known = _with_shares(_lexical(_prepared(sample, "url")), tables, prior, rules, folds).select(*order).collect()
+    known = spark.createDataFrame(sorted(known, key=lambda r: r[0]), T.StructType([T.StructField(c, T.StringType() if c == "url" else T.DoubleType()) for c in order]))
     table = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(known.coalesce(2)).select("features", "label", "weight").cache()
     fitted = GBTClassifier(maxIter=rules.rounds, maxDepth=rules.depth, stepSize=rules.step, seed=7, minInstancesPerNode=5, weightCol="weight").fit(table)
     table.unpersist()
+    scratch.drop(distinct, counts)
     margin = F.lit(0.0)
     for tree, weight in zip(fitted.trees, fitted.treeWeights, strict=True):
         margin = margin + float(weight) * _tree(tree._java_obj.rootNode())
-    return Model(margin, tables, prior)
+    return Model(margin, tables, prior, fitted)
+
+
+def features_of(df: DataFrame, model: Model, url: str = "url", rules: UrlRules = UrlRules()) -> DataFrame:
+    """``df`` with __url, __host, __path and FEATURES."""
+    return _with_shares(_lexical(_prepared(df, url)), model.tables, model.prior, rules)
 
 
-def judge(pages: DataFrame, model: Model, host_rules: Sequence[tuple[str, str]], url: str = "url", rules: UrlRules = UrlRules()) -> DataFrame:
+def judge(pages: DataFrame, model: Model, host_rules: Sequence[tuple[str, str]] | DataFrame, url: str = "url", rules: UrlRules = UrlRules()) -> DataFrame:
     """Adds ``host, path, rule, verdict, block_score`` to every row; columns of those names are replaced."""
-    new = ("host", "path", "rule", "verdict", "block_score")
-    others = [c for c in pages.columns if c not in new]
-    packed = pages.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("__row"), F.col(f"`{url}`").alias("__raw"))
-    df = _with_shares(_lexical(_prepared(packed, "__raw")), model.tables, model.prior, rules)
+    others = without(pages, ["host", "path", "rule", "verdict", "block_score"])
+    packed = pages.select(F.struct(F.lit(None).alias("__none"), *(F.col(quoted(c)) for c in others)).alias("__row"), F.col(quoted(url)).alias("__raw"))
+    df = features_of(packed, model, "__raw", rules)
     margin = model.margin if model.margin is not None else F.lit(-math.inf)
-    df = df.withColumn("__found", longest_rule(F.col("__host"), F.col("__path"), host_rules)).withColumn("__margin", margin)
+    df = with_rule(df, host_rules).withColumn("__margin", margin)
     return df.select(
-        *(F.col(f"__row.`{c}`") for c in others),
+        *(F.col(f"__row.{quoted(c)}").alias(c) for c in others),
         F.col("__host").alias("host"),
         F.col("__path").alias("path"),
         F.col("__found.rule").alias("rule"),
