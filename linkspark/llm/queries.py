@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkspark.llm import decontaminate, langid, ngram_join, packing, quality, secrets, sharding, token_binary, toxicity, url_filter
+from linkspark.llm import decontaminate, langid, ngram_join, packing, quality, secrets, sharding, storage, token_binary, toxicity, url_filter
 from linkspark.llm.sampling import fold
-from linkspark.llm.storage import shared_folder, table
+from linkspark.llm.storage import Scratch, prepare
 
 URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 #: Words in a host by which URLs are labelled as unwanted, for training.
 URL_SEEDS = ("casino", "bets", "adult", "spam")
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return storage.table(prepare(spark), sf_dir, name)
+
+
+def url_labels(pages: DataFrame) -> DataFrame:
+    """(url, label) of pages: 1 where the host holds one of ``URL_SEEDS``. No table labels URLs; whoever has labels passes them to the filter."""
+    bad = F.lit(False)
+    for word in URL_SEEDS:
+        bad = bad | F.contains(url_filter.host_of(F.col("url")), F.lit(word))
+    return pages.select("url", bad.cast("int").alias("label"))
+
+
 def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
@@ -29,8 +39,9 @@ def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
-    token_binary.write_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), out)
+    docs = table(spark, sf_dir, "documents")
+    out = Scratch(spark, "token-files").path("all")
+    token_binary.write_tokens(docs, tokenizer_file("byte_bpe_50k.json"), out)
     return token_binary.read_tokens(spark, out)
 
 
@@ -43,10 +54,7 @@ def op3_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    bad = F.lit(False)
-    for word in URL_SEEDS:
-        bad = bad | F.contains(url_filter.host_of(F.col("url")), F.lit(word))
-    model = url_filter.train(pages.select("url", bad.cast("int").alias("label")))
+    model = url_filter.train(url_labels(pages))
     return url_filter.judge(pages, model, URL_RULES).drop("url")
 
 

@@ -10,8 +10,17 @@ A file row is a block of documents in ascending doc_id order: ``part``
 rows, so any shared store serves and lost executors are made up for; the
 rank table lies beside them.
 
-Defined results: null text is empty and has the end id only; null ids come
-first; repeated rows each keep their place; an empty table gives no block.
+Texts are ranged by doc_id and encoded in that order; a repeated row is ranged
+by its place too, so any number of equal rows is dealt over all tasks. Ids, of
+two bytes if the vocabulary allows it, are stored with the counts of each task
+until the ranks are known. (Shuffling ids in place of texts was measured and
+not kept, see the README.)
+
+Defined results: null text is empty and has the end id only; very long texts
+are encoded whole and lie in one block; doc_id may be of any type that Spark
+orders and Arrow has, and null ids come first; rows of one id are in the order
+of their texts' hashes, and repeated rows each keep their place; an empty
+table gives no block; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,9 +33,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linkspark.llm import tokens
-from linkspark.llm.storage import bounded, materialize
+from linkspark.llm.storage import Scratch, extended
 
 BLOCK_IDS = 1 << 16
 CACHE_SEGMENTS = 900_000  # of each worker: about 1 kB each at the peak
@@ -62,21 +72,22 @@ def decode_block(payload: bytes) -> np.ndarray:
 
 
 def _tokenized(docs: DataFrame, path: str, partitions: int) -> DataFrame:
-    """(doc_id, part, start in part, ids) in ascending doc_id order, stored in the shared folder."""
-    kind = next(f.dataType.simpleString() for f in docs.schema if f.name == "doc_id")
-    ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("__tie")).repartitionByRange(partitions, "doc_id", "__tie").sortWithinPartitions("doc_id", "__tie").drop("__tie")
-
-    id_type, names = _arrow(kind), ["doc_id", "part", "start", "width", "ids", "counts"]
+    """(doc_id, part, start in part, width, ids, counts) in ascending doc_id order, ids in ``width`` bytes each; the last row of a task has its counts alone."""
+    keys = ["doc_id", "__tie", "__place"]
+    ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("__tie"), F.monotonically_increasing_id().alias("__place"))
+    ordered = ordered.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys).select("doc_id", "text")
+    names = ["doc_id", "part", "start", "width", "ids", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, before, total = TaskContext.get().partitionId(), 0, np.zeros(1, np.int64)
+        part, before, total, kind = TaskContext.get().partitionId(), 0, np.zeros(1, np.int64), None
         work = tokens.encoder(path, True, CACHE_SEGMENTS)
         for batch in batches:
+            kind = batch.column(0).type
             for at in range(0, len(batch), 512):
                 column = batch.column(0).slice(at, 512)
                 for a, b, texts in tokens.text_runs(batch.column(1).slice(at, 512).to_pylist()):
                     ids, cut = work.encode(texts)
-                    raw = ids.astype("<u2") if not len(ids) or ids.max() < 1 << 16 else ids
+                    raw = ids.astype("<u2") if ids.max() < 1 << 16 else ids
                     width = raw.itemsize
                     value = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((cut * width).astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
                     yield pa.RecordBatch.from_arrays([column.slice(a, b - a), pa.array(np.full(b - a, part), pa.int32()), pa.array(before + cut[:-1]), pa.array(np.full(b - a, width), pa.int32()), value, pa.nulls(b - a, pa.binary())], names=names)
@@ -85,14 +96,12 @@ def _tokenized(docs: DataFrame, path: str, partitions: int) -> DataFrame:
                     own[: len(total)] += total
                     total = own
         at = np.flatnonzero(total)
-        counts = np.stack([at, total[at]], 1).astype("<i8").tobytes()  # the task's own counts, as its last row
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.array([part], pa.int32()), pa.array([before]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([counts], pa.binary())], names=names)
-
-    return materialize(bounded(ordered).mapInArrow(run, f"doc_id {kind}, part int, start long, width int, ids binary, counts binary"), "token-ids")
-
+        if len(at):
+            counts = np.stack([at, total[at]], 1).astype("<i8").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.array([part], pa.int32()), pa.array([before]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([counts], pa.binary())], names=names)
 
-def _raw_ids(batch: pa.RecordBatch, k: int) -> np.ndarray:
-    return np.frombuffer(batch.column(4)[k].as_buffer(), "<u2" if batch.column(3)[k].as_py() == 2 else "<u4")
+    kind = T.StructType([T.StructField("doc_id", ordered.schema["doc_id"].dataType)])  # nullable, for the counts' row
+    return ordered.mapInArrow(run, extended(kind, "part int, start long, width int, ids binary, counts binary"))
 
 
 def frequencies(stored: DataFrame) -> list[tuple[int, int]]:
@@ -108,46 +117,42 @@ def frequencies(stored: DataFrame) -> list[tuple[int, int]]:
     return [(r[0], r[1]) for r in counted.collect()]
 
 
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
-
-
 def write_tokens(docs: DataFrame, path: str, out: str, partitions: int | None = None) -> None:
     """Encodes all documents with the tokenizer file at ``path`` and writes the blocks and the rank table under ``out``."""
     spark = docs.sparkSession
+    scratch = Scratch(spark, "tokens")
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    stored = _tokenized(docs, path, partitions)
+    stored = scratch.put(_tokenized(docs, path, partitions), "ids")
     order = sorted(frequencies(stored), key=lambda x: (-x[1], x[0]))
     rank = np.zeros(max([i for i, _ in order], default=0) + 1, np.uint32)
     rank[[i for i, _ in order]] = np.arange(len(order))
     spark.createDataFrame([(k, i, n) for k, (i, n) in enumerate(order)], "rank int, id int, n long").coalesce(1).write.parquet(f"{out}/ranks")
     shared = spark.sparkContext.broadcast(rank)
-    kind = next(f.dataType.simpleString() for f in stored.schema if f.name == "doc_id")
-    id_type = _arrow(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
         for batch in batches:
-            part, start = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            rows, held = [], 0
+            part, start, width = (batch.column(k).to_pylist() for k in (1, 2, 3))
+            ids = [np.frombuffer(x.as_buffer(), f"<u{w}") for x, w in zip(batch.column(4), width, strict=True)]
+            first, held = 0, 0
             for k in range(len(batch)):
-                if rows and (part[k] != part[rows[-1]] or held >= BLOCK_IDS):
-                    yield block(batch, rows, part, start, table)
-                    rows, held = [], 0
-                rows.append(k)
-                held += len(batch.column(4)[k].as_buffer()) // 2
-            if rows:
-                yield block(batch, rows, part, start, table)
-
-    def block(batch, rows, part, start, table) -> pa.RecordBatch:
-        ids = [_raw_ids(batch, k) for k in rows]
-        payload = encode_block(table[np.concatenate(ids)])
+                if k > first and (part[k] != part[first] or held >= BLOCK_IDS):
+                    yield block(batch.column(0).slice(first, k - first), part[first], start[first], ids[first:k])
+                    first, held = k, 0
+                held += len(ids[k])
+            if len(batch):
+                yield block(batch.column(0).slice(first), part[first], start[first], ids[first:])
+
+    def block(doc_ids: pa.Array, part: int, start: int, ids: list[np.ndarray]) -> pa.RecordBatch:
+        payload = encode_block(shared.value[np.concatenate(ids)])
         return pa.RecordBatch.from_arrays(
-            [pa.array([part[rows[0]]], pa.int32()), pa.array([start[rows[0]]], pa.int64()), pa.array([batch.column(0).slice(rows[0], len(rows)).to_pylist()], pa.list_(id_type)), pa.array([[len(i) for i in ids]], pa.list_(pa.int32())), pa.array([payload], pa.binary())],
+            [pa.array([part], pa.int32()), pa.array([start], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.concat_arrays([doc_ids])), pa.array([[len(i) for i in ids]], pa.list_(pa.int32())), pa.array([payload], pa.binary())],
             names=["part", "start", "doc_ids", "lengths", "payload"],
         )
 
-    stored.where(F.col("counts").isNull()).mapInArrow(run, f"part int, start long, doc_ids array<{kind}>, lengths array<int>, payload binary").write.parquet(f"{out}/blocks")
+    kind = T.ArrayType(stored.schema["doc_id"].dataType)
+    schema = T.StructType([*T.StructType.fromDDL("part int, start long"), T.StructField("doc_ids", kind), *T.StructType.fromDDL("lengths array<int>, payload binary")])
+    stored.where(F.col("counts").isNull()).mapInArrow(run, schema).write.parquet(f"{out}/blocks")
+    scratch.drop(stored)
 
 
 def read_tokens(spark: SparkSession, out: str, with_ids: bool = False) -> DataFrame:
@@ -162,7 +167,7 @@ def read_tokens(spark: SparkSession, out: str, with_ids: bool = False) -> DataFr
     for part, size in parts:  # as many as there are ranges
         base[part] = before
         before += size
-    kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
+    kind = T.StructType([T.StructField("doc_id", blocks.schema["doc_ids"].dataType.elementType)])
     shared = spark.sparkContext.broadcast((ids_by_rank, base))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,4 +186,4 @@ def read_tokens(spark: SparkSession, out: str, with_ids: bool = False) -> DataFr
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return blocks.mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    return blocks.mapInArrow(run, extended(kind, "start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids))
