@@ -4,10 +4,11 @@ Two documents link when the Jaccard similarity of their sets of five-word
 shingles is at least 3/4. A set is named by a 64-bit hash of its members, so
 equal sets are one node from the start.
 
-1. Document frequencies of all shingles are counted; the most frequent ones
-   (a table of bounded size) order the shingles of each set, rare ones first
-   and the others by hash. Any one order gives exact results; this one keeps
-   shared passages out of the prefixes.
+1. Document frequencies of all shingles are counted into a sketch of bounded
+   size: the count of all shingles of a hash range, on a logarithmic scale.
+   It orders the shingles of each set, rare ones first and then by hash. Any
+   one order gives exact results; this one keeps shared passages out of the
+   prefixes. Counts are added up before they are shuffled.
 2. Each set sends the shingles of its prefix, with its size and their
    positions, packed by hash range. Lists with one set are dropped.
 3. Stars: each list's centre is the set with the fewest prefix shingles of
@@ -20,13 +21,19 @@ equal sets are one node from the start.
    into each of 64 hash ranges; each pair left is verified once. Nothing is
    lost: a pair inside a component cannot change the components.
 
+Postings are dealt over as many tasks as their number asks for, so a task's
+memory doesn't grow with the input.
+
 Hashes are of 64 bits: two different sets among 10**9 share a name with
 probability 0.03.
 
 Defined results: null texts and those without words have no shingles and
 link with nothing, not even with each other; texts with fewer than five
-words have their whole sequence as one shingle; repeated rows get the same
-component; a null id never names a component; other columns are ignored.
+words have their whole sequence as one shingle; very long texts are whole
+sets like others; repeated rows get the same component; a null id never names
+a component, but its text links others; of a component's ties the least id
+names it; an empty table gives no row; other columns are ignored, or pass
+through ``keep_one`` whatever their names.
 """
 
 from __future__ import annotations
@@ -42,16 +49,17 @@ from pyspark.sql import functions as F
 
 from linkspark.llm import bytescan as B
 from linkspark.llm.components import components
-from linkspark.llm.storage import bounded, materialize
+from linkspark.llm.storage import Scratch, as_struct, extended, unpacked
 
 BINS = 64
 
 
 @dataclass(frozen=True)
 class JoinRules:
-    frequent_from: int = 16  # document frequency from which a shingle may be listed
-    frequent_most: int = 1 << 20  # size of the list, the most frequent first: 12 MB
-    spread_from: int = 100_000  # lists of shingles so frequent are dealt over all tasks
+    sketch_bits: int = 24  # 2 ** bits counts of one byte are known to every task: 16 MB
+    spread_from: int = 100_000  # lists of shingles so frequent are dealt over all tasks ...
+    spread_factor: float = 8.0  # ... if they are also so many times more frequent than a count of the sketch is on average
+    bucket_shingles: int = 1 << 21  # prefix shingles in one task's lists
     flush: int = 1 << 21  # hashes that a task holds
     chunk: int = 256  # members of a list that are paired as one row
 
@@ -103,28 +111,53 @@ def _sets(batches: Iterator[pa.RecordBatch], column: int, once: bool) -> Iterato
 
 
 def named_sets(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Every row with ``__n`` (size of its set), ``__node`` (its name, 0 if empty) and ``__bins`` (members in each hash range)."""
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["__n long, __node long, __bins binary"])
+    """Every row with ``__n`` (size of its set) and ``__node`` (its name, 0 if empty)."""
+    schema = extended(docs.schema, "__n long, __node long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, node, bins = [], [], []
+            n, node = [], []
             for _, _, shingles, name in _sets(iter([batch]), batch.schema.get_field_index(text), False):
                 n.append(len(shingles))
                 node.append(name)
-                bins.append(np.bincount((shingles >> np.uint64(58)).astype(np.int64), minlength=BINS).astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bins, pa.binary())], names=[*batch.schema.names, "__n", "__node", "__bins"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array(node, pa.int64())], names=[*batch.schema.names, "__n", "__node"])
+
+    return docs.mapInArrow(run, schema)
+
+
+@dataclass(frozen=True)
+class Sketch:
+    """How frequent the shingles of each hash range are together."""
+
+    weight: np.ndarray  # by the upper bits of the hash, one byte each
+    bits: int
+    total: int  # shingles of all sets
+
+    def of(self, key: np.ndarray) -> np.ndarray:
+        """Weights of keys: a function of the shingle alone."""
+        return self.weight[(key & 0xFFFFFFFF) >> (32 - self.bits)]
+
+    def spread(self, rules: JoinRules) -> int:
+        """The weight from which lists are dealt over all tasks."""
+        least = max(rules.spread_from, rules.spread_factor * self.total / len(self.weight))
+        return int(scaled(np.array([least]))[0])
+
 
-    return bounded(docs).mapInArrow(run, schema)
+def scaled(counts: np.ndarray) -> np.ndarray:
+    """Counts on a logarithmic scale, eight steps for each power of two."""
+    return np.minimum(8 * np.log2(1.0 + counts), 255).astype(np.uint8)
 
 
-def frequent_shingles(docs: DataFrame, buckets: int, rules: JoinRules) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending keys of the most frequent shingles and their document frequencies, counted over all sets."""
+def shingle_sketch(docs: DataFrame, rules: JoinRules) -> Sketch:
+    """Counted over all sets, each set once a task. Tasks send sums, never single shingles; the driver gets the sketch alone."""
+    bits = rules.sketch_bits
+    parts = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 << bits)
+    edge = [-(-(p << bits) // parts) for p in range(parts + 1)]  # of the slots of each part
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for _, _, shingles, _ in _sets(batches, 0, True):
-            held.append(shingles)
+            held.append((shingles >> np.uint64(64 - bits)).astype(np.uint32))
             size += len(shingles)
             if size >= rules.flush:
                 yield packed(held)
@@ -133,45 +166,45 @@ def frequent_shingles(docs: DataFrame, buckets: int, rules: JoinRules) -> tuple[
             yield packed(held)
 
     def packed(held: list[np.ndarray]) -> pa.RecordBatch:
-        key = np.sort(_key(np.concatenate(held), buckets))
-        cut = np.flatnonzero(np.diff(key >> 32, prepend=-1))
-        data = [_planes(np.diff((key[a:b] & 0xFFFFFFFF).astype(np.uint32), prepend=np.uint32(0))) for a, b in zip(cut, [*cut[1:], len(key)], strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array((key[cut] >> 32).astype(np.int32)), pa.array(data, pa.binary())], names=["bucket", "data"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, list[np.ndarray]] = {}
+        slot, n = np.unique(np.concatenate(held), return_counts=True)
+        part = (slot.astype(np.int64) * parts) >> bits
+        cut = np.flatnonzero(np.diff(part, prepend=-1))
+        data = [_planes(np.diff(slot[a:b], prepend=np.uint32(0))) + _planes(n[a:b].astype(np.uint32)) for a, b in zip(cut, [*cut[1:], len(slot)], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(part[cut].astype(np.int32)), pa.array(data, pa.binary())], names=["part", "data"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[int, np.ndarray] = {}
         for batch in batches:
-            for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for part, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw = memoryview(data.as_buffer())
-                found.setdefault(bucket, []).append(np.cumsum(_from_planes(raw, len(raw) // 4, "<u4"), dtype=np.uint32))
-        for bucket, parts in found.items():
-            value, n = np.unique(np.concatenate(parts), return_counts=True)
-            many = n >= rules.frequent_from
-            yield pa.RecordBatch.from_arrays([pa.array(value[many].astype(np.int64) + (bucket << 32)), pa.array(n[many], pa.int64())], names=["key", "n"])
-
-    counted = docs.select("text").mapInArrow(send, "bucket int, data binary").repartition(buckets, "bucket").mapInArrow(count, "key long, n long")
-    top = counted.orderBy(F.desc("n"), "key").limit(rules.frequent_most).toArrow()
-    key, n = top.column("key").to_numpy(), top.column("n").to_numpy()
-    order = np.argsort(key)
-    return key[order], n[order]
-
-
-def postings(docs: DataFrame, buckets: int, rules: JoinRules) -> DataFrame:
+                m = len(raw) // 8
+                if part not in counts:
+                    counts[part] = np.zeros(edge[part + 1] - edge[part], np.int64)
+                counts[part][np.cumsum(_from_planes(raw, m, "<u4"), dtype=np.uint32) - edge[part]] += _from_planes(raw[4 * m :], m, "<u4")
+        for part, own in counts.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([scaled(own).tobytes()], pa.binary()), pa.array([int(own.sum())])], names=["part", "weight", "total"])
+
+    summed = docs.select("text").mapInArrow(send, "part int, data binary").repartition(parts, "part").mapInArrow(add, "part int, weight binary, total long")
+    weight, total = np.zeros(1 << bits, np.uint8), 0
+    for part, own, n in summed.collect():  # as many bytes as the sketch has
+        weight[edge[part] : edge[part + 1]] = np.frombuffer(own, np.uint8)
+        total += n
+    return Sketch(weight, bits, total)
+
+
+def postings(docs: DataFrame, rules: JoinRules) -> DataFrame:
     """(token, node, n, pos) of all prefix shingles that two sets or more have."""
-    frequent, times = frequent_shingles(docs, buckets, rules)
-    shared = docs.sparkSession.sparkContext.broadcast((frequent, np.minimum(times, 2**31 - 1).astype(np.int32)))
+    sketch = shingle_sketch(docs, rules)
+    spread = sketch.spread(rules)
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sketch.total // (4 * rules.bucket_shingles)))
+    shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, times = shared.value
         task = TaskContext.get().partitionId()
         held, size = [], 0
         for _, _, shingles, name in _sets(batches, 0, True):
             key = _key(shingles, buckets)
-            weight = np.zeros(len(key), np.int32)
-            if len(frequent):
-                at = np.minimum(np.searchsorted(frequent, key), len(frequent) - 1)
-                hit = frequent[at] == key
-                weight[hit] = times[at[hit]]
+            weight = shared.value.of(key)
             n = len(key)
             first = np.argsort(weight, kind="stable")[: n - (3 * n + 3) // 4 + 1]
             held.append((key[first], weight[first], name, n))
@@ -188,7 +221,7 @@ def postings(docs: DataFrame, buckets: int, rules: JoinRules) -> DataFrame:
         pos = np.concatenate([np.arange(m, dtype=np.uint32) for m in length])
         owner = np.repeat(np.arange(len(held)), length)
         name, n = np.array([x for _, _, x, _ in held], np.int64), np.array([x for _, _, _, x in held], np.uint32)
-        to = np.where(weight >= rules.spread_from, ((key >> 32) + 1 + task) % buckets, key >> 32)
+        to = np.where(weight >= spread, ((key >> 32) + 1 + task) % buckets, key >> 32)
         order = np.lexsort((key, to))
         key, to, pos, owner = key[order], to[order], pos[order], owner[order]
         cut = np.flatnonzero(np.diff(to, prepend=-1) | np.diff(key >> 32, prepend=-1))
@@ -201,8 +234,6 @@ def postings(docs: DataFrame, buckets: int, rules: JoinRules) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(to[cut].astype(np.int32)), pa.array((key[cut] >> 32).astype(np.int32)), pa.array(rows, pa.binary())], names=["to", "bucket", "data"])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, times = shared.value
-        spread = frequent[times >= rules.spread_from]
         found: dict[int, list[tuple[np.ndarray, ...]]] = {}
         for batch in batches:
             for bucket, value in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -221,7 +252,7 @@ def postings(docs: DataFrame, buckets: int, rules: JoinRules) -> DataFrame:
             fresh[1:] = (np.diff(token) != 0) | (np.diff(name) != 0)
             token, pos, n, name = token[fresh], pos[fresh], n[fresh], name[fresh]
             same = np.diff(token) == 0
-            keep = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | np.isin(token, spread)
+            keep = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | (shared.value.of(token) >= spread)
             at = np.flatnonzero(keep)
             for a in range(0, len(at), 1 << 16):
                 k = at[a : a + (1 << 16)]
@@ -276,124 +307,140 @@ def _met_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, by the exact intersection. nodes: (node, doc_id of one such document)."""
-    members_of = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = members_of.join(nodes, "node").select("doc_id").distinct()
+def members_of(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, bins, members) of the sets in the pairs (a, b): the members in each hash range, and all. nodes: (node, doc_id of one such document)."""
+    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = named.join(nodes, "node").select("doc_id").distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, bytes]] = []
+        held: list[tuple[int, bytes, bytes]] = []
         for _, _, shingles, name in _sets(batches, 0, True):
-            held.append((name, shingles.tobytes()))
+            bins = np.bincount((shingles >> np.uint64(58)).astype(np.int64), minlength=BINS).astype("<u4")
+            held.append((name, bins.tobytes(), shingles.tobytes()))
             if len(held) >= 256:
                 yield batch(held)
                 held = []
         if held:
             yield batch(held)
 
-    def batch(held: list[tuple[int, bytes]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], pa.int64()), pa.array([s for _, s in held], pa.binary())], names=["node", "members"])
+    def batch(held: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+        name, bins, shingles = zip(*held, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), pa.array(bins, pa.binary()), pa.array(shingles, pa.binary())], names=["node", "bins", "members"])
 
     texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").select("text")
     nameless = named_sets(docs.where("doc_id IS NULL").select("text")).select(F.col("__node").alias("node"), "text")  # found by their sets
-    texts = texts.unionAll(nameless.join(members_of, "node", "left_semi").dropDuplicates(["node"]).select("text"))
-    members = texts.mapInArrow(sets, "node long, members binary")
-    members = materialize(members, "members")  # a set may come more than once; links are made distinct below
+    texts = texts.unionAll(nameless.join(named, "node", "left_semi").dropDuplicates(["node"]).select("text"))
+    return texts.mapInArrow(sets, "node long, bins binary, members binary")  # a set may come more than once
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _compared(pairs: DataFrame, members: DataFrame, column: str, links) -> DataFrame:
+    """The pairs whose sides' values of ``column`` pass ``links``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right, keep = batch.column(2), batch.column(3), []
-            for k in range(len(batch)):
-                x, y = np.frombuffer(left[k].as_buffer(), np.uint64), np.frombuffer(right[k].as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                keep.append(int((both[1:] == both[:-1]).sum()) >= needed(len(x), len(y)))
+            keep = [links(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    first = members.select(F.col("node").alias("a"), F.col("members").alias("x"))
-    second = members.select(F.col("node").alias("b"), F.col("members").alias("y"))
-    joined = pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y")
-    return joined.mapInArrow(check, "a long, b long").distinct()
+    x = members.select(F.col("node").alias("a"), F.col(column).alias("x"))
+    y = members.select(F.col("node").alias("b"), F.col(column).alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+
 
+def _may_overlap(left, right) -> bool:
+    u, v = np.frombuffer(left, "<u4"), np.frombuffer(right, "<u4")
+    return int(np.minimum(u, v).sum()) >= needed(int(u.sum()), int(v.sum()))
 
-def linked_sets(docs: DataFrame, sets: DataFrame, rules: JoinRules = JoinRules()) -> DataFrame:
-    """(node, component) of all sets that link with another. sets: doc_id, __n, __node, __bins, stored."""
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lists = materialize(postings(docs, buckets, rules), "postings")
-    full = sets.where("__n > 0")
-    nodes = full.groupBy(F.col("__node").alias("node")).agg(F.min("doc_id").alias("doc_id"))
 
-    count = lists.groupBy("node").agg(F.count(F.lit(1)).alias("m"))
-    lists = materialize(lists.join(count, "node").select("token", "node", "n", "pos", "m"), "counted")
+def _overlap(left, right) -> bool:
+    x, y = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    return int((both[1:] == both[:-1]).sum()) >= needed(len(x), len(y))
+
+
+def suffix_filter(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Drops pairs whose members fall too differently into the hash ranges to overlap enough."""
+    return _compared(pairs, members, "bins", _may_overlap)
+
+
+def verified(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link, by the exact intersection."""
+    return _compared(pairs, members, "members", _overlap)
+
+
+def linked_sets(docs: DataFrame, sets: DataFrame, scratch: Scratch, rules: JoinRules = JoinRules()) -> DataFrame:
+    """(node, component) of all sets that link with another, stored. sets: doc_id, __n, __node, stored."""
+    plain = scratch.put(postings(docs, rules), "postings")
+    nodes = sets.where("__n > 0").groupBy(F.col("__node").alias("node")).agg(F.min("doc_id").alias("doc_id"))
+    count = plain.groupBy("node").agg(F.count(F.lit(1)).alias("m"))
+    lists = scratch.put(plain.join(count, "node").select("token", "node", "n", "pos", "m"), "counted")
+    scratch.drop(plain)
 
     lone = F.expr("n - (3 * n + 3) div 4 + 1 - m")  # prefix shingles that no other set has
     least = lists.groupBy("token").agg(F.min(F.struct(lone.alias("lone"), "node", "n", "pos", "m")).alias("r"))
     stars = lists.join(least, "token").where("node <> r.node").where(_may_link("", "r.") & _positions_fit("", "r."))
     shared = stars.groupBy(F.col("node").alias("a"), F.col("r.node").alias("b")).agg(F.count(F.lit(1)).alias("k"))
-    pairs = materialize(shared.groupBy("a").agg(F.max(F.struct("k", "b")).alias("best")).select("a", F.col("best.b").alias("b")), "stars")
-    first = components(materialize(verified(pairs, docs, nodes), "links"))
-
-    known = lists.join(first, "node", "left").select("token", "node", "n", "m", "pos", F.coalesce("component", "node").alias("c"))
-    known = materialize(known, "lists")
+    pairs = scratch.put(shared.groupBy("a").agg(F.max(F.struct("k", "b")).alias("best")).select("a", F.col("best.b").alias("b")), "stars")
+    members = scratch.put(members_of(pairs, docs, nodes), "members")
+    links = scratch.put(verified(pairs, members), "links")
+    first = components(links, scratch)
+    scratch.drop(members, links)
+
+    known = scratch.put(lists.join(first, "node", "left").select("token", "node", "n", "m", "pos", F.coalesce("component", "node").alias("c")), "lists")
+    scratch.drop(lists)
     mixed = known.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("token", "size")
     chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / rules.chunk))
     reach = F.expr("4 * n - 7 * pos")  # three times the size of the largest set that this member can still link with
     bounds = [F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(reach).alias("reach")]
-    rows = known.join(mixed, "token").groupBy("token", "c", chunk.alias("chunk")).agg(F.collect_list(F.struct("node", "n", "m", "pos")).alias("m"), *bounds)
-    rows = materialize(rows.drop("chunk"), "chunks")
+    keys = ["token", "c", "chunk"]  # a long list's chunks go to different tasks
+    rows = known.join(mixed, "token").withColumn("chunk", chunk).repartition(*keys).groupBy(*keys).agg(F.collect_list(F.struct("node", "n", "m", "pos")).alias("m"), *bounds)
+    rows = scratch.put(rows.drop("chunk"), "chunks")
     one, two = (rows.select("token", *(F.col(c).alias(f"{c}{k}") for c in ("c", "m", "lo", "hi", "reach"))) for k in (1, 2))
     lengths = F.expr("4 * hi1 >= 3 * lo2 AND 4 * hi2 >= 3 * lo1")
     met = one.join(two, (one.token == two.token) & (F.col("c1") < F.col("c2")) & lengths & F.expr("reach1 >= 3 * lo2 AND reach2 >= 3 * lo1")).select("m1", "m2")
     rest = met.mapInArrow(_met_pairs, "a long, b long").distinct()
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = materialize(rest.join(done, ["a", "b"], "left_anti"), "rest")
-    rest = materialize(suffix_filter(rest, full), "rest")
-    more = materialize(verified(rest, docs, nodes), "links")
+    rest = scratch.put(rest.join(done, ["a", "b"], "left_anti"), "rest")
+    scratch.drop(known, rows, pairs)
+    members = scratch.put(members_of(rest, docs, nodes), "members")
+    near = scratch.put(suffix_filter(rest, members), "near")
+    more = scratch.put(verified(near, members), "links")
+    scratch.drop(rest, near, members)
     of = lambda c: first.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     joined = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    second = components(joined)
+    second = components(joined, scratch)
     every = first.select("node", F.col("component").alias("c")).union(more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(first, "node", "left_anti").select("node", F.col("node").alias("c")))
-    return every.join(second.select(F.col("node").alias("c"), F.col("component").alias("top")), "c", "left").select("node", F.coalesce("top", "c").alias("component"))
-
-
-def suffix_filter(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Drops pairs whose members fall too differently into the hash ranges to overlap enough."""
-    bins = sets.select("__node", "__bins").groupBy("__node").agg(F.first("__bins").alias("bins"))
-    x, y = bins.select(F.col("__node").alias("a"), F.col("bins").alias("x")), bins.select(F.col("__node").alias("b"), F.col("bins").alias("y"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for left, right in zip(batch.column(2), batch.column(3), strict=True):
-                u, v = np.frombuffer(left.as_buffer(), "<u4"), np.frombuffer(right.as_buffer(), "<u4")
-                keep.append(int(np.minimum(u, v).sum()) >= needed(int(u.sum()), int(v.sum())))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    out = every.join(second.select(F.col("node").alias("c"), F.col("component").alias("top")), "c", "left").select("node", F.coalesce("top", "c").alias("component"))
+    return scratch.put(out, "linked")
 
 
-def _placed(docs: DataFrame, rules: JoinRules) -> DataFrame:
-    """doc_id, __n, __node and __component (0 where the set is empty) of every row."""
-    sets = materialize(named_sets(docs.select("doc_id", "text")).drop("text"), "sets")
-    linked = linked_sets(docs, sets, rules).select(F.col("node").alias("__node"), F.col("component").alias("__component"))
-    return sets.drop("__bins").join(linked, "__node", "left").withColumn("__component", F.coalesce("__component", "__node"))
+def _placed(docs: DataFrame, scratch: Scratch, rules: JoinRules) -> DataFrame:
+    """doc_id, __n, __node and __component (0 where the set is empty) of every row, stored."""
+    sets = scratch.put(named_sets(docs.select("doc_id", "text")).drop("text"), "sets")
+    linked = linked_sets(docs, sets, scratch, rules).select(F.col("node").alias("__node"), F.col("component").alias("__component"))
+    placed = scratch.put(sets.join(linked, "__node", "left").withColumn("__component", F.coalesce("__component", "__node")), "placed")
+    scratch.drop(sets)
+    return placed
 
 
 def join_components(docs: DataFrame, rules: JoinRules = JoinRules()) -> DataFrame:
     """doc_id, n_shingles and component_id (least id reachable by links) of every row."""
-    placed = materialize(_placed(docs, rules), "placed")
+    scratch = Scratch(docs.sparkSession, "ngram-join")
+    placed = _placed(docs, scratch, rules)
     least = placed.where("__n > 0").groupBy("__component").agg(F.min("doc_id").alias("component_id"))
-    least = materialize(least, "least")  # so that Spark can split a large component's rows
+    least = scratch.put(least, "least")  # so that Spark can split a large component's rows
     out = placed.where("__n > 0").join(least, "__component").select("doc_id", F.col("__n").alias("n_shingles"), "component_id")
     return out.unionAll(placed.where("__n = 0").select("doc_id", F.col("__n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, rules: JoinRules = JoinRules()) -> DataFrame:
     """One row of each component, that of the least id; rows without shingles or id all stay. Columns as they came."""
-    placed = _placed(docs, rules)
+    scratch = Scratch(docs.sparkSession, "ngram-join")
+    placed = _placed(docs, scratch, rules)
     best = placed.where("__n > 0 AND doc_id IS NOT NULL").groupBy("__component").agg(F.min(F.struct("doc_id", "__node")).alias("b")).select("b.*")
-    best = materialize(best, "kept")
-    named = named_sets(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), "doc_id", "text")).drop("__bins", "text")
+    best = scratch.put(best, "kept")
+    scratch.drop(placed)
+    named = named_sets(docs.select("text", "doc_id", as_struct(docs))).drop("text")
     alone = named.where("__n = 0 OR doc_id IS NULL").select("__row")
     kept = named.where("__n > 0").join(best, ["doc_id", "__node"], "left_semi").dropDuplicates(["doc_id", "__node"]).select("__row")
-    return kept.unionAll(alone).select("__row.*")
+    return kept.unionAll(alone).select(*unpacked(docs.columns))

@@ -55,11 +55,3 @@ def unpacked(columns: list[str], put: dict[str, Column] | None = None, name: str
     """The columns of ``as_struct`` as they came, but for those in ``put``."""
     put = put or {}
     return [(put[c] if c in put else F.col(f"{name}.{quoted(c)}")).alias(c) for c in columns]
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    return Scratch(df.sparkSession, name).put(df, name)
-
-
-def bounded(df: DataFrame) -> DataFrame:
-    return df

@@ -32,8 +32,8 @@ def brute(texts):
     return Counter((i, len(sets[k]), least.get(find(k)) if sets[k] else i) for k, (i, _) in enumerate(texts))
 
 
-# the second spreads every list over all tasks and holds little; the third knows no frequent shingle
-RULES = [ngram_join.JoinRules(), ngram_join.JoinRules(frequent_from=2, spread_from=3, flush=200, chunk=2), ngram_join.JoinRules(frequent_most=1)]
+# the second spreads every list over all tasks and holds little; the third's sketch tells nothing
+RULES = [ngram_join.JoinRules(), ngram_join.JoinRules(sketch_bits=12, spread_from=3, spread_factor=0, flush=200, chunk=2, bucket_shingles=100), ngram_join.JoinRules(sketch_bits=1)]
 
 
 @pytest.mark.parametrize("rules", RULES)
@@ -55,6 +55,23 @@ def test_nothing(no_docs):
     assert ngram_join.join_components(no_docs).count() == 0 and ngram_join.keep_one(no_docs).count() == 0
 
 
+def test_random_null_ids(spark):
+    """A fifth of the rows have no id; links through them count as all others."""
+    import random
+
+    rng = random.Random(17)
+    texts = []
+    for group in range(12):
+        words = [f"g{group}w{k}" for k in range(rng.randint(30, 70))]
+        for _ in range(rng.randint(2, 9)):
+            for _ in range(rng.randint(0, 2)):  # a chain of changes: its ends may be linked by what lies between them only
+                words[rng.randrange(len(words))] = f"x{rng.randint(0, 9999)}"
+            texts.append((None if rng.random() < 0.2 else len(texts), " ".join(words)))
+    d = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    for rules in RULES:
+        assert Counter(tuple(r) for r in ngram_join.join_components(d, rules).collect()) == brute(texts)
+
+
 def test_sets_of_null_ids_only(spark):
     """A near copy that only a row without id holds gets its group's id, and links the two sides that don't link themselves."""
     words = [f"w{k}" for k in range(60)]
