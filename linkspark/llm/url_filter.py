@@ -6,8 +6,10 @@ URLs, weighted back to the shares of the labels, and scored as nested CASE
 expressions. The blocked shares of suffixes and sites, and of all URLs for
 those without labels, are counted over all distinct labelled URLs.
 
-For the rows that train the trees those shares are taken from the URLs of
-other hosts, so that a tree learns what a share tells of a host not seen yet.
+The trees learn from one half of the hosts, with the shares that the other half
+has, so that they learn what a share tells of a host not seen yet; where only
+one half has URLs of both labels the trees learn from that one, and where none
+has, from all hosts with the shares of all.
 
 A rule like ``net/de/`` fits the host ``net`` and all its subdomains where
 the path starts with ``/de/``; the longest rule that fits decides. Few rules
@@ -38,7 +40,6 @@ FEATURES = (
     "entropy", "parameters", "query_length", "longest_label", "suffix_share", "site_share",
 )
 MOST_CASES = 200  # rules in one expression
-_FOLDS = 5
 
 
 @dataclass(frozen=True)
@@ -135,19 +136,11 @@ def _lexical(df: DataFrame) -> DataFrame:
     )
 
 
-def _with_shares(df: DataFrame, tables: dict[str, DataFrame], prior: float, rules: UrlRules, folds: dict[str, DataFrame] | None = None) -> DataFrame:
-    """Adds the smoothed shares of blocked URLs; with ``folds``, of those that are not in the row's own __fold.
-
-    Spark splits the rows of frequent values, or broadcasts small tables.
-    """
+def _with_shares(df: DataFrame, tables: dict[str, DataFrame], prior: float, rules: UrlRules) -> DataFrame:
+    """Adds the smoothed shares of blocked URLs. Spark splits the rows of frequent values, or broadcasts small tables."""
     for column, name in (("__suffix", "suffix_share"), ("__site", "site_share")):
-        df = df.join(tables[column].select(column, F.col("n").alias("__n"), F.col("bad").alias("__bad")), column, "left")
-        n, bad = F.coalesce("__n", F.lit(0)), F.coalesce("__bad", F.lit(0.0))
-        if folds is not None:
-            df = df.join(folds[column].select(column, "__fold", F.col("n").alias("__own"), F.col("bad").alias("__own_bad")), [column, "__fold"], "left")
-            n, bad = n - F.coalesce("__own", F.lit(0)), bad - F.coalesce("__own_bad", F.lit(0.0))
-        share = (bad + prior * rules.prior_weight) / (n + rules.prior_weight)
-        df = df.withColumn(name, share).drop("__n", "__bad", "__own", "__own_bad")
+        share = (F.col("bad") + prior * rules.prior_weight) / (F.col("n") + rules.prior_weight)
+        df = df.join(tables[column].select(column, share.alias(name)), column, "left").withColumn(name, F.coalesce(F.col(name), F.lit(prior)))
     return df
 
 
@@ -181,23 +174,31 @@ def train(labelled: DataFrame, url: str = "url", rules: UrlRules = UrlRules()) -
     spark = labelled.sparkSession
     scratch = Scratch(spark, "urls")
     distinct = labelled.where(F.col(quoted(url)).isNotNull() & F.col("label").isNotNull()).groupBy(F.col(quoted(url)).alias("url")).agg(F.max("label").cast("double").alias("label"))
-    distinct = scratch.put(distinct.withColumn("__fold", F.pmod(F.xxhash64(host_of(F.col("url"))), F.lit(_FOLDS)).cast("int")), "labelled")
-    sites = _prepared(distinct, "url").select("label", "__fold", _label(F.col("__host"), 0).alias("__suffix"), _site(F.col("__host")).alias("__site"))
+    distinct = scratch.put(distinct.withColumn("__half", F.pmod(F.xxhash64(host_of(F.col("url"))), F.lit(2)).cast("int")), "labelled")
+    sites = _prepared(distinct, "url").select("label", "__half", _label(F.col("__host"), 0).alias("__suffix"), _site(F.col("__host")).alias("__site"))
     counted = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
-    counts = scratch.put(sites.groupBy("__suffix", "__site", "__fold").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("bad")), "sites")
+    counts = scratch.put(sites.groupBy("__suffix", "__site", "__half").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("bad")), "sites")
     tables = {c: scratch.put(counts.groupBy(c).agg(*counted), c.strip("_")) for c in ("__suffix", "__site")}
-    n, bad = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0.0))).first()
+    halves = {h: (n, bad) for h, n, bad in counts.groupBy("__half").agg(*counted).collect()}
+    n, bad = (sum(x) for x in zip((0, 0.0), *halves.values(), strict=True))
     prior = bad / max(1, n)
     if not 0 < bad < n:
         return Model(None, tables, prior)
+    own, seen, learned = tables, prior, distinct
+    both = [h for h, (total, blocked) in sorted(halves.items()) if 0 < blocked < total]
+    if both:
+        half = max(both, key=lambda h: halves[h][1])
+        other = counts.where(F.col("__half") != half)
+        own = {c: other.groupBy(c).agg(*counted) for c in ("__suffix", "__site")}
+        total, blocked = halves.get(1 - half, (0, 0.0))
+        seen, learned, (n, bad) = blocked / max(1, total), distinct.where(F.col("__half") == half), halves[half]
     rows = []
     for k, size in ((0.0, n - bad), (1.0, bad)):
-        own = distinct.where(F.col("label") == k).orderBy(F.xxhash64("url"), "url").limit(rules.sample // 2).collect()
-        rows += [(r[0], r[1], r[2], size / len(own)) for r in own]
+        found = learned.where(F.col("label") == k).orderBy(F.xxhash64("url"), "url").limit(rules.sample // 2).collect()
+        rows += [(r[0], r[1], size / len(found)) for r in found]
     order = ("url", *FEATURES, "label", "weight")
-    sample = spark.createDataFrame(rows, "url string, label double, __fold int, weight double")
-    folds = {c: counts.groupBy(c, "__fold").agg(*counted) for c in ("__suffix", "__site")}
-    known = _with_shares(_lexical(_prepared(sample, "url")), tables, prior, rules, folds).select(*order).collect()
+    sample = spark.createDataFrame(rows, "url string, label double, weight double")
+    known = _with_shares(_lexical(_prepared(sample, "url")), own, seen, rules).select(*order).collect()
     known = spark.createDataFrame(sorted(known, key=lambda r: r[0]), T.StructType([T.StructField(c, T.StringType() if c == "url" else T.DoubleType()) for c in order]))
     table = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(known.coalesce(2)).select("features", "label", "weight").cache()
     fitted = GBTClassifier(maxIter=rules.rounds, maxDepth=rules.depth, stepSize=rules.step, seed=7, minInstancesPerNode=5, weightCol="weight").fit(table)
