@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from linkspark.llm import bytescan as B
-from linkspark.llm.storage import Scratch, as_struct, extended, quoted, unpacked
+from linkspark.llm.storage import Scratch, as_struct, extended, packed, quoted, unpacked
 
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
@@ -350,10 +350,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", rul
         index = shared.value
         for batch in batches:
             keep = np.ones(len(batch), bool)
-            for i, _, raw, at in B.slices(batch.column(batch.schema.get_field_index(text))):
+            for i, _, raw, at in B.slices(batch.column(1)):
                 for d, k, covered, _ in matches(raw, at, index, rules):
                     if covered >= rules.threshold * index.words(k):
                         keep[i + d] = False
             yield batch if keep.all() else batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    source, back = packed(docs, text, [])
+    return back(source.mapInArrow(run, source.schema))

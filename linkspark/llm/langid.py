@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from linkspark.llm import bytescan as B
 from linkspark.llm.sampling import sample_ids, training_texts
-from linkspark.llm.storage import extended, quoted, without
+from linkspark.llm.storage import extended, packed
 
 BINS = 1 << 13
 _LETTER = regex.compile(r"\p{L}")
@@ -149,19 +149,18 @@ def train_model(docs: DataFrame, rules: LangRules = LangRules()) -> Model | None
 def identify(docs: DataFrame, model: Model | None, text: str = "text", rules: LangRules = LangRules()) -> DataFrame:
     """Adds ``lang_pred, score, ambiguous`` to every row; columns of those names are replaced."""
     new = [("lang_pred", "string"), ("score", "double"), ("ambiguous", "boolean")]
-    others = without(docs, [n for n, _ in new])
-    source = docs.select(*(F.col(quoted(c)) for c in others))
+    source, back = packed(docs, text, [n for n, _ in new])
     schema = extended(source.schema, ", ".join(f"{n} {t}" for n, t in new))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bins x bits numbers
     bound = rules.ambiguous
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, raw, at in B.slices(batch.column(batch.schema.get_field_index(text))):
+            for i, j, raw, at in B.slices(batch.column(1)):
                 for a in range(0, len(at) - 1, 512):
                     b = min(a + 512, len(at) - 1)
                     lang, score, unsure = predict(raw[at[a] : at[b]], at[a : b + 1] - at[a], shared.value, bound)
                     arrays = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(unsure)]
-                    yield pa.RecordBatch.from_arrays([*(c.slice(i + a, b - a) for c in batch.columns), *arrays], names=[*others, *(n for n, _ in new)])
+                    yield pa.RecordBatch.from_arrays([*(c.slice(i + a, b - a) for c in batch.columns), *arrays], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return back(source.mapInArrow(run, schema))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkspark.llm import bytescan as B
-from linkspark.llm.storage import as_struct, extended, quoted, unpacked, without
+from linkspark.llm.storage import as_struct, extended, packed, unpacked
 
 # Phrases of boilerplate lines, in lower case.
 BOILERPLATE = (
@@ -171,21 +171,20 @@ def line_quality(docs: DataFrame, text: str = "text", rules: LineRules = LineRul
     new = [("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long"), ("base_failed", "boolean"), ("kept", "boolean"), ("n_kept_words", "long")]
     if with_clean_text:
         new.append(("clean_text", "string"))
-    others = without(docs, [n for n, _ in new])
-    source = docs.select(*(F.col(quoted(c)) for c in others))
+    source, back = packed(docs, text, [n for n, _ in new])
     schema = extended(source.schema, ", ".join(f"{n} {t}" for n, t in new))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text))
+            column = batch.column(1)
             for i, j, raw, at in B.slices(column):
                 out = judge_slice(raw, at, rules)
                 arrays = [pa.array(out[n]) for n, _ in new if n in out]
                 if with_clean_text:
                     arrays.append(pa.array(_without(raw, at, *out["_failed"]), pa.string()))
-                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns), *arrays], names=[*others, *(n for n, _ in new)])
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns), *arrays], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return back(source.mapInArrow(run, schema))
 
 
 def _without(raw: np.ndarray, at: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[str]:

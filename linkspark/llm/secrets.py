@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkspark.llm.storage import extended, quoted, without
+from linkspark.llm.storage import extended, packed, quoted
 
 KINDS = ("assign", "access", "hex", "literal")
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -265,20 +265,19 @@ def redact(text: str | None, found: list[tuple[str, int, int]], mark: str = "[SE
 
 
 def _mapped(docs: DataFrame, text: str, new: list[tuple[str, str]], make) -> DataFrame:
-    others = without(docs, [n for n, _ in new])
-    source = docs.select(*(F.col(quoted(c)) for c in others))
+    source, back = packed(docs, text, [n for n, _ in new])
     schema = extended(source.schema, ", ".join(f"{n} {t}" for n, t in new))
     kinds = {"long": pa.int64(), "string": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text))
+            column = batch.column(1)
             for at in range(0, len(batch), 256):
                 rows = [make(x.as_py()) for x in column.slice(at, 256)]
                 arrays = [pa.array([r[k] for r in rows], kinds[t]) for k, (_, t) in enumerate(new)]
-                yield pa.RecordBatch.from_arrays([*(c.slice(at, 256) for c in batch.columns), *arrays], names=[*others, *(n for n, _ in new)])
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, 256) for c in batch.columns), *arrays], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return back(source.mapInArrow(run, schema))
 
 
 def find_secrets(docs: DataFrame, text: str = "text", rules: SecretRules = SecretRules()) -> DataFrame:

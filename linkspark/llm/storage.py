@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linkspark.storage import Scratch, shared_folder
 
-__all__ = ["Scratch", "as_struct", "extended", "prepare", "quoted", "shared_folder", "table", "unpacked", "without"]
+__all__ = ["Scratch", "as_struct", "extended", "packed", "prepare", "quoted", "shared_folder", "table", "unpacked", "without"]
 
 #: Of an Arrow batch between Spark and Python; both sides hold a few of them for each task.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
@@ -36,10 +38,25 @@ def extended(schema: T.StructType, new: str) -> T.StructType:
 
 
 def quoted(name: str) -> str:
-    """A column's name as a reference: dots, blanks and signs in it are part of the name. (PySpark's own ``mapInArrow`` takes any name but those with a backtick.)"""
+    """A column's name as a reference: dots, blanks and signs in it are part of the name."""
     return "`" + name.replace("`", "``") + "`"
 
 
+def packed(docs: DataFrame, text: str, new: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(__row, __text) of every row, for ``mapInArrow``, which takes no dots in names; and the way back.
+
+    The way back has the columns of ``docs``, but for those that ``new`` ones replace, and then the new ones.
+    """
+    others = without(docs, new)
+    inside = [F.col(quoted(c)).alias(c) for c in others if c != text]
+    source = docs.select(F.struct(F.lit(True).alias("__is"), *inside).alias("__row"), F.col(quoted(text)).alias("__text"))
+
+    def back(out: DataFrame) -> DataFrame:
+        return out.select(*((F.col("__text") if c == text else F.col(f"__row.{quoted(c)}")).alias(c) for c in others), *new)
+
+    return source, back
+
+
 def without(df: DataFrame, new: list[str]) -> list[str]:
     """The columns of ``df`` but those that new ones replace. Case doesn't tell names apart, as in Spark."""
     gone = {n.lower() for n in new}

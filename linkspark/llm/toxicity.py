@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from linkspark.llm import bytescan as B
 from linkspark.llm import crf
 from linkspark.llm.sampling import fold, sample_ids, training_texts
-from linkspark.llm.storage import as_struct, extended, quoted, unpacked, without
+from linkspark.llm.storage import as_struct, extended, packed, unpacked
 
 PREFIXES = (4, 5, 6)
 BITS = 18
@@ -265,21 +265,20 @@ def train_model(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = Toxic
 def score_documents(docs: DataFrame, model: Model | None, text: str = "text", rules: ToxicityRules = ToxicityRules()) -> DataFrame:
     """Adds ``score, predicted, toxic_spans, n_toxic_tokens`` to every row; columns of those names are replaced."""
     new = [("score", "double"), ("predicted", "int"), ("toxic_spans", "string"), ("n_toxic_tokens", "long")]
-    others = without(docs, [n for n, _ in new])
-    source = docs.select(*(F.col(quoted(c)) for c in others))
+    source, back = packed(docs, text, [n for n, _ in new])
     schema = extended(source.schema, ", ".join(f"{n} {t}" for n, t in new))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size, 1 MB
     threshold = rules.span_threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text))
+            column = batch.column(1)
             for i, j, raw, at in B.slices(column):
                 score, spans, number = score_slice(raw, at, shared.value, threshold)
                 arrays = [pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(spans, pa.string()), pa.array(number, pa.int64())]
-                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns), *arrays], names=[*others, *(n for n, _ in new)])
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns), *arrays], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return back(source.mapInArrow(run, schema))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = ToxicityRules()) -> DataFrame:

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from linkspark.llm import decontaminate, langid, ngram_join, packing, quality, sampling, secrets, sharding, token_binary, toxicity, url_filter
 from linkspark.llm.queries import tokenizer_file
+from linkspark.llm.storage import quoted
 
 from .conftest import prose
 
 SF = "/root/testdata/sf0.001"
-ODD = ["a.b", "my col", "my-col", "kept", "n_words", "score", "predicted", "lang_pred", "spans", "shard", "sequence_id", "__n", "Text_Crc32", "host"]
+ODD = ["a.b", "my col", "my-col", "tick`s", "kept", "n_words", "score", "predicted", "lang_pred", "spans", "shard", "sequence_id", "__n", "Text_Crc32", "host"]
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +23,7 @@ def odd(spark):
     body = prose(rng, 80)
     texts = [None, "", " \n\t ", "one two", body, body, body + " more", "password = 'zX81kkQ02p9'\n" + prose(rng, 30), prose(rng, 30_000), "x" * 300_000, "no " * 3000, "é𝄞 " * 50, None, body]
     rows = [(None if k in (5, 12) else 7 if k in (6, 13) else k, t, [None, "en"][k % 2], "s", *(f"{c} {k}" for c in ODD)) for k, t in enumerate(texts)]
-    schema = "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c}` string" for c in ODD)
+    schema = "doc_id long, text string, lang string, source string, " + ", ".join("`" + c.replace("`", "``") + "` string" for c in ODD)
     return spark.createDataFrame(rows, schema).repartition(3)
 
 
@@ -32,7 +33,7 @@ def intact(df, odd, replaced=()):
     left = [c for c in odd.columns if c.lower() not in gone]
     assert [c for c in df.columns if c in left] == left
     kept = [c for c in ODD if c in left]
-    for r in df.select(*(F.col(f"`{c}`") for c in kept)).collect():
+    for r in df.select(*(F.col(quoted(c)) for c in kept)).collect():
         assert len({v.removeprefix(c) for c, v in zip(kept, r, strict=True)}) == 1
     return df.count()
 
