@@ -66,8 +66,9 @@ def sample_ids(labels: DataFrame, label: str, per_class: int, eligible: DataFram
 def training_texts(docs: DataFrame, ids: DataFrame, label: str) -> list[tuple[str, object]]:
     """(text, label) of the sampled documents, in a fixed order; of several texts of an id and label the least.
 
-    docs: doc_id, text, and the label if it is the documents' own. ``ids`` bounds what comes to the driver.
+    docs: doc_id, text, and the label if it is the documents' own. ``ids`` is a sample: its bound is that of
+    the broadcast, without which all texts would be shuffled, and of what comes to the driver.
     """
     keys = ["doc_id", label] if label in docs.columns else ["doc_id"]
-    rows = docs.select(*keys, "text").where(F.col("text").isNotNull()).join(ids, keys).groupBy("doc_id", label).agg(F.min("text").alias("text"))
+    rows = docs.select(*keys, "text").where(F.col("text").isNotNull()).join(F.broadcast(ids), keys).groupBy("doc_id", label).agg(F.min("text").alias("text"))
     return [(r[2], r[1]) for r in sorted(rows.select("doc_id", label, "text").collect(), key=lambda r: (r[0], r[1]))]
