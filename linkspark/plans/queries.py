@@ -426,9 +426,10 @@ def wiki_articles(spark, sf_dir):
 
 
 # Blocks lie between the tags of blocks; what the pages have in their heads, bars and feet is silent. Anchors stand in bars only.
+# An entity that the page cuts off before its semicolon is one.
 @query(
     r"""WITH a AS (SELECT url, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<!DOCTYPE[^>]*>|<head>.*?</head>|<nav>.*?</nav>|<footer>.*?</footer>|</?(article|body|br|div|h1|html|li|p|ul)\b[^>]*>', chr(30), 'g') AS x FROM pages),
-b AS (SELECT url, [replace(replace(replace(replace(p, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') FOR p IN string_split(x, chr(30))] AS p FROM a),
+b AS (SELECT url, [regexp_replace(regexp_replace(p, '&quot;?', '"', 'g'), '&amp;?', '&', 'g') FOR p IN string_split(x, chr(30))] AS p FROM a),
 c AS (SELECT url, [regexp_replace(q, '<[^>]*>', '', 'g') FOR q IN p IF list_sum([length(trim(r, ' ' || chr(9) || chr(10) || chr(13))) FOR r IN string_split_regex(q, '<[^>]*>')]) >= 25] AS p FROM b)
 SELECT url AS _id, replace(trim(array_to_string(p, chr(10)), ' ' || chr(9) || chr(10) || chr(13)), '&', '&amp;') AS text, 0 AS n_links FROM c"""
 )
