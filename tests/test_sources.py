@@ -104,7 +104,7 @@ def test_cli_of_several_inputs(spark, tmp_path):
         "term_frequencies": 6, "term_document_frequencies": 6, "term_vocab": 0, "term_idfs": 6, "entity_mentions": 24, "entity_name_counts": 2, "name_part_counts": 2,
     }
     assert set(expected) == set(cli.MODELS)
-    options = {"entity_embeddings": ["--option", "min_entity_count=13", "--option", "min_word_count=24", "--option", "dimensions=3"]}
+    options = {"term_vocab": ["--option", "max_rank=none"], "entity_embeddings": ["--option", "min_entity_count=13", "--option", "min_word_count=24", "--option", "dimensions=3"]}
     for name, n in expected.items():
         model = cli.MODELS[name]
         given = [x for i in model.inputs for x in ("--input", f"{i}={at[i]}")]
