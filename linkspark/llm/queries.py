@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkspark.llm import decontaminate, langid, ngram_join, packing, quality, secrets, sharding, storage, token_binary, toxicity, url_filter
+from linkspark.llm import decontaminate, fill_middle, langid, ngram_join, packing, quality, secrets, sharding, storage, token_binary, toxicity, url_filter
 from linkspark.llm.sampling import fold
 from linkspark.llm.storage import Scratch, prepare
 
@@ -85,8 +85,14 @@ def op10_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_quality, op2_token_binary, op3_toxicity_crf, op4_url_filter, op5_secret_scan, op6_string_tiling, op7_hilbert_shards, op8_ngram_join, op9_language_codes, op10_cost_packing)}
+    return {f.__name__: f for f in (op1_line_quality, op2_token_binary, op3_toxicity_crf, op4_url_filter, op5_secret_scan, op6_string_tiling, op7_hilbert_shards, op8_ngram_join, op9_language_codes, op10_cost_packing, op13_fill_middle)}
 
 
 # Lines and words as the contract has them; the rules are those of quality.LineRules. DuckDB's \\s is ASCII only.
@@ -123,5 +129,17 @@ SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.b, w.doc_id)
 """
 
 
+# Units are matched here, where the operator splits between them.
+OP13_SQL = r"""
+WITH u AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[ \x09-\x0D]*[^ \x09-\x0D]+|[ \x09-\x0D]+') AS u, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+h AS (SELECT doc_id, text, u, [('0x' || substr(h, 8 * k + 1, 8))::BIGINT FOR k IN range(4)] AS h FROM u),
+c AS (SELECT *, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS a, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS b FROM h),
+p AS (SELECT doc_id, text, len(u)::BIGINT AS n, array_to_string(list_slice(u, 1, a), '') AS pre, array_to_string(list_slice(u, a + 1, b), '') AS mid, array_to_string(list_slice(u, b + 1, len(u)), '') AS suf,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE '<P>' || pre || '<S>' || suf || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256 FROM p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_quality": OP1_SQL, "op8_ngram_join": OP8_SQL}
+    return {"op13_fill_middle": OP13_SQL, "op1_line_quality": OP1_SQL, "op8_ngram_join": OP8_SQL}
