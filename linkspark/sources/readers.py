@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from linkspark import schemas
 from linkspark.functions.language import guess_language
 from linkspark.functions.links import WIKI_PREFIX
+from linkspark.sources import warc
 
 
 # Fixed value: the end of each page in a dump.
@@ -80,9 +81,11 @@ def parse_warc(record: Column) -> Column:
 
 
 def warc_crawl(spark: SparkSession, path: str, language: str | None = None, partitions: int | None = None) -> DataFrame:
-    """(_id, content) of a crawl's pages. A gzip file is one partition: pass ``partitions`` to spread what it holds."""
-    records = spark.read.option("lineSep", "WARC/1.0\r\n").text(path).where("value <> ''")
+    """(_id, content) of a crawl's pages, framed and decoded as in ``warc``; with ``language``, those of which it is guessed from their decoded content.
+
+    A gzip file is read by one task: pass ``partitions`` to spread what comes out of it.
+    """
+    pages = warc.pages(spark, path)
     if partitions:
-        records = records.repartition(partitions)
-    pages = records.select(parse_warc(F.col("value")).alias("p")).where("p IS NOT NULL").select("p.*")
+        pages = pages.repartition(partitions)
     return pages.where(guess_language(F.col("content")) == language) if language else pages

@@ -7,7 +7,7 @@ import pytest
 
 from linkspark import cli, schemas
 from linkspark.plans import corpora
-from linkspark.sources import readers, writers
+from linkspark.sources import readers, warc, writers
 from linkspark.streaming import documents as streaming
 
 XML = """<mediawiki>
@@ -161,3 +161,56 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.table("counts").collect()] == [("h/a", 2)]
+
+
+def _warc(kind: str, url: str, block: bytes) -> bytes:
+    return f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Target-URI: {url}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+
+def _answer(body: bytes, content_type: str = "text/html") -> bytes:
+    return f"HTTP/1.1 200 OK\r\nContent-Type: {content_type}\r\n\r\n".encode() + body
+
+
+def test_warc_framing_and_charsets(spark, tmp_path):
+    """Bodies that hold marks, whole records and blank lines stay whole; bytes are decoded by the charset that is named, in the header first."""
+    inner = _warc("response", "http://inner/", _answer(b"not a page of its own"))
+    bodies = {
+        "http://m/1": (b"WARC/1.0\r\n\r\nWARC/1.1\r\nx: y\r\n\r\n", "text/html", None),
+        "http://m/2": (b"before " + inner + b" after" + inner, "text/html", None),
+        "http://m/3": (b"\r\n\r\n", "text/html", None),
+        "http://c/1": ("café naïve".encode("latin-1"), "text/html; charset=ISO-8859-1", "café naïve"),
+        "http://c/2": ("日本語のページ".encode("shift_jis"), 'text/html; charset="Shift_JIS"', "日本語のページ"),
+        "http://c/3": ('<meta charset="windows-1251">Привет'.encode("cp1251"), "text/html", '<meta charset="windows-1251">Привет'),
+        "http://c/4": ("ü𝄞".encode(), "text/html; charset=no-such", "ü𝄞"),
+        "http://c/5": (b"\xff\xfe", "text/html", "��"),
+        "http://c/6": (b"", "text/html", ""),
+        "http://c/7": ("ü".encode(), "text/html; charset=hex", "ü"),
+    }
+    records = [_warc("warcinfo", "http://info/", b"software: x")] + [_warc("response", u, _answer(b, t)) for u, (b, t, _) in bodies.items()] + [_warc("request", "http://r/", b"GET / HTTP/1.1\r\n\r\n")]
+    (tmp_path / "plain.warc").write_bytes(b"".join(records))
+    (tmp_path / "members.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records))
+    expected = {u: b.decode() if t is None else t for u, (b, _, t) in bodies.items()}
+    for name in ("plain.warc", "members.warc.gz"):
+        got = readers.warc_crawl(spark, str(tmp_path / name)).collect()
+        assert len(got) == len(expected) and {r._id: r.content for r in got} == expected, name
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")  # an uncompressed archive in many splits
+    try:
+        (tmp_path / "many.warc").write_bytes(b"".join(_warc("response", f"http://s/{k}", _answer(b"WARC/1.0 text " * (k % 9))) for k in range(200)))
+        got = readers.warc_crawl(spark, str(tmp_path / "many.warc"))
+        expected = sorted((f"http://s/{k}", "WARC/1.0 text " * (k % 9)) for k in range(200))
+        assert sorted((r._id, r.content) for r in got.collect()) == expected
+        (tmp_path / "both").mkdir()
+        (tmp_path / "both" / "many.warc").write_bytes((tmp_path / "many.warc").read_bytes())
+        (tmp_path / "both" / "many.warc.gz").write_bytes(gzip.compress((tmp_path / "many.warc").read_bytes()))
+        assert sorted((r._id, r.content) for r in readers.warc_crawl(spark, str(tmp_path / "both")).collect()) == sorted(expected * 2)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_warc_offsets(spark):
+    records = [_warc("response", f"http://s/{k}", _answer(b"WARC/1.1\r\nA: b\r\n\r\n" * k)) for k in range(5)]
+    data = b"".join(records)
+    pieces = [(name, p) for name in "fg" for p in data.split(warc.MARK)]
+    got = list(warc.frame(pieces))
+    assert [data[r.offset : r.offset + r.size] for r in got] == records * 2 and [r.file for r in got] == ["f"] * 5 + ["g"] * 5
+    assert got[1].field("warc-target-uri") == "http://s/1" and got[1].field("missing") is None
