@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkspark.llm import decontaminate, fill_middle, langid, ngram_join, packing, quality, secrets, sharding, storage, token_binary, toxicity, url_filter
+from linkspark.llm import decontaminate, fill_middle, langid, ngram_join, packing, quality, secrets, sharding, storage, token_binary, toxicity, url_filter, warc_index
 from linkspark.llm.sampling import fold
 from linkspark.llm.storage import Scratch, prepare
 
@@ -85,6 +85,13 @@ def op10_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op12_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = Scratch(spark, "archives").path("all")
+    warc_index.write_archives(table(spark, sf_dir, "pages"), out)
+    index = warc_index.capture_index(warc_index.captures(spark, out))
+    return index.select(F.col("page").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"), "url_key", "timestamp", "position")
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fill_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
     back = fill_middle.restored(F.col("output"), F.col("form"))
@@ -92,7 +99,7 @@ def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_quality, op2_token_binary, op3_toxicity_crf, op4_url_filter, op5_secret_scan, op6_string_tiling, op7_hilbert_shards, op8_ngram_join, op9_language_codes, op10_cost_packing, op13_fill_middle)}
+    return {f.__name__: f for f in (op1_line_quality, op2_token_binary, op3_toxicity_crf, op4_url_filter, op5_secret_scan, op6_string_tiling, op7_hilbert_shards, op8_ngram_join, op9_language_codes, op10_cost_packing, op12_warc_index, op13_fill_middle)}
 
 
 # Lines and words as the contract has them; the rules are those of quality.LineRules. DuckDB's \\s is ASCII only.
@@ -129,6 +136,17 @@ SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.b, w.doc_id)
 """
 
 
+# Base32 of a SHA-1: of each five hexadecimal digits four letters. Labels of hosts are put in reverse by their number.
+OP12_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h, regexp_replace(regexp_replace(coalesce(url, ''), '(?s)#.*\z', ''), '(?s)\A[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM pages),
+f AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS first_id, [('0x' || substr(h, 5 * k + 1, 5))::INT FOR k IN range(8)] AS w, string_split(lower(regexp_extract(bare, '\A[^/?]*')), '.') AS labels, length(regexp_extract(bare, '\A[^/?]*')) AS host_length FROM p),
+i AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((w[k // 4 + 1] >> (15 - 5 * (k % 4))) & 31) + 1, 1) FOR k IN range(32)], '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to,
+  CASE WHEN bare = '' THEN '' ELSE array_to_string(list_reverse(labels), ',') || ')' || substr(bare, host_length + 1) END AS url_key,
+  strftime(make_timestamp((1577836800 + page_id % 1000000000) * 1000000), '%Y%m%d%H%M%S') AS timestamp FROM f)
+SELECT *, row_number() OVER (ORDER BY url_key, timestamp, page_id::VARCHAR) - 1 AS position FROM i
+"""
+
 # Units are matched here, where the operator splits between them.
 OP13_SQL = r"""
 WITH u AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[ \x09-\x0D]*[^ \x09-\x0D]+|[ \x09-\x0D]+') AS u, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
@@ -142,4 +160,4 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre)::BIGINT END A
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op13_fill_middle": OP13_SQL, "op1_line_quality": OP1_SQL, "op8_ngram_join": OP8_SQL}
+    return {"op1_line_quality": OP1_SQL, "op8_ngram_join": OP8_SQL, "op12_warc_index": OP12_SQL, "op13_fill_middle": OP13_SQL}
