@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkspark.llm import decontaminate, fill_middle, langid, ngram_join, packing, quality, secrets, sharding, storage, token_binary, toxicity, url_filter, warc_index
+from linkspark.llm import decontaminate, fill_middle, langid, ngram_join, packing, quality, secrets, sharding, storage, token_binary, toxicity, url_filter, warc_index, whitening
 from linkspark.llm.sampling import fold
 from linkspark.llm.storage import Scratch, prepare
 
@@ -85,6 +85,12 @@ def op10_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op11_jacobi_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(vectors)
+    return whitening.components(whitening.whiten(vectors, model).drop("embedding"), model)
+
+
 def op12_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = Scratch(spark, "archives").path("all")
     warc_index.write_archives(table(spark, sf_dir, "pages"), out)
@@ -99,7 +105,7 @@ def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_quality, op2_token_binary, op3_toxicity_crf, op4_url_filter, op5_secret_scan, op6_string_tiling, op7_hilbert_shards, op8_ngram_join, op9_language_codes, op10_cost_packing, op12_warc_index, op13_fill_middle)}
+    return {f.__name__: f for f in (op1_line_quality, op2_token_binary, op3_toxicity_crf, op4_url_filter, op5_secret_scan, op6_string_tiling, op7_hilbert_shards, op8_ngram_join, op9_language_codes, op10_cost_packing, op11_jacobi_whitening, op12_warc_index, op13_fill_middle)}
 
 
 # Lines and words as the contract has them; the rules are those of quality.LineRules. DuckDB's \\s is ASCII only.
