@@ -125,13 +125,22 @@ def index_mentions(mentions: DataFrame, vocab: DataFrame, oov: int | str = "last
     return rows.join(known, "row", "left").select("_id", "source", sequence.alias("sequence"), "span")
 
 
+def entity_term_weight_rows(mentions: DataFrame, idfs: DataFrame, max_ngram: int = 1, normalize: bool = True) -> DataFrame:
+    """(_id: entity, term, weight: sqrt(count) * idf, scaled to unit length over the entity). A row for each, so entities may have any number of terms.
+
+    Terms without idf go; the weights of a zero vector are null. The length is a sum that tasks make in parts, joined back.
+    """
+    scratch = Scratch(mentions.sparkSession, "weights")
+    counts = mentions.select("_id", F.explode(X.ngrams(F.col("text"), max_ngram)).alias("term")).groupBy("_id", "term").count()
+    weighted = counts.join(idfs.select(F.col("_id").alias("term"), "idf"), "term").select("_id", "term", (F.sqrt("count") * F.col("idf")).alias("weight"))
+    if not normalize:
+        return weighted
+    weighted = scratch.put(weighted, "weighted")
+    lengths = weighted.groupBy("_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("__length"))
+    return weighted.join(lengths, "_id").select("_id", "term", F.try_divide("weight", "__length").alias("weight"))
+
+
 def entity_term_weights(mentions: DataFrame, idfs: DataFrame, max_ngram: int = 1, normalize: bool = True) -> DataFrame:
-    """(_id: entity, counts: term to sqrt(count) * idf, scaled to unit length). Terms without idf go; a zero vector stays null-weighted."""
-    terms = mentions.select("_id", F.explode(X.ngrams(F.col("text"), max_ngram)).alias("term")).groupBy("_id", "term").count()
-    weighted = terms.join(idfs.select(F.col("_id").alias("term"), "idf"), "term").select("_id", "term", (F.sqrt("count") * F.col("idf")).alias("weight"))
-    entries = F.array_sort(F.collect_list(F.struct("term", "weight")))
-    out = weighted.groupBy("_id").agg(entries.alias("e"))
-    if normalize:
-        norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x["weight"] * x["weight"]))
-        out = out.withColumn("n", norm).select("_id", F.transform("e", lambda x: F.struct(x["term"], F.try_divide(x["weight"], F.col("n")))).alias("e"))
-    return out.select("_id", F.map_from_entries("e").alias("counts"))
+    """(_id: entity, counts: term to weight) of ``entity_term_weight_rows``."""
+    rows = entity_term_weight_rows(mentions, idfs, max_ngram, normalize)
+    return rows.groupBy("_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "weight")))).alias("counts"))

@@ -408,8 +408,8 @@ SELECT _id, term, round(v / nullif(sqrt(sum(v * v) OVER (PARTITION BY _id)), 0),
 def mention_term_weights(spark, sf_dir):
     """Weights of the terms in the sentences around links."""
     found = terms.entity_mentions(linked_texts(spark, sf_dir))
-    out = terms.entity_term_weights(found, terms.term_idfs(text_documents(spark, sf_dir)))
-    return out.select("_id", F.explode("counts").alias("term", "weight")).withColumn("weight", F.round("weight", 6))
+    out = terms.entity_term_weight_rows(found, terms.term_idfs(text_documents(spark, sf_dir)))
+    return out.withColumn("weight", F.round("weight", 6))
 
 
 # The template, the footnote and the category go; the file leaves its caption; the title, the cap and the marked words are links.

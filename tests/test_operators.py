@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -181,3 +182,25 @@ class _Tables:
 
     def __getattr__(self, name):
         return getattr(self.spark, name)
+
+
+def test_weights_of_large_entities(spark):
+    """One entity of 100,000 terms, in time that grows with the terms and not with their square; both forms agree."""
+    mentions = spark.range(100_000).select(F.lit("e").alias("_id"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("text")).union(spark.createDataFrame([("f", "w1 w1 w2"), ("g", "w3")], "_id string, text string"))
+    idfs = spark.range(100_000).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("_id"), F.when(F.col("id") == 3, 0.0).otherwise(1.0).alias("idf"))
+    start = time.time()
+    (e,) = terms.entity_term_weights(mentions, idfs).where("_id = 'e'").collect()
+    assert len(e.counts) == 100_000 and math.isclose(e.counts["w5"], 1 / math.sqrt(99_999), rel_tol=1e-9) and time.time() - start < 60
+    few = {(r._id, r.term): r.weight for r in terms.entity_term_weight_rows(mentions, idfs).where("_id <> 'e'").collect()}
+    assert few["g", "w3"] is None and math.isclose(few["f", "w1"], math.sqrt(2 / 3)) and math.isclose(few["f", "w2"], math.sqrt(1 / 3))
+    raw = {(r._id, r.term): r.weight for r in terms.entity_term_weight_rows(mentions, idfs, normalize=False).where("_id <> 'e'").collect()}
+    assert raw == {("g", "w3"): 0.0, ("f", "w1"): math.sqrt(2), ("f", "w2"): 1.0}
+
+
+def test_unit_of_long_vectors(spark):
+    long = spark.range(200).select(F.array_repeat(F.lit(2.0), 20_000).alias("v"))
+    start = time.time()
+    out = long.select(F.round(F.get(embeddings.unit(F.col("v")), F.lit(7)), 12).alias("x")).distinct().collect()
+    assert [r.x for r in out] == [round(1 / math.sqrt(20_000), 12)] and time.time() - start < 30
+    zero = spark.createDataFrame([([0.0, 0.0],), ([3.0, 4.0],), (None,)], "v array<double>").select(embeddings.unit(F.col("v")).alias("u"))
+    assert [r.u for r in zero.collect()] == [None, [0.6, 0.8], None]
