@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from linkspark.functions import links
 from linkspark.functions import language as lang
 from linkspark.functions import text as X
-from linkspark.operators import embeddings, entities, redirects, relations, terms
+from linkspark.operators import embeddings, entities, redirects, relations, skipgram, terms
 from linkspark.operators.ranking import ranked
 from linkspark.plans import corpora
 from linkspark.sources import readers, writers
@@ -461,6 +461,23 @@ def entity_embeddings(spark, sf_dir):
     return out.select("_id", F.size("embedding").alias("dimensions"), norm.alias("norm"))
 
 
+@query("SELECT DISTINCT 'en.wikipedia.org/wiki/Nation_' || c_nationkey AS query, 'n' || c_nationkey || letter AS _id FROM customer, (SELECT unnest(['a', 'b', 'c', 'd', 'e', 'f', 'g', 'h']) AS letter)")
+def embedding_neighbours(spark, sf_dir):
+    """Each nation's nearest eight: the words that only its own contexts have, six of eight in turn, beside words that all share."""
+    key, nation = F.col("c_custkey"), F.col("c_nationkey").cast("string")
+
+    def word(i: int):
+        return F.concat(F.lit("n"), nation, F.element_at(F.array(*map(F.lit, "abcdefgh")), (F.pmod(key * 3 + i, F.lit(8)) + 1).cast("int")))
+
+    before, after = (F.concat_ws(" ", *(word(3 * side + i) for i in range(3)), F.concat(F.lit("shared"), F.pmod(key * (side + 1), F.lit(7)).cast("string"))) for side in (0, 1))
+    name = F.concat(F.lit("Nation "), nation)
+    span = F.struct((F.length(before) + 1).alias("start"), (F.length(before) + 1 + F.length(name)).alias("stop"))
+    contexts = _table(spark, sf_dir, "customer").select(F.concat(F.lit("en.wikipedia.org/wiki/Nation_"), nation).alias("_id"), key.cast("string").alias("source"), F.concat_ws(" ", before, name, after).alias("text"), span.alias("span"))
+    vectors = Scratch(spark, "vectors").put(embeddings.entity_embeddings(contexts, min_word_count=1, min_entity_count=1, sample=0), "all")
+    words, nations = vectors.where(~F.startswith("_id", F.lit("en."))), vectors.where(F.startswith("_id", F.lit("en.")))
+    return skipgram.neighbours(words, nations, 8).select("query", "_id")
+
+
 @query(f"WITH {_LINKS} SELECT target AS _id, url AS source FROM (SELECT DISTINCT url, t, target FROM k)")
 def entity_inlink_pairs(spark, sf_dir):
     return entities.entity_inlink_pairs(page_documents(spark, sf_dir))

@@ -59,6 +59,9 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         for df in tables:
-            _, where = self.places[id(df)]
-            store, path = _path(self.spark, where)
-            store.delete(path, True)
+            self.forget(self.places[id(df)][1])
+
+    def forget(self, where: str) -> None:
+        """Deletes a place of ``path``."""
+        store, path = _path(self.spark, where)
+        store.delete(path, True)
