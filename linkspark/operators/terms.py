@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from linkspark import schemas
 from linkspark.functions import text as X
+from linkspark.operators import grams
 from linkspark.operators.ranking import ranked
 from linkspark.storage import Scratch
 
@@ -21,13 +22,12 @@ SENTENCE_ENDS = frozenset(".!?\"'")
 
 def term_frequencies(docs: DataFrame, lowercase: bool = False, max_ngram: int = 1) -> DataFrame:
     """(_id, count) of n-grams that occur more than once."""
-    return docs.select(F.explode(X.ngrams(F.col("text"), max_ngram, lowercase=lowercase)).alias("_id")).groupBy("_id").count().where("count > 1")
+    return grams.counts(docs, F.lower("text") if lowercase else F.col("text"), max_ngram, more_than=1)
 
 
 def term_document_frequencies(docs: DataFrame, lowercase: bool = False, max_ngram: int = 1, min_df: int = 2) -> DataFrame:
     """(_id, count) of n-grams in more than ``min_df`` documents."""
-    own = F.array_distinct(X.ngrams(F.col("text"), max_ngram, lowercase=lowercase))
-    return docs.select(F.explode(own).alias("_id")).groupBy("_id").count().where(F.col("count") > min_df)
+    return grams.counts(docs, F.lower("text") if lowercase else F.col("text"), max_ngram, more_than=min_df, once=True)
 
 
 def term_vocab(docs: DataFrame, max_rank: int | None, min_rank: int | None = 100, lowercase: bool = False, max_ngram: int = 1, min_df: int = 2) -> DataFrame:
