@@ -3,18 +3,24 @@
 Three base patterns (assignments to telling names, access keys, long hex
 runs) are found first. Then each text is lexed as source or configuration
 into pairs of a name and a value: ``name = "literal"``, ``name: literal``,
-``name := other``, ``"name" => "literal"``, ``--name=literal``, ``export
-NAME=literal``, ``settings["name"] = "literal"``, triple quotes, ``name: |`` with the
-indented lines below it, and values joined with ``+``; the result of a call is
-no literal. Constants are propagated through names in text order, and a
+``name := other``, ``name <- "literal"``, ``"name" => "literal"``, ``--name=literal``,
+``export NAME=literal``, ``settings["name"] = "literal"``, ``define("NAME", "literal")``,
+``<name>literal</name>``, triple quotes and backticks, ``name: |`` with the indented
+lines below it, literals side by side or in brackets over several lines, and
+values joined with ``+`` or named inside a literal (``f"{other}"``, ``"${other}"``);
+the result of a call is no literal. Constants are propagated through names in text order, and a
 literal whose value reaches a sensitive name is scored by that name and by its
 own shape; literals that pass become spans of kind ``literal``. An assignment
 in a comment is scored by its own name, but binds nothing. Names are those of
 the whole text: nested scopes share them.
 
 A value may be joined from any number of literals; names share the values
-they are joined from, so that long chains take linear space. No pattern goes
-over a stretch of text more than a few times, whatever it holds.
+they are joined from, and all are scored in one walk over them, in which each
+literal's characters are counted once and taken back once. So time and space
+grow with the text and its alphabet. Only a join of two values that were both
+joined from many takes time for the literals of one of them, once for each
+different pair. No pattern goes over a stretch of text more than a few times,
+whatever it holds.
 
 Defined results: null and empty texts have no spans; very long texts are
 scanned whole; spans at one place are in the order of ``KINDS``, then by end;
@@ -27,7 +33,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import Counter, OrderedDict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,7 +47,7 @@ KINDS = ("assign", "access", "hex", "literal")
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # runs are maximal: the same as [0-9a-f]+ of 32 and more
-_HINT = re.compile(r"[:=]")
+_HINT = re.compile(r"[:=]|<-|</|[dD][eE][fF][iI][nN][eE]")
 
 # Parts of names that hold secrets, with their weights.
 SENSITIVE = {
@@ -51,16 +57,22 @@ SENSITIVE = {
 }
 
 _QUOTED = r"""(?:[bBrRuUfF]{1,2}(?=["']))?(?:\"{3}[\s\S]*?\"{3}|'{3}[\s\S]*?'{3}|"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+')"""
+_LITERAL = rf"(?:{_QUOTED}|`(?:[^`\\]|\\[\s\S])*+`)"
+_LITERALS = rf"{_LITERAL}(?:[ \t]*+{_LITERAL})*+"
+_BRACKETS = rf"[\[(]\s*+(?:{_LITERAL}[\s,+]*+)++"
 _KEYS = r"""\[[ \t]*+["'][^"'\\\n\]]++["'][ \t]*+\]"""
 _LEX = re.compile(
     rf"""(?<![A-Za-z0-9_.-])[0-9.-]*+(?P<name>[A-Za-z_][A-Za-z0-9_.-]*+)["']?(?P<keys>(?:[ \t]*+{_KEYS})*+)"""
-    rf"""[ \t]*+(?::=|=>|=(?![=>])|:(?!=))[ \t]*+"""
-    rf"""(?:(?P<value>(?:{_QUOTED}|[A-Za-z_][A-Za-z0-9_.]*+(?:{_KEYS})++|[A-Za-z0-9+/_.=$@!%^&*~-]++)(?:[ \t]*+\+[ \t]*+(?:{_QUOTED}|[A-Za-z_][A-Za-z0-9_.]*+(?:{_KEYS})*+))*+)|(?P<block>[|>][+-]?[ \t\r]*+\n))"""
+    rf"""[ \t]*+(?::=|=>|<-|=(?![=>])|:(?!=))[ \t]*+"""
+    rf"""(?:(?P<value>(?:{_BRACKETS}|{_LITERALS}|[A-Za-z_][A-Za-z0-9_.]*+(?:{_KEYS})++|[A-Za-z0-9+/_.=$@!%^&*~-]++)(?:[ \t]*+\+[ \t]*+(?:{_LITERALS}|[A-Za-z_][A-Za-z0-9_.]*+(?:{_KEYS})*+))*+)|(?P<block>[|>][+-]?[ \t\r]*+\n))"""
 )
 _PART = re.compile(
-    rf"""\"{{3}}([\s\S]*?)\"{{3}}|'{{3}}([\s\S]*?)'{{3}}|"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|[bBrRuUfF]{{1,2}}(?=["'])|([A-Za-z_][A-Za-z0-9_.]*+(?:{_KEYS})++)"""
-    r"""|([A-Za-z0-9/_.=$@!%^&*~-]++(?:\+(?=[A-Za-z0-9/=])[A-Za-z0-9/_.=$@!%^&*~-]++)*+)"""
+    rf"""\"{{3}}(?P<t2>[\s\S]*?)\"{{3}}|'{{3}}(?P<t1>[\s\S]*?)'{{3}}|"(?P<q2>(?:[^"\\\n]|\\.)*+)"|'(?P<q1>(?:[^'\\\n]|\\.)*+)'|`(?P<tick>(?:[^`\\]|\\[\s\S])*+)`|(?P<prefix>[bBrRuUfF]{{1,2}})(?=["'])|(?P<key>[A-Za-z_][A-Za-z0-9_.]*+(?:{_KEYS})++)"""
+    r"""|(?P<bare>[A-Za-z0-9/_.=$@!%^&*~-]++(?:\+(?=[A-Za-z0-9/=])[A-Za-z0-9/_.=$@!%^&*~-]++)*+)"""
 )
+_INSIDE = re.compile(r"\$?\{([A-Za-z_][A-Za-z0-9_.]*+)\}")
+_DEFINE = re.compile(r"""(?<![A-Za-z0-9_])[dD][eE][fF][iI][nN][eE][ \t]*+\([ \t]*+["']([A-Za-z_][A-Za-z0-9_.-]*+)["'][ \t]*+,[ \t]*+(?:"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)')""")
+_ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.-]*+)>([^<>]*+)</\1>")
 _KEY = re.compile(r"""["']([^"'\\\n\]]++)["']""")
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
 _COMMENTS = re.compile(rf"""\\[\s\S]|{_QUOTED}|(?P<comment>(?<![^\s;,(){{}}])(?:#|//)[^\n]*+|/\*(?:[^*]|\*(?!/))*+(?:\*/|\Z))""")
@@ -87,7 +99,7 @@ def entropy(s: str) -> float:
 
 def _bits(counts: Counter) -> float:
     n = counts.total()
-    return -sum(c / n * math.log2(c / n) for c in counts.values()) if n else 0.0
+    return -math.fsum(c / n * math.log2(c / n) for c in counts.values()) if n else 0.0  # the same in any order
 
 
 def literal_score(name: float, value: str, rules: SecretRules) -> float:
@@ -103,59 +115,89 @@ def _score(name: float, counts: Counter, rules: SecretRules) -> float:
 
 
 class _Value:
-    """What a name holds: spans of literals and the values of other names, in the order in which they are joined."""
+    """What a name holds: the literals of one or two other values, and literals of its own."""
 
-    __slots__ = ("parts", "plain")
+    __slots__ = ("first", "own", "second")
 
-    def __init__(self, parts: list) -> None:
-        self.parts = tuple(dict.fromkeys(parts))
-        self.plain = not any(isinstance(p, _Value) for p in self.parts)
+    def __init__(self, first: _Value | None = None, second: _Value | None = None, own: tuple[tuple[int, int], ...] = ()) -> None:
+        self.first, self.second, self.own = first, second, own
 
 
-class _Joins:
-    """The literals that values are joined from, each once however often it is reached, and their characters.
-
-    ``kept`` has them for the values last used, so that appending to one doesn't walk all of it again; a value that
-    isn't there is walked.
-    """
-
-    KEPT = 128
+class _Values:
+    """The values of a text and the weights of the names that they reach."""
 
     def __init__(self, text: str) -> None:
         self.text = text
-        self.bit: dict[tuple[int, int], int] = {}
-        self.kept: OrderedDict[_Value, tuple[int, Counter]] = OrderedDict()
-
-    def of(self, value: _Value) -> tuple[int, Counter]:
-        """The set of the value's literals, as bits, and the counts of their characters by first occurrence."""
-        if value in self.kept:
-            self.kept.move_to_end(value)
-            return self.kept[value]
-        mask, counts, seen, waiting = 0, Counter(), set(), [*reversed(value.parts)]
+        self.pairs: dict[tuple[_Value, _Value], _Value] = {}
+        self.wanted: dict[_Value, float] = {}
+
+    def joined(self, parts: list[tuple[int, int] | _Value]) -> _Value:
+        """The value of all parts; equal pairs of values are one."""
+        values = list(dict.fromkeys(p for p in parts if isinstance(p, _Value)))
+        own = tuple(dict.fromkeys(p for p in parts if not isinstance(p, _Value)))
+        out = values[0] if values else None
+        for other in values[1:]:
+            out = self.pairs.setdefault((out, other), _Value(out, other))
+        return out if out and not own else _Value(out, None, own)
+
+    def reach(self, value: _Value, weight: float) -> None:
+        self.wanted[value] = max(weight, self.wanted.get(value, 0.0))
+
+    def passing(self, rules: SecretRules) -> list[_Value]:
+        """The values whose characters pass with the greatest weight that they reach.
+
+        The first values of all values make trees. On the walk down a tree ``counts`` is of all literals that the
+        value at hand is joined from, each once; what a value added goes again when it is left.
+        """
+        kin: dict[_Value | None, list[_Value]] = defaultdict(list)
+        marked: set[_Value] = set()
+        for value in self.wanted:
+            while value is not None and value not in marked:
+                marked.add(value)
+                kin[value.first].append(value)
+                value = value.first
+        counts: Counter = Counter()
+        held: set[_Value] = set()
+        found = []
+        waiting: list[tuple[_Value, list[_Value] | None]] = [(v, None) for v in reversed(kin[None])]
+        while waiting:
+            value, added = waiting.pop()
+            if added is not None:  # on the way back
+                for v in added:
+                    held.remove(v)
+                    for a, b in v.own:
+                        for c, n in Counter(self.text[a:b]).items():
+                            counts[c] -= n
+                            if not counts[c]:
+                                del counts[c]
+                continue
+            added, more = [], [value]
+            while more:
+                v = more.pop()
+                if v is not None and v not in held:
+                    held.add(v)
+                    added.append(v)
+                    for a, b in v.own:
+                        counts.update(self.text[a:b])
+                    more += (v.first, v.second)
+            if value in self.wanted and _score(self.wanted[value], counts, rules) >= rules.min_score:
+                found.append(value)
+            waiting.append((value, added))
+            waiting += [(v, None) for v in reversed(kin[value])]
+        return found
+
+    def spans(self, rules: SecretRules) -> set[tuple[int, int]]:
+        """The literals of all passing values."""
+        out: set[tuple[int, int]] = set()
+        seen: set[_Value] = set()
+        waiting: list[_Value | None] = [*self.passing(rules)]
         while waiting:
-            p = waiting.pop()
-            if isinstance(p, tuple):
-                one = 1 << self.bit.setdefault(p, len(self.bit))
-                if not mask & one:
-                    mask |= one
-                    counts.update(self.text[p[0] : p[1]])
-            elif p not in seen:
-                seen.add(p)
-                known = self.kept.get(p)
-                if known and not mask & known[0]:
-                    self.kept.move_to_end(p)
-                    mask |= known[0]
-                    counts.update(known[1])
-                elif not known or known[0] & ~mask:
-                    waiting += reversed(p.parts)
-        self.kept[value] = mask, counts
-        if len(self.kept) > self.KEPT:
-            self.kept.popitem(last=False)
-        return mask, counts
-
-    def spans(self, mask: int) -> list[tuple[int, int]]:
-        chosen = bin(mask)[:1:-1]
-        return [o for o, k in self.bit.items() if chosen[k : k + 1] == "1"]
+            v = waiting.pop()
+            if v is not None and v not in seen:
+                seen.add(v)
+                out.update(v.own)
+                waiting += (v.first, v.second)
+        return out
 
 
 def _comments(text: str) -> list[tuple[int, int]]:
@@ -187,13 +229,42 @@ def _block(text: str, m: re.Match) -> tuple[list[tuple[int, int]], int]:
     return found, here
 
 
+def _parts(text: str, begin: int, end: int, bound: dict[str, _Value]) -> list[tuple[int, int] | _Value]:
+    """What a value's text is joined from: literals, and the values of bound names in it or inside its literals."""
+    origin: list[tuple[int, int] | _Value] = []
+    prefix = ""
+    for p in _PART.finditer(text, begin, end):
+        kind = p.lastgroup
+        if kind == "prefix":
+            prefix = p["prefix"].lower()
+            continue
+        if kind == "key" or kind == "bare" and _NAME.match(p["bare"]):
+            known = bound.get(p["bare"] or _full_name(p["key"].partition("[")[0].rstrip(), p["key"]))
+            if known is not None:
+                origin.append(known)
+                continue
+        a, b = p.span(kind)
+        if kind not in ("key", "bare") and "{" in p[kind]:
+            braces, other = "f" in prefix, b - a
+            for m in _INSIDE.finditer(text, a, b):
+                known = bound.get(m[1]) if braces or m[0][0] == "$" and kind not in ("t1", "q1") else None
+                if known is not None:
+                    origin.append(known)
+                    other -= len(m[0])
+            b = b if other else a
+        prefix = ""
+        if kind != "key" and b > a:
+            origin.append((a, b))
+    return origin
+
+
 def lexed_spans(text: str, rules: SecretRules) -> list[tuple[int, int]]:
     """Spans of the literals whose values reach sensitive names."""
     bound: dict[str, _Value] = {}
-    joins = _Joins(text)
+    values = _Values(text)
     found: set[tuple[int, int]] = set()
     comments, c = _comments(text), 0
-    mask, here = 0, 0
+    here = 0
     while m := _LEX.search(text, here):
         here = m.end()
         while c < len(comments) and comments[c][1] <= m.start():
@@ -207,28 +278,27 @@ def lexed_spans(text: str, rules: SecretRules) -> list[tuple[int, int]]:
                 continue  # its lines are lexed as they come
             origin, here = _block(text, m)
         elif text[here : here + 1] != "(":
-            for p in _PART.finditer(text, m.start("value"), m.end("value")):
-                group = p.lastindex
-                if group is None:
-                    continue
-                if group == 5 or group == 6 and _NAME.match(p[6]):
-                    known = bound.get(p[6] or _full_name(p[5].partition("[")[0].rstrip(), p[5]))
-                    if known is not None and not remark:
-                        origin.append(known)
-                        continue
-                if group != 5 and p.end(group) > p.start(group):
-                    origin.append(p.span(group))
-        value = origin[0] if len(origin) == 1 and isinstance(origin[0], _Value) else _Value(origin)
+            origin = _parts(text, m.start("value"), m.end("value"), {} if remark else bound)
+        value = values.joined(origin)
         if not remark:
             bound[name] = value
-        if weight and value.plain:
-            if literal_score(weight, "".join(text[a:b] for a, b in value.parts), rules) >= rules.min_score:
-                found.update(value.parts)
+        if weight and value.first is None:
+            if literal_score(weight, "".join(text[a:b] for a, b in value.own), rules) >= rules.min_score:
+                found.update(value.own)
         elif weight:
-            own, counts = joins.of(value)
-            if _score(weight, counts, rules) >= rules.min_score:
-                mask |= own
-    return sorted(found.union(joins.spans(mask)))
+            values.reach(value, weight)
+    for m in _DEFINE.finditer(text):
+        found |= _scored(text, m[1], *m.span(m.lastindex), rules)
+    for m in _ELEMENT.finditer(text) if "</" in text else ():
+        bare = m[2].strip()
+        begin = m.start(2) + len(m[2]) - len(m[2].lstrip())
+        found |= _scored(text, m[1], begin, begin + len(bare), rules)
+    return sorted(found | values.spans(rules))
+
+
+def _scored(text: str, name: str, begin: int, end: int, rules: SecretRules) -> set[tuple[int, int]]:
+    weight = name_weight(name)
+    return {(begin, end)} if weight and literal_score(weight, text[begin:end], rules) >= rules.min_score else set()
 
 
 def spans(text: str | None, rules: SecretRules = SecretRules()) -> list[tuple[str, int, int]]:

@@ -87,6 +87,7 @@ def test_propagation():
 
 NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
 LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_")
+SPACES = frozenset(" \t\n\r\f\v")
 BARE_CHARS = (NAME_CHARS | frozenset("/=$@!%^&*~"))
 
 
@@ -102,25 +103,42 @@ class PlainLexer:
         return i
 
     def string(self, i):
-        """(end, inner span) of a quoted string at i, or None."""
+        """(end, inner span, kind and prefix) of a quoted string at i, or None."""
         t = self.t
         k = 0
         while k < 2 and t[i + k] in "bBrRuUfF":
             k += 1
-        i += k if k and t[i + k] in "\"'" else 0
+        k = k if k and t[i + k] in "\"'" else 0
+        prefix, i = t[i : i + k].lower(), i + k
         for q in ('"', "'"):
             if t.startswith(q * 3, i) and (end := t.find(q * 3, i + 3)) >= 0:
-                return end + 3, (i + 3, end)
-            if t[i] == q:
-                j = i + 1
-                while t[j] not in (q, "\n") and j < len(t) - 4:
-                    if t[j] == "\\":
-                        if t[j + 1] == "\n" or j + 1 >= len(t) - 4:
-                            return None
-                        j += 1
-                    j += 1
-                return (j + 1, (i + 1, j)) if t[j] == q else None
-        return None
+                return end + 3, (i + 3, end), q + prefix
+        if (q := t[i]) not in "\"'`":
+            return None
+        j = i + 1
+        while j < len(t) - 4 and t[j] != q and (t[j] != "\n" or q == "`"):
+            if t[j] == "\\":
+                if j + 1 >= len(t) - 4 or t[j + 1] == "\n" and q != "`":
+                    return None
+                j += 1
+            j += 1
+        return (j + 1, (i + 1, j), q + prefix) if j < len(t) - 4 and t[j] == q else None
+
+    def literal(self, s):
+        """The parts of a string: names inside it where its kind has any, and itself unless it is nothing but such names that are bound."""
+        _, (a, b), kind = s
+        inner = re.compile(r"\$?\{([A-Za-z_][A-Za-z0-9_.]*)\}").finditer(self.t, a, b)
+        names = [(m[1], len(m[0])) for m in inner if "f" in kind or m[0][0] == "$" and kind[0] != "'"]
+        return ("text", names, a, b)
+
+    def literals(self, s):
+        """(end, parts) of strings side by side, of which s is the first."""
+        parts, end = [], s[0]
+        while s:
+            parts.append(self.literal(s))
+            end = s[0]
+            s = self.string(self.run(end, " \t"))
+        return end, parts
 
     def keys(self, i, least):
         """End of subscripts and their names."""
@@ -146,9 +164,17 @@ class PlainLexer:
 
     def operand(self, i, first):
         """(end, what) where what is ("text", a, b) or ("name", full name, a, b)."""
-        if s := self.string(i):
-            return s[0], [("text", *s[1])]
         t = self.t
+        if first and t[i] in "[(":
+            parts, end = [], None
+            j = self.run(i + 1, SPACES)
+            while s := self.string(j):
+                parts.append(self.literal(s))
+                end = j = self.run(s[0], SPACES | {",", "+"})
+            if parts:
+                return end, parts
+        if s := self.string(i):
+            return self.literals(s)
         if t[i] in LETTERS:
             j = self.run(i, NAME_CHARS - {"-"})
             e, names = self.keys(j, 1)
@@ -190,7 +216,7 @@ class PlainLexer:
         k = self.run(j, NAME_CHARS)
         e, names = self.keys(k + (t[k] in "\"'"), 0)
         e = self.run(e, " \t")
-        if t.startswith((":=", "=>"), e):
+        if t.startswith((":=", "=>", "<-"), e):
             e += 2
         elif t[e] == "=" and t[e + 1] not in "=>" or t[e] == ":" and t[e + 1] != "=":
             e += 1
@@ -219,6 +245,10 @@ def plain_lexed(text, rules):
         for p in parts:
             if p[0] == "key" or p[0] == "name" and secrets._NAME.match(p[1]) and p[1] in bound:
                 origin += bound.get(p[1], [])
+            elif p[0] == "text" and (known := [(n, k) for n, k in p[1] if n in bound]):
+                origin += [o for n, _ in known for o in bound[n]]
+                if sum(k for _, k in known) < p[3] - p[2]:
+                    origin.append(p[2:])
             elif p[-1] > p[-2]:
                 origin.append(tuple(p[-2:]))
         bound[name] = origin = list(dict.fromkeys(origin))
@@ -231,8 +261,8 @@ def plain_lexed(text, rules):
 def test_lexer_like_plain_one():
     rng = random.Random(9)
     rules = secrets.SecretRules()
-    bits = ["password", "token", "a", "key", '"', "'", '"""', "[", "]", '["db"]', "['pass']", " ", "=", ":", "=>", ":=", "+", "\n", "\\", "x9Z", "Qw3rTy77Zk", "(", "-", "1", "f", ".", "é"]
-    for _ in range(20_000):
+    bits = ["password", "token", "a", "key", '"', "'", '"""', "[", "]", '["db"]', "['pass']", " ", "=", ":", "=>", ":=", "+", "\n", "\\", "x9Z", "Qw3rTy77Zk", "(", "-", "1", "f", ".", "é", "`", ",", "<-", "{a}", "${key}", 'f"{a}']
+    for _ in range(40_000):
         text = "".join(rng.choice(bits) for _ in range(rng.randint(1, 30)))
         assert secrets.lexed_spans(text, rules) == plain_lexed(text, rules), text
 
@@ -254,6 +284,19 @@ def test_lexer_like_plain_one():
         ("url = 'http://a/b' // token = zX81kkQ02p", ["zX81kkQ02p"]),
         ("password = get_password(zX81kkQ02p)", []),
         ("password == 'zX81kkQ02p'", []),
+        ('password = "zX81kk" "Q02p99"', ["zX81kk", "Q02p99"]),
+        ('secret = ["zX81kkQ02p", "yY72aaP13q"]', ["zX81kkQ02p", "yY72aaP13q"]),
+        ('secret = (\n    "zX81kk"\n    "Q02p99"\n)', ["zX81kk", "Q02p99"]),
+        ("const token = `zX81kk\nQ02p`", ["zX81kk\nQ02p"]),
+        ('raw = "zX81kkQ02p"\nsecret = f"{raw}"', ["zX81kkQ02p"]),
+        ('raw = "zX81kkQ02p"\nsecret = f"{raw}tail"', ["zX81kkQ02p", "{raw}tail"]),
+        ('raw="zX81kkQ02p"\nexport SECRET="${raw}"', ["zX81kkQ02p"]),
+        ("raw='zX81kkQ02p'\nexport SECRET='${raw}'", []),
+        ("raw = 'zX81kkQ02p'\ntoken = `${raw}`", ["zX81kkQ02p"]),
+        ("define('DB_PASSWORD', \"zX81kkQ02p\");", ["zX81kkQ02p"]),
+        ("<db><password> zX81kkQ02p </password></db>", ["zX81kkQ02p"]),
+        ("<title>zX81kkQ02p</title>", []),
+        ('db.password <- "zX81kkQ02p"', ["zX81kkQ02p"]),
     ],
 )
 def test_lexed_syntax(text, expected):
@@ -262,12 +305,25 @@ def test_lexed_syntax(text, expected):
 
 def test_lexer_is_linear():
     n = 1 << 20
-    for text in ("x: " + "aB9-" * (n // 4), "password" * (n // 8), "a=" * (n // 2), '"\\"' * (n // 3), 'x = "' * (n // 5), "'" * n, '"""' * (n // 3 | 1), "/*" * (n // 2), "a[" * (n // 2), 'a["' * (n // 3), "k: |\n" * (n // 5), " " * n + "=", "a+" * (n // 2), "token: |\n " * (n // 10), "#" * n, "a = a + b\n" * (n // 10), "AKIA" * (n // 4), "0" * n):
+    for text in ("x: " + "aB9-" * (n // 4), "password" * (n // 8), "a=" * (n // 2), '"\\"' * (n // 3), 'x = "' * (n // 5), "'" * n, '"""' * (n // 3 | 1), "/*" * (n // 2), "a[" * (n // 2), 'a["' * (n // 3), "k: |\n" * (n // 5), " " * n + "=", "a+" * (n // 2), "token: |\n " * (n // 10), "#" * n, "a = a + b\n" * (n // 10), "AKIA" * (n // 4), "0" * n, "x = `" * (n // 5 | 1), "x=[" * (n // 3), "x=['a'," * (n // 7), "x = f'{x}'\n" * (n // 11), "<token>" * (n // 7), "define('" * (n // 8), "x = 'a' " * (n // 8)):
         start = time.time()
         secrets.spans(text)
         assert time.time() - start < 20, text[:20]
 
 
+def test_values_of_many_names_are_linear():
+    """Ten megabytes in which a thousand sensitive names are appended to in turn, or are all joined from the same ones."""
+    rng = random.Random(8)
+    lit = lambda: '"' + "".join(rng.choices("abcdefXYZ0123456789", k=12)) + '"'
+    turns = "\n".join(f"token_{k % 1000} = token_{k % 1000} + {lit()}" for k in range(250_000))
+    ring = "\n".join(f"token_{k % 1000} = token_{(k + 999) % 1000} + {lit()}" for k in range(250_000))
+    shared = "\n".join(f"{'ab'[k % 2]} = {'ab'[k % 2]} + {lit()}" for k in range(2000)) + "\n" + "\n".join(f"token_{k} = a + b + {lit()}" for k in range(200_000))
+    for text in (turns, ring, shared):
+        start = time.process_time()
+        found = secrets.lexed_spans(text, secrets.SecretRules())
+        assert time.process_time() - start < 40 and len(found) > 190_000
+
+
 def test_secrets_of_many_parts():
     rng = random.Random(6)
     parts = ["".join(rng.choice("abcdefABCDEF0123456789") for _ in range(12)) for _ in range(500)]
@@ -281,7 +337,7 @@ def test_secrets_of_many_parts():
 def test_secrets_like_whole_lists():
     rng = random.Random(7)
     rules = secrets.SecretRules()
-    for names in (["a", "key", "b", "secret"], [*(f"n{k}" for k in range(300)), "token"]):  # the second has more names than are kept
+    for names in (["a", "key", "b", "secret"], [*(f"n{k}" for k in range(300)), "token"]):
         for _ in range(40):
             rows = []
             for _ in range(400):
