@@ -2,6 +2,7 @@
 
     python -m linkspark.cli entity_counts --docs docs/ --save out/ --format tsv
     python -m linkspark.cli index_mentions --docs docs/ --input vocab=vocab/ --option lowercase=true
+    python -m linkspark.cli entity_embeddings --input mentions=mentions/
     python -m linkspark.cli wiki_articles --input pages=dump.xml --input redirects=redirects/
 """
 
@@ -34,6 +35,7 @@ READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "from_redirects": readers.redirects,
     "vocab": readers.vocab,
     "idfs": _json(schemas.IDFS),
+    "mentions": _json(schemas.MENTIONS),
 }
 
 
@@ -42,15 +44,22 @@ class Builder:
     build: Callable[..., DataFrame]
     inputs: tuple[str, ...] = ("docs",)
     may_lack: tuple[str, ...] = ()  # inputs that are None if they aren't given
+    instead: tuple[tuple[str, str], ...] = ()  # (an input, another kind that may be given in its place)
+
+
+_STORED = (("docs", "mentions"),)
 
 
 def _of_mentions(model):
-    """A model of the mentions in documents; options go to whichever of the two names them."""
+    """A model of mentions, stored ones or those in documents; options go to whichever of the two names them."""
 
-    def build(docs: DataFrame, *others: DataFrame, **options):
+    def build(source: DataFrame, *others: DataFrame, **options):
         own = inspect.signature(terms.entity_mentions).parameters
-        mentions = terms.entity_mentions(docs, **{k: options.pop(k) for k in list(options) if k in own})
-        return model(mentions, *others, **options)
+        finding = {k: options.pop(k) for k in list(options) if k in own}
+        stored = "links" not in source.columns
+        if stored and finding:
+            raise SystemExit(f"stored mentions take no {', '.join(finding)}")
+        return model(source if stored else terms.entity_mentions(source, **finding), *others, **options)
 
     return build
 
@@ -61,9 +70,9 @@ _OF_DOCUMENTS = (
 )
 MODELS: dict[str, Builder] = {f.__name__: Builder(f) for f in _OF_DOCUMENTS} | {
     "mapped_comentions": Builder(entities.mapped_comentions, ("docs", "vocab")),
-    "index_mentions": Builder(_of_mentions(terms.index_mentions), ("docs", "vocab")),
-    "entity_term_weights": Builder(_of_mentions(terms.entity_term_weights), ("docs", "idfs")),
-    "entity_embeddings": Builder(_of_mentions(embeddings.entity_embeddings)),
+    "index_mentions": Builder(_of_mentions(terms.index_mentions), ("docs", "vocab"), instead=_STORED),
+    "entity_term_weights": Builder(_of_mentions(terms.entity_term_weights), ("docs", "idfs"), instead=_STORED),
+    "entity_embeddings": Builder(_of_mentions(embeddings.entity_embeddings), instead=_STORED),
     "wiki_corpus": Builder(lambda pages: pages, ("pages",)),
     "wiki_redirects": Builder(redirects.wiki_redirects, ("pages",)),
     "wiki_articles": Builder(corpora.wiki_articles, ("pages", "redirects"), ("redirects",)),
@@ -92,9 +101,10 @@ def _pairs(given: list[str]) -> dict[str, str]:
 def build(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     model = MODELS[args.model]
     paths = _pairs(args.input) | ({"docs": args.docs} if args.docs else {})
-    if missing := [i for i in model.inputs if i not in paths and i not in model.may_lack]:
+    kinds = [next((other for own, other in model.instead if own == i and own not in paths and other in paths), i) for i in model.inputs]
+    if missing := [i for i in kinds if i not in paths and i not in model.may_lack]:
         raise SystemExit(f"{args.model} needs --input {'=PATH --input '.join(missing)}=PATH")
-    inputs = [READERS[i](spark, paths[i]) if i in paths else None for i in model.inputs]
+    inputs = [READERS[i](spark, paths[i]) if i in paths else None for i in kinds]
     rows = model.build(*inputs, **{k: _value(v) for k, v in _pairs(args.option).items()})
     extra = {"prefix": args.prefix, "serializer": args.serializer, "field": args.field} if args.format == "redis" else {}
     return writers.FORMATS[args.format](rows, **extra)

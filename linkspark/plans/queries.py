@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from linkspark.functions import links
 from linkspark.functions import language as lang
 from linkspark.functions import text as X
-from linkspark.operators import embeddings, entities, redirects, relations, skipgram, terms
+from linkspark.operators import embeddings, entities, languages, redirects, relations, skipgram, terms
 from linkspark.operators.ranking import ranked
 from linkspark.plans import corpora
 from linkspark.sources import readers, writers
@@ -197,6 +197,14 @@ def redirects_transitive(spark, sf_dir):
     return redirects.resolve(_redirects(spark, sf_dir))
 
 
+@query("SELECT 'c' || c_custkey AS _id, 'c' || least((c_custkey // 100 + 1) * 100, (SELECT max(c_custkey) + 1 FROM customer)) AS target FROM customer WHERE c_custkey % 100 <> 0")
+def redirect_chains(spark, sf_dir):
+    """Each customer redirects to the next one, but for each hundredth."""
+    name = lambda k: F.concat(F.lit("c"), k.cast("string"))
+    key = F.col("c_custkey")
+    return redirects.resolve_chains(_table(spark, sf_dir, "customer").where(key % 100 != 0).select(name(key).alias("_id"), name(key + 1).alias("target")))
+
+
 @query("SELECT DISTINCT 'en.wikipedia.org/wiki/' || replace(c_name, '#', ' ') AS _id, 'en.wikipedia.org/wiki/' || 'M' || substr(trim(lower(c_mktsegment)), 2) || '_x' AS target FROM customer WHERE c_custkey % 3 = 0")
 def wiki_redirects(spark, sf_dir):
     name = F.concat(F.lit("en.wikipedia.org/wiki/"), F.replace("c_name", F.lit("#"), F.lit(" ")))
@@ -441,10 +449,19 @@ def web_articles(spark, sf_dir):
 _HITS = ", ".join(f"{{'n': len([x FOR x IN w IF x IN ({', '.join(repr(x) for x in words)})]), 'code': '{code}'}}" for code, words in lang.PROFILES.items())
 
 
-@query(
-    rf"""WITH t AS (SELECT page_id, regexp_extract_all(lower(regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<[^>]*>', ' ', 'g')), '\p{{L}}+') AS w FROM pages),
-h AS (SELECT page_id, list_reverse_sort([{_HITS}]) AS h FROM t) SELECT page_id, CASE WHEN h[1].n >= 5 AND h[1].n >= 1.2 * h[2].n THEN h[1].code END AS language FROM h"""
-)
+_GUESSES = rf"""t AS (SELECT page_id, url, html, regexp_extract_all(lower(regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<[^>]*>', ' ', 'g')), '\p{{L}}+') AS w FROM pages),
+h AS (SELECT page_id, url, html, list_reverse_sort([{_HITS}]) AS h FROM t), u AS (SELECT page_id, url, html, CASE WHEN h[1].n >= 5 AND h[1].n >= 1.2 * h[2].n THEN h[1].code END AS language FROM h)"""
+
+
+@query(f"WITH {_GUESSES} SELECT url AS _id, html AS content FROM u WHERE language = 'en' AND page_id % 5 <> 0")
+def warc_language(spark, sf_dir):
+    """English pages of a crawl's files."""
+    crawl = Scratch(spark, "crawl").path("warc")
+    _records(spark, sf_dir).write.option("lineSep", "WARC/1.0\r\n").option("compression", "gzip").text(crawl)
+    return readers.warc_crawl(spark, crawl, language="en")
+
+
+@query(f"WITH {_GUESSES} SELECT page_id, language FROM u")
 def page_languages(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", lang.guess_language(F.col("html")).alias("language"))
 
@@ -461,6 +478,25 @@ def entity_embeddings(spark, sf_dir):
     return out.select("_id", F.size("embedding").alias("dimensions"), norm.alias("norm"))
 
 
+# All trigrams of the labelled four fifths teach, if they are among their language's 5000 most frequent; ties by code points, as by UTF-8.
+@query(
+    r"""WITH d AS (SELECT doc_id, lang, ' ' || trim(regexp_replace(lower(text), '[^\p{L}]+', ' ', 'g')) || ' ' AS t FROM documents WHERE regexp_matches(text, '\p{L}')),
+g AS MATERIALIZED (SELECT doc_id, lang, substr(t, i, 3) AS g FROM (SELECT *, unnest(range(1, length(t) - 1)) AS i FROM d)),
+c AS (SELECT lang, g, count(*) AS n FROM g WHERE doc_id % 5 <> 0 AND lang IS NOT NULL GROUP BY ALL),
+m AS (SELECT lang, g, n, total FROM (SELECT *, sum(n) OVER (PARTITION BY lang) AS total, row_number() OVER (PARTITION BY lang ORDER BY n DESC, g) AS place FROM c) WHERE place <= 5000),
+v AS (SELECT g FROM m GROUP BY g), t AS (SELECT lang, any_value(total) AS total FROM m GROUP BY lang),
+p AS (SELECT t.lang, v.g, ln((coalesce(m.n, 0) + 1) / (t.total + (SELECT count(*) FROM v))) AS p FROM t CROSS JOIN v LEFT JOIN m ON m.lang = t.lang AND m.g = v.g),
+k AS (SELECT doc_id, g, count(*) AS n FROM g GROUP BY ALL),
+s AS (SELECT doc_id, p.lang, sum(k.n * p) AS score, sum(k.n) AS n FROM k JOIN p USING (g) GROUP BY ALL),
+b AS (SELECT doc_id, arg_max(lang, score) AS lang, max(score) AS best, any_value(n) AS n, list(score ORDER BY score DESC)[2] AS second FROM s GROUP BY doc_id)
+SELECT documents.doc_id, CASE WHEN (best - second) / b.n >= 0.1 THEN b.lang END AS language FROM documents LEFT JOIN b USING (doc_id)"""
+)
+def learned_languages(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = languages.language_model(docs.where("doc_id % 5 <> 0"))
+    return languages.with_language(docs.select("doc_id", "text"), model).select("doc_id", "language")
+
+
 @query("SELECT DISTINCT 'en.wikipedia.org/wiki/Nation_' || c_nationkey AS query, 'n' || c_nationkey || letter AS _id FROM customer, (SELECT unnest(['a', 'b', 'c', 'd', 'e', 'f', 'g', 'h']) AS letter)")
 def embedding_neighbours(spark, sf_dir):
     """Each nation's nearest eight: the words that only its own contexts have, six of eight in turn, beside words that all share."""

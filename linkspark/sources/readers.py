@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkspark import schemas
-from linkspark.functions.language import guess_language
+from linkspark.functions.language import MARKUP, guess_language
 from linkspark.functions.links import WIKI_PREFIX
+from linkspark.operators import languages
 from linkspark.sources import warc
 
 
@@ -80,12 +81,18 @@ def parse_warc(record: Column) -> Column:
     return F.when(fits, F.struct(url.alias("_id"), body.alias("content")))
 
 
-def warc_crawl(spark: SparkSession, path: str, language: str | None = None, partitions: int | None = None) -> DataFrame:
-    """(_id, content) of a crawl's pages, framed and decoded as in ``warc``; with ``language``, those of which it is guessed from their decoded content.
+def warc_crawl(spark: SparkSession, path: str, language: str | None = None, partitions: int | None = None, model: DataFrame | None = None) -> DataFrame:
+    """(_id, content) of a crawl's pages, framed and decoded as in ``warc``; with ``language``, those of that language.
 
-    A gzip file is read by one task: pass ``partitions`` to spread what comes out of it.
+    The language is that of the content without its markup, by ``model`` (``languages.language_model``) or else by stop
+    words. A gzip file is read by one task: pass ``partitions`` to spread what comes out of it.
     """
     pages = warc.pages(spark, path)
     if partitions:
         pages = pages.repartition(partitions)
-    return pages.where(guess_language(F.col("content")) == language) if language else pages
+    if language is None:
+        return pages
+    if model is None:
+        return pages.where(guess_language(F.col("content")) == language)
+    shown = pages.withColumn("__shown", F.regexp_replace("content", MARKUP, " "))
+    return languages.with_language(shown, model, "__shown").where(F.col("language") == language).select("_id", "content")

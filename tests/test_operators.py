@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from linkspark import schemas
 from linkspark.functions import text as X
-from linkspark.operators import embeddings, entities, redirects, relations, terms
+from linkspark.operators import embeddings, entities, languages, redirects, relations, terms
 from linkspark.operators.ranking import ranked
 
 
@@ -137,6 +137,55 @@ def test_redirects(spark, docs):
     assert rows(redirects.map_redirects(f, t)) == [("s", "u"), ("t", "u")]
 
 
+def plain_chains(pairs):
+    step = {}
+    for a, b in pairs:
+        if a is not None and b is not None:
+            step[a] = min(b, step.get(a, b))
+    out = {}
+    for a in step:
+        seen, here = [], a
+        while here in step and here not in seen:
+            seen.append(here)
+            here = step[here]
+        end = min(seen[seen.index(here) :]) if here in step else here
+        if end != a:
+            out[a] = end
+    return out
+
+
+def test_chains(spark):
+    """Ends of chains, branches and cycles of any length, against walking each way."""
+    rng = random.Random(12)
+    long = [(f"n{k}", f"n{k + 1}") for k in range(1000)] + [(f"side{k}", f"n{k * 7}") for k in range(50)]
+    rings = [(f"r{n}_{k}", f"r{n}_{(k + 1) % n}") for n in (1, 2, 3, 7, 40) for k in range(n)] + [(f"tail{k}", f"tail{k + 1}" if k % 9 else "r7_3") for k in range(1, 40)]
+    wild = [(f"w{rng.randrange(60)}", f"w{rng.randrange(60)}") for _ in range(70)] + [(None, "x"), ("y", None), ("w1", "w1")]
+    for pairs in (long, rings, wild, long + rings + wild, []):
+        df = spark.createDataFrame(pairs, schemas.REDIRECTS)
+        got = rows(redirects.resolve_chains(df))
+        assert got == sorted(plain_chains(pairs).items())
+
+
+def test_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = languages.language_model(docs.where("doc_id % 5 <> 0"))
+    held = docs.where("doc_id % 5 = 0 AND lang IS NOT NULL")
+    out = languages.with_language(held, model)
+    assert out.columns == ["doc_id", "text", "lang", "language", "language_margin"]
+    right = out.where("lang = language").count()
+    assert right > 0.99 * held.count() and model.groupBy("lang").count().where("count > 5000").count() == 0
+    text = {r.lang: r.text for r in held.groupBy("lang").agg(F.min("text").alias("text")).collect()}
+    mixed = "".join(a + b for a, b in zip(text["en"][:1500].split(" "), text["de"][:1500].split(" "), strict=False))
+    odd = [(1, None, "x"), (2, "", "x"), (3, "12 345 !?", "x"), (4, " ".join(w for pair in zip(text["en"].split(), text["fr"].split(), strict=False) for w in pair), "x"), (5, text["es"][:300], "x"), (6, "日本語", "x"), (7, "a", "x")]
+    got = {r.doc_id: r.language for r in languages.with_language(spark.createDataFrame(odd, "doc_id long, text string, language string"), model, margin=0.5).collect()}
+    assert got[5] == "es" and [got[k] for k in (1, 2, 3, 4, 6)] == [None] * 5 and mixed
+    counts = languages.language_model(spark.createDataFrame([("ab ab", "x"), ("Ab-1b", "x"), (None, "x"), ("q", None)], "text string, lang string"))
+    code = lambda g: ord(g[0]) << 42 | ord(g[1]) << 21 | ord(g[2])
+    assert {(r.trigram, r["count"], r.total) for r in counts.collect()} == {(code(" ab"), 3, 9), (code("ab "), 3, 9), (code("b a"), 1, 9), (code("b b"), 1, 9), (code(" b "), 1, 9)}
+    none = languages.language_model(docs.where("doc_id < 0"))
+    assert {r.language for r in languages.with_language(spark.createDataFrame(odd[:3], "doc_id long, text string, x string"), none).collect()} == {None}
+
+
 def test_relations(spark):
     import json
 

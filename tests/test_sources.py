@@ -1,11 +1,15 @@
 import base64
+import bz2
 import gzip
 import json
 import pickle
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from linkspark import cli, schemas
+from linkspark.operators import languages, terms
 from linkspark.plans import corpora
 from linkspark.sources import readers, warc, writers
 from linkspark.streaming import documents as streaming
@@ -214,3 +218,53 @@ def test_warc_offsets(spark):
     got = list(warc.frame(pieces))
     assert [data[r.offset : r.offset + r.size] for r in got] == records * 2 and [r.file for r in got] == ["f"] * 5 + ["g"] * 5
     assert got[1].field("warc-target-uri") == "http://s/1" and got[1].field("missing") is None
+
+
+def test_bzip2_dumps(spark, tmp_path):
+    """One dump of many bz2 streams is read by several tasks and has the rows of the plain one; so have partitioned dumps."""
+    rng = random.Random(3)
+    page = "<page>\n    <title>T {k}</title><ns>0</ns><id>{k}</id>\n    <revision><text xml:space=\"preserve\">{t}</text></revision>\n  </page>\n"
+    pages = [page.format(k=k, t="".join(rng.choices("abcdefghijklmnopqrstuvwxyz \n", k=5000))) for k in range(800)]
+    plain = "<mediawiki>\n" + "".join(pages) + "</mediawiki>\n"
+    (tmp_path / "plain.xml").write_text(plain)
+    cuts = [0, *sorted(rng.sample(range(1, len(plain)), 5)), len(plain)]
+    (tmp_path / "streams.xml.bz2").write_bytes(b"".join(bz2.compress(plain[a:b].encode(), 1) for a, b in zip(cuts, cuts[1:], strict=False)))
+    (tmp_path / "parts").mkdir()
+    for k in range(4):
+        (tmp_path / "parts" / f"dump{k}.bz2").write_bytes(bz2.compress(("<mediawiki>\n" + "".join(pages[200 * k : 200 * k + 200]) + "</mediawiki>\n").encode()))
+    expected = sorted(map(tuple, readers.wiki_dump(spark, str(tmp_path / "plain.xml")).collect()))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300000")
+    try:
+        found = readers.wiki_dump(spark, str(tmp_path / "streams.xml.bz2"))
+        assert sorted(map(tuple, found.collect())) == expected and len(expected) == 800
+        assert found.select(F.spark_partition_id()).distinct().count() > 3
+        assert sorted(map(tuple, readers.wiki_dump(spark, str(tmp_path / "parts")).collect())) == expected
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_crawl_in_a_learned_language(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) > 500")
+    model = languages.language_model(docs)
+    texts = {r.lang: r.text for r in docs.groupBy("lang").agg(F.min("text").alias("text")).collect()}
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(b"".join(_warc("response", f"http://{k}/", _answer(f"<html lang=xx><p>{t}</p>".encode())) for k, t in texts.items())))
+    for k in texts:
+        assert [r._id for r in readers.warc_crawl(spark, str(tmp_path), language=k, model=model).collect()] == [f"http://{k}/"]
+
+
+def test_stored_mentions(spark, tmp_path):
+    """Models of mentions take stored ones as well as documents."""
+    docs = spark.createDataFrame([(f"d{k}", "The cat Ann sat. Ann ran home.", [("en.wikipedia.org/wiki/Ann", 8, 11)]) for k in range(30)], schemas.DOCUMENTS)
+    mentions, idfs, vocab = terms.entity_mentions(docs), terms.term_frequencies(docs).selectExpr("_id", "1.0D AS idf"), terms.term_frequencies(docs).selectExpr("_id", "count", "0L AS rank")
+    for name, df in (("docs", docs), ("mentions", mentions), ("idfs", idfs), ("vocab", vocab)):
+        writers.save_json(df, str(tmp_path / name))
+    path = lambda name: f"{name}={tmp_path / name}"
+    for model, more in (("entity_term_weights", ["--input", path("idfs")]), ("index_mentions", ["--input", path("vocab")]), ("entity_embeddings", [*sum((["--option", o] for o in ("min_word_count=1", "min_entity_count=1", "dimensions=4", "iterations=1", "exclude_words=true")), [])])):
+        lines = []
+        for source in (["--input", path("docs")], ["--input", path("mentions")]):
+            lines.append(sorted(r.value for r in cli.build(spark, cli.parser().parse_args([model, *source, *more])).collect()))
+        assert len(lines[0]) == len(lines[1]) > 0 and (lines[0] == lines[1] or model == "entity_embeddings")
+    with pytest.raises(SystemExit):
+        cli.build(spark, cli.parser().parse_args(["entity_embeddings"]))
+    with pytest.raises(SystemExit):
+        cli.build(spark, cli.parser().parse_args(["entity_embeddings", "--input", path("mentions"), "--option", "sentence_window=3"]))
