@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkspark.functions import html, links, markup
+from linkspark.functions import content, html, links, markup
 from linkspark.operators.redirects import relink
 
 
 def linked(pages: DataFrame, markup_column: str, normalise=None) -> DataFrame:
     """Documents (_id, text, links) from pages whose markup has anchors only."""
-    content = F.col(markup_column)
-    return pages.select("_id", links.plain_text(content).alias("text"), links.link_structs(content, normalise).alias("links"))
+    found = F.col(markup_column)
+    return pages.select("_id", links.plain_text(found).alias("text"), links.link_structs(found, normalise).alias("links"))
 
 
 def wiki_articles(pages: DataFrame, redirects: DataFrame | None = None, keep_unlinked: bool = False) -> DataFrame:
@@ -22,9 +22,13 @@ def wiki_articles(pages: DataFrame, redirects: DataFrame | None = None, keep_unl
     return docs if redirects is None else relink(docs, redirects, keep_unlinked)
 
 
-def web_articles(pages: DataFrame, most_chars: int | None = html.MOST_CHARS) -> DataFrame:
-    """Documents of web pages: main content, anchors kept. Pages whose content has ``most_chars`` or more go; None keeps all."""
-    found = pages.select("_id", html.article_markup(F.col("content"), most_chars).alias("__markup")).where(F.col("__markup").isNotNull())
+def web_articles(pages: DataFrame, most_chars: int | None = html.MOST_CHARS, by_tree: bool = False) -> DataFrame:
+    """Documents of web pages: main content, anchors kept. Pages whose content has ``most_chars`` or more go; None keeps all.
+
+    by_tree: the content is what the densities of the page's tree say (``content``), not each block by itself.
+    """
+    markup_of = content.main_content_markup if by_tree else html.article_markup
+    found = pages.select("_id", markup_of(F.col("content"), most_chars).alias("__markup")).where(F.col("__markup").isNotNull())
     return linked(found, "__markup")
 
 

@@ -446,6 +446,17 @@ def web_articles(spark, sf_dir):
     return corpora.web_articles(pages, most_chars=None).select("_id", "text", F.size("links").alias("n_links"))
 
 
+# The content ends where the article does, whatever the tree takes in before it on pages whose articles are as short as their advertisements.
+@query(
+    r"""WITH a AS (SELECT url, regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '(?s)<!--.*?-->', '', 'g'), '</?(br|h1|p|div|ul|li)\b[^>]*>', chr(30), 'g') AS x FROM pages),
+b AS (SELECT url, [trim(regexp_replace(regexp_replace(regexp_replace(p, '<[^>]*>', '', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), ' ' || chr(9) || chr(10) || chr(13)) FOR p IN string_split(x, chr(30))] AS p FROM a)
+SELECT url AS _id, right(replace(array_to_string([q FOR q IN p IF q <> ''], chr(10)), '&', '&amp;'), 60) AS ending, 0 AS n_links FROM b"""
+)
+def main_contents(spark, sf_dir):
+    pages = _table(spark, sf_dir, "pages").select(F.col("url").alias("_id"), F.col("html").alias("content"))
+    return corpora.web_articles(pages, most_chars=None, by_tree=True).select("_id", F.right("text", F.lit(60)).alias("ending"), F.size("links").alias("n_links"))
+
+
 _HITS = ", ".join(f"{{'n': len([x FOR x IN w IF x IN ({', '.join(repr(x) for x in words)})]), 'code': '{code}'}}" for code, words in lang.PROFILES.items())
 
 
