@@ -144,6 +144,18 @@ def _with_shares(df: DataFrame, tables: dict[str, DataFrame], prior: float, rule
     return df
 
 
+def _of_least_hash(labelled: DataFrame, most: int, total: int) -> list:
+    """(url, label) of the ``most`` URLs of least hash, of ``total``. URLs beyond a cut, which few more than those are within, go before any task sorts."""
+    place = F.shiftrightunsigned(F.xxhash64("url"), 1)
+    share = 1.2 * most / max(1, total)
+    while True:
+        near = labelled.where(place < F.lit(int(share * (1 << 63)))) if share < 1 else labelled
+        found = near.orderBy(place, "url").limit(most).select("url", "label").collect()
+        if len(found) >= min(most, total) or share >= 1:
+            return found
+        share *= 2
+
+
 def _tree(node) -> Column:
     """A tree of Spark's as a CASE expression."""
     if node.subtreeDepth() == 0:
@@ -194,7 +206,7 @@ def train(labelled: DataFrame, url: str = "url", rules: UrlRules = UrlRules()) -
         seen, learned, (n, bad) = blocked / max(1, total), distinct.where(F.col("__half") == half), halves[half]
     rows = []
     for k, size in ((0.0, n - bad), (1.0, bad)):
-        found = learned.where(F.col("label") == k).orderBy(F.xxhash64("url"), "url").limit(rules.sample // 2).collect()
+        found = _of_least_hash(learned.where(F.col("label") == k), rules.sample // 2, int(size))
         rows += [(r[0], r[1], size / len(found)) for r in found]
     order = ("url", *FEATURES, "label", "weight")
     sample = spark.createDataFrame(rows, "url string, label double, weight double")
