@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from linkspark import schemas
 from linkspark.functions import text as X
 from linkspark.operators import grams
+from linkspark.operators.lookup import Lookup
 from linkspark.operators.ranking import ranked
 from linkspark.storage import Scratch
 
@@ -86,9 +87,9 @@ def entity_mentions(docs: DataFrame, sentence_window: int = 1, lowercase: bool =
     return each.select(target.alias("_id"), "source", text.alias("text"), F.struct("start", "stop").alias("span"))
 
 
-def _ranks_of(tokens: pa.ListArray, ranks: dict[str, int], unknown: int) -> pa.ListArray:
-    flat = tokens.flatten()
-    found = np.fromiter((ranks.get(t, unknown) for t in flat.to_pylist()), np.int64, len(flat))
+def _ranks_of(tokens: pa.ListArray, lookup: Lookup, ranks: np.ndarray, unknown: int) -> pa.ListArray:
+    place = lookup.find(tokens.flatten())
+    found = np.append(ranks, unknown)[place]  # place -1 is the last
     ends = np.concatenate([[0], np.cumsum(tokens.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(found))
 
@@ -96,10 +97,11 @@ def _ranks_of(tokens: pa.ListArray, ranks: dict[str, int], unknown: int) -> pa.L
 def index_mentions(mentions: DataFrame, vocab: DataFrame, oov: int | str = "last", most_broadcast: int = 1_000_000) -> DataFrame:
     """(_id, source, sequence of vocabulary ranks, span in tokens). Unknown tokens get ``oov``; "last": the vocabulary's size less one.
 
-    The parts before, inside and after the link are tokenised apart. A vocabulary of up to
-    ``most_broadcast`` terms is sent to all tasks, which look tokens up without a shuffle. A larger
-    one is joined with the different tokens of each mention; Spark splits the rows of a frequent token.
+    The parts before, inside and after the link are tokenised apart. A term that the vocabulary repeats has its least
+    rank. A vocabulary of up to ``most_broadcast`` terms is sent to all tasks, which look tokens up without a shuffle.
+    A larger one is joined with the different tokens of each mention; Spark splits the rows of a frequent token.
     """
+    vocab = vocab.groupBy("_id").agg(F.min("rank").alias("rank"))
     cut = lambda a, b: F.substring(F.col("text"), a + 1, b - a)
     start, stop = F.col("span.start"), F.col("span.stop")
     pre, mid = X.tokens(cut(F.lit(0), start)), X.tokens(cut(start, stop))
@@ -108,13 +110,12 @@ def index_mentions(mentions: DataFrame, vocab: DataFrame, oov: int | str = "last
     toks = toks.select("_id", "source", F.concat("pre", "mid", "post").alias("toks"), span)
     entries = vocab.select("_id", "rank").limit(most_broadcast + 1).toArrow()
     if entries.num_rows <= most_broadcast:
-        ranks = dict(zip(entries.column(0).to_pylist(), entries.column(1).to_pylist(), strict=True))
         unknown = entries.num_rows - 1 if oov == "last" else int(oov)
-        shared = mentions.sparkSession.sparkContext.broadcast(ranks)
+        shared = mentions.sparkSession.sparkContext.broadcast((Lookup(entries.column(0)), entries.column(1).to_numpy()))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _ranks_of(batch.column(2), shared.value, unknown), batch.column(3)], names=["_id", "source", "sequence", "span"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _ranks_of(batch.column(2), *shared.value, unknown), batch.column(3)], names=["_id", "source", "sequence", "span"])
 
         return toks.mapInArrow(run, schemas.INDEXED_MENTIONS)
     unknown = F.lit(vocab.count() - 1 if oov == "last" else int(oov)).cast("bigint")
