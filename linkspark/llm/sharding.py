@@ -13,6 +13,9 @@ Only sizes, checksums and grid cells are shuffled, never texts; ties on the
 curve are broken by id and checksum, and then by a row number, so a hot cell
 or a row that is repeated without end is spread like any other.
 
+Columns of numbers, strings, booleans, dates and timestamps can be dimensions;
+others are refused, for they have no order that a predicate could use.
+
 Defined results: null text has size 16 and the checksum of no bytes; very
 long texts count by their size only; null metadata take the first cell;
 repeated rows are placed each (equal ones in any order); an empty table gives
@@ -27,6 +30,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linkspark.llm.storage import Scratch, as_struct, quoted, unpacked
 
@@ -86,6 +90,20 @@ def number_cuts(df: DataFrame, columns: list[str], bits: int) -> list[list[float
     return [[float(x) for x in r or []] for r in row]
 
 
+def _ordered(docs: DataFrame, name: str) -> Column:
+    """A column as a number or a string in the same order."""
+    column, kind = F.col(quoted(name)), docs.schema[name].dataType
+    if isinstance(kind, T.BooleanType):
+        return column.cast("int")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(column)
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(column.cast("timestamp"))
+    if not isinstance(kind, (T.NumericType, T.StringType, T.NullType)):
+        raise ValueError(f"{name}: rows can't be ordered by {kind.simpleString()}")
+    return column.cast("string") if isinstance(kind, (T.StringType, T.NullType)) else column
+
+
 def shard(docs: DataFrame, shards: int = 40, by: tuple[str, ...] = ("source", "lang", "size", "doc_id"), bits: int = 6) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard and curve_index of each row.
 
@@ -105,7 +123,7 @@ def _placed(docs: DataFrame, scratch: Scratch, shards: int, by: tuple[str, ...],
         (bare.cast("long") + 16).alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
         own.alias("__row_number"),
-        *(F.col(quoted(c)).alias(f"__dim{k}") for k, c in enumerate(dims) if c not in ("size", "doc_id")),
+        *(_ordered(docs, c).alias(f"__dim{k}") for k, c in enumerate(dims) if c not in ("size", "doc_id")),
     )
     narrow = scratch.put(narrow, "input")
     column = {c: c if c in ("size", "doc_id") else f"__dim{k}" for k, c in enumerate(dims)}

@@ -808,6 +808,22 @@ def test_urls(spark):
     assert url_filter.judge(pages.where("page_id < 0"), bare, URL_RULES).count() == 0
 
 
+def test_shards_by_any_ordered_column(spark):
+    """Booleans, dates and timestamps are dimensions like the numbers that they stand for; what has no order is refused."""
+    rows = spark.range(900).select(
+        F.col("id").alias("doc_id"), F.lit("text").alias("text"), (F.col("id") % 3 == 0).alias("flag"), F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") % 50).cast("int")).alias("day"),
+        F.timestamp_seconds(F.col("id") * 1000).alias("at"), F.timestamp_seconds(F.col("id")).cast("timestamp_ntz").alias("local"), F.when(F.col("id") % 5 > 0, (F.col("id") % 7).cast("decimal(9,2)")).alias("price"), F.lit(None).alias("none"), F.array("id").alias("list"),
+    )
+    as_numbers = rows.withColumns({"flag": F.col("flag").cast("int"), "day": F.unix_date("day"), "at": F.unix_micros("at"), "local": F.unix_micros(F.col("local").cast("timestamp"))})
+    by = ("flag", "day", "at", "local", "price", "none")
+    found, plain = ({(r.doc_id, r.shard, r.slot) for r in sharding.shard(d, 9, by, 4).collect()} for d in (rows, as_numbers))
+    assert found == plain and len(found) == 900
+    halves = sharding.shard(rows, 3, ("flag",), 2).join(rows.select("doc_id", "flag"), "doc_id").groupBy("shard").agg(F.countDistinct("flag").alias("n")).collect()
+    assert [r.n for r in halves] == [1, 1, 1]
+    with pytest.raises(ValueError, match="list"):
+        sharding.shard(rows, 3, ("list",))
+
+
 def test_url_shares_of_all_labels(spark):
     """Shares, prior and weights come from all labelled URLs, whatever the sample."""
     rng = random.Random(8)
