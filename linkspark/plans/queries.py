@@ -15,7 +15,7 @@ from linkspark.functions import text as X
 from linkspark.operators import embeddings, entities, languages, redirects, relations, skipgram, terms
 from linkspark.operators.ranking import ranked
 from linkspark.plans import corpora
-from linkspark.sources import readers, writers
+from linkspark.sources import members, readers, writers
 from linkspark.storage import Scratch
 
 QUERIES: dict = {}
@@ -472,6 +472,19 @@ def warc_language(spark, sf_dir):
     return readers.warc_crawl(spark, crawl, language="en")
 
 
+@query(_CRAWL)
+def warc_members(spark, sf_dir):
+    """Through archives of gzip members, each read by several tasks."""
+    crlf = "\r\n"
+    status = F.when(F.col("page_id") % 5 == 0, "404 Not Found").otherwise("200 OK")
+    block = F.concat(F.lit("HTTP/1.1 "), status, F.lit(f"{crlf}Content-Type: text/html; charset=utf-8{crlf * 2}"), F.col("html"))
+    size = F.octet_length("block").cast("string")
+    record = F.concat(F.lit(f"WARC/1.0{crlf}WARC-Type: response{crlf}WARC-Target-URI: "), F.col("url"), F.lit(f"{crlf}Content-Length: "), size, F.lit(crlf * 2), F.col("block"), F.lit(crlf * 2))
+    crawl = Scratch(spark, "crawl").path("members")
+    members.write(_table(spark, sf_dir, "pages").withColumn("block", block).select(record.alias("value")), crawl)
+    return readers.warc_crawl(spark, crawl, split_bytes=256 << 10)
+
+
 @query(f"WITH {_GUESSES} SELECT page_id, language FROM u")
 def page_languages(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", lang.guess_language(F.col("html")).alias("language"))

@@ -81,13 +81,14 @@ def parse_warc(record: Column) -> Column:
     return F.when(fits, F.struct(url.alias("_id"), body.alias("content")))
 
 
-def warc_crawl(spark: SparkSession, path: str, language: str | None = None, partitions: int | None = None, model: DataFrame | None = None) -> DataFrame:
+def warc_crawl(spark: SparkSession, path: str, language: str | None = None, partitions: int | None = None, model: DataFrame | None = None, split_bytes: int | None = None) -> DataFrame:
     """(_id, content) of a crawl's pages, framed and decoded as in ``warc``; with ``language``, those of that language.
 
     The language is that of the content without its markup, by ``model`` (``languages.language_model``) or else by stop
-    words. A gzip file is read by one task: pass ``partitions`` to spread what comes out of it.
+    words. A gzip file is read by one task: pass ``split_bytes`` if its records are gzip members, and each task reads so
+    many bytes, or else ``partitions`` to spread what comes out of it.
     """
-    pages = warc.pages(spark, path)
+    pages = warc.pages(spark, path, split_bytes)
     if partitions:
         pages = pages.repartition(partitions)
     if language is None:

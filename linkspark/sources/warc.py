@@ -13,6 +13,7 @@ import codecs
 import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -87,46 +88,65 @@ def frame(pieces: Iterable[tuple[str, bytes]]) -> Iterator[Record]:
         yield whole()
 
 
-def _pieces(spark: SparkSession, path: str) -> DataFrame:
+def names(spark: SparkSession, path: str | list[str]) -> list[str]:
+    """The full names of the files at ``path``, without escapes, as Spark's readers take them."""
+    return [unquote(n) for n in spark.read.text(path).inputFiles()]
+
+
+def _pieces(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, data) in the order of each file, no file in two partitions."""
     text = spark.read.option("lineSep", MARK.decode())
     columns = [F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("data")]
-    names = text.text(path).inputFiles()
-    loose = [n for n in names if not n.endswith(WHOLE_FILES)]
+    found = names(spark, path)
+    loose = [n for n in found if not n.endswith(WHOLE_FILES)]
     if not loose:
         return text.text(path).select(*columns)
     place = [F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row")]
     out = text.text(loose).select(*columns, *place).repartition("file").sortWithinPartitions("file", "split", "row").select("file", "data")
-    if len(loose) < len(names):
+    if len(loose) < len(found):
         out = out.unionAll(text.option("pathGlobFilter", "{" + ",".join(f"*{e}" for e in WHOLE_FILES) + "}").text(path).select(*columns))
     return out
 
 
-def read(spark: SparkSession, path: str, work: Callable[[Record], tuple | None], schema: pa.Schema, ddl: str) -> DataFrame:
-    """A row for each record for which ``work`` gives one, made in the tasks that read the archives."""
-    source = _pieces(spark, path)
+def read(spark: SparkSession, path: str, work: Callable[[Record], tuple | None], schema: pa.Schema, ddl: str, split_bytes: int | None = None) -> DataFrame:
+    """A row for each record for which ``work`` gives one, made in the tasks that read the archives.
+
+    With ``split_bytes``, gzip archives are read in ranges of so many bytes as ``members`` has it, and the offsets of
+    their records are those of the compressed members.
+    """
+    if split_bytes is None:
+        return _worked(_pieces(spark, path), lambda rows: frame(rows), work, schema, ddl)
+    from linkspark.sources import members
+
+    found = names(spark, path)
+    zipped = [n for n in found if n.endswith(".gz")]
+    others = [n for n in found if not n.endswith(".gz")]
+    out = _worked(members.read(spark, zipped, split_bytes), lambda rows: (Record(*r) for r in rows), work, schema, ddl)
+    return out.unionAll(_worked(_pieces(spark, others), lambda rows: frame(rows), work, schema, ddl)) if others else out
+
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
-        for batch in batches:
-            yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+def _worked(source: DataFrame, records: Callable[[Iterator[tuple]], Iterator[Record]], work: Callable[[Record], tuple | None], schema: pa.Schema, ddl: str) -> DataFrame:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in batches:
+            yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, held = [], 0
-        for record in frame(rows(batches)):
+        for record in records(rows(batches)):
             row = work(record)
             if row is not None:
                 out.append(row)
             held += record.size
             if out and (len(out) >= 1000 or held >= 4 << 20):
-                yield _batch(out, schema)
+                yield batch(out, schema)
                 out, held = [], 0
         if out:
-            yield _batch(out, schema)
+            yield batch(out, schema)
 
     return source.mapInArrow(run, ddl)
 
 
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+def batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
@@ -152,6 +172,6 @@ def page(record: Record) -> tuple[str, str] | None:
     return url.strip("<>"), decoded(head, body)
 
 
-def pages(spark: SparkSession, path: str) -> DataFrame:
+def pages(spark: SparkSession, path: str, split_bytes: int | None = None) -> DataFrame:
     """(_id, content) of the pages of all archives at ``path``."""
-    return read(spark, path, page, pa.schema([("_id", pa.string()), ("content", pa.string())]), "_id string, content string")
+    return read(spark, path, page, pa.schema([("_id", pa.string()), ("content", pa.string())]), "_id string, content string", split_bytes)
