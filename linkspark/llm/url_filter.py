@@ -6,10 +6,11 @@ URLs, weighted back to the shares of the labels, and scored as nested CASE
 expressions. The blocked shares of suffixes and sites, and of all URLs for
 those without labels, are counted over all distinct labelled URLs.
 
-The trees learn from one half of the hosts, with the shares that the other half
-has, so that they learn what a share tells of a host not seen yet; where only
-one half has URLs of both labels the trees learn from that one, and where none
-has, from all hosts with the shares of all.
+The hosts are dealt to a few folds. For each fold, trees learn from the hosts of
+all others, with the shares that this fold has, so that they learn what a share
+tells of a host not seen yet, and every host teaches; the mean of the margins
+decides. Where all hosts of a label are in one fold, no trees learn without it;
+where no two folds have hosts, the trees learn from all with the shares of all.
 
 A rule like ``net/de/`` fits the host ``net`` and all its subdomains where
 the path starts with ``/de/``; the longest rule that fits decides. Few rules
@@ -44,7 +45,8 @@ MOST_CASES = 200  # rules in one expression
 
 @dataclass(frozen=True)
 class UrlRules:
-    sample: int = 20_000  # labelled URLs for training, those of least hash
+    sample: int = 20_000  # labelled URLs for training for each fold, those of least hash
+    folds: int = 4
     rounds: int = 10
     depth: int = 3
     step: float = 0.3
@@ -170,56 +172,62 @@ class Model:
     margin: Column | None  # over FEATURES; positive means block
     tables: dict[str, DataFrame]  # labelled and blocked URLs of each suffix and site
     prior: float
-    fitted: object = None  # Spark's own model, whose trees the margin has
-
-
-def _prepared(df: DataFrame, url: str) -> DataFrame:
-    clean = F.when(F.instr(F.col(quoted(url)), "://") > 0, F.col(quoted(url))).otherwise("")
-    return df.withColumns({"__url": clean, "__host": host_of(clean), "__path": path_of(clean)})
+    fitted: tuple = ()  # Spark's own models, whose trees the margin has
 
 
 def train(labelled: DataFrame, url: str = "url", rules: UrlRules = UrlRules()) -> Model:
-    """labelled: a URL column and ``label`` (1: block). Both labels get half of the sample where they have so many."""
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
-
+    """labelled: a URL column and ``label`` (1: block). In each sample both labels get half where they have so many."""
     spark = labelled.sparkSession
     scratch = Scratch(spark, "urls")
     distinct = labelled.where(F.col(quoted(url)).isNotNull() & F.col("label").isNotNull()).groupBy(F.col(quoted(url)).alias("url")).agg(F.max("label").cast("double").alias("label"))
-    distinct = scratch.put(distinct.withColumn("__half", F.pmod(F.xxhash64(host_of(F.col("url"))), F.lit(2)).cast("int")), "labelled")
-    sites = _prepared(distinct, "url").select("label", "__half", _label(F.col("__host"), 0).alias("__suffix"), _site(F.col("__host")).alias("__site"))
+    distinct = scratch.put(distinct.withColumn("__fold", F.pmod(F.xxhash64(host_of(F.col("url"))), F.lit(rules.folds)).cast("int")), "labelled")
+    sites = _prepared(distinct, "url").select("label", "__fold", _label(F.col("__host"), 0).alias("__suffix"), _site(F.col("__host")).alias("__site"))
     counted = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
-    counts = scratch.put(sites.groupBy("__suffix", "__site", "__half").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("bad")), "sites")
+    counts = scratch.put(sites.groupBy("__suffix", "__site", "__fold").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("bad")), "sites")
     tables = {c: scratch.put(counts.groupBy(c).agg(*counted), c.strip("_")) for c in ("__suffix", "__site")}
-    halves = {h: (n, bad) for h, n, bad in counts.groupBy("__half").agg(*counted).collect()}
-    n, bad = (sum(x) for x in zip((0, 0.0), *halves.values(), strict=True))
+    folds = {h: (n, bad) for h, n, bad in counts.groupBy("__fold").agg(*counted).collect()}
+    n, bad = (sum(x) for x in zip((0, 0.0), *folds.values(), strict=True))
     prior = bad / max(1, n)
     if not 0 < bad < n:
         return Model(None, tables, prior)
-    own, seen, learned = tables, prior, distinct
-    both = [h for h, (total, blocked) in sorted(halves.items()) if 0 < blocked < total]
-    if both:
-        half = max(both, key=lambda h: halves[h][1])
-        other = counts.where(F.col("__half") != half)
-        own = {c: other.groupBy(c).agg(*counted) for c in ("__suffix", "__site")}
-        total, blocked = halves.get(1 - half, (0, 0.0))
-        seen, learned, (n, bad) = blocked / max(1, total), distinct.where(F.col("__half") == half), halves[half]
+    taught = []
+    for fold, (known, blocked) in sorted(folds.items()):
+        if 0 < bad - blocked < n - known:
+            own = counts.where(F.col("__fold") == fold)
+            shares = {c: own.groupBy(c).agg(*counted) for c in ("__suffix", "__site")}
+            taught.append(_fitted(distinct.where(F.col("__fold") != fold), n - known, bad - blocked, shares, blocked / known, rules))
+    taught = taught or [_fitted(distinct, n, bad, tables, prior, rules)]
+    scratch.drop(distinct, counts)
+    margin = F.lit(0.0)
+    for fitted in taught:
+        for tree, weight in zip(fitted.trees, fitted.treeWeights, strict=True):
+            margin = margin + float(weight) / len(taught) * _tree(tree._java_obj.rootNode())
+    return Model(margin, tables, prior, tuple(taught))
+
+
+def _fitted(learned: DataFrame, n: int, bad: float, shares: dict[str, DataFrame], prior: float, rules: UrlRules):
+    """Spark's model of a bounded sample of the ``n`` labelled URLs, ``bad`` of which are blocked."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    spark = learned.sparkSession
     rows = []
     for k, size in ((0.0, n - bad), (1.0, bad)):
         found = _of_least_hash(learned.where(F.col("label") == k), rules.sample // 2, int(size))
         rows += [(r[0], r[1], size / len(found)) for r in found]
     order = ("url", *FEATURES, "label", "weight")
     sample = spark.createDataFrame(rows, "url string, label double, weight double")
-    known = _with_shares(_lexical(_prepared(sample, "url")), own, seen, rules).select(*order).collect()
+    known = _with_shares(_lexical(_prepared(sample, "url")), shares, prior, rules).select(*order).collect()
     known = spark.createDataFrame(sorted(known, key=lambda r: r[0]), T.StructType([T.StructField(c, T.StringType() if c == "url" else T.DoubleType()) for c in order]))
     table = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(known.coalesce(2)).select("features", "label", "weight").cache()
-    fitted = GBTClassifier(maxIter=rules.rounds, maxDepth=rules.depth, stepSize=rules.step, seed=7, minInstancesPerNode=5, weightCol="weight").fit(table)
+    fitted = GBTClassifier(maxIter=rules.rounds, maxDepth=rules.depth, stepSize=rules.step, seed=7, minInstancesPerNode=5, weightCol="weight", featureSubsetStrategy="onethird").fit(table)
     table.unpersist()
-    scratch.drop(distinct, counts)
-    margin = F.lit(0.0)
-    for tree, weight in zip(fitted.trees, fitted.treeWeights, strict=True):
-        margin = margin + float(weight) * _tree(tree._java_obj.rootNode())
-    return Model(margin, tables, prior, fitted)
+    return fitted
+
+
+def _prepared(df: DataFrame, url: str) -> DataFrame:
+    clean = F.when(F.instr(F.col(quoted(url)), "://") > 0, F.col(quoted(url))).otherwise("")
+    return df.withColumns({"__url": clean, "__host": host_of(clean), "__path": path_of(clean)})
 
 
 def features_of(df: DataFrame, model: Model, url: str = "url", rules: UrlRules = UrlRules()) -> DataFrame:

@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkspark.llm import bytescan as B
-from linkspark.llm import crf, decontaminate, langid, packing, quality, sampling, secrets, sharding, token_binary, tokens, toxicity, url_filter
+from linkspark.llm import crf, decontaminate, langid, packing, quality, queries, sampling, secrets, sharding, token_binary, tokens, toxicity, url_filter
 from linkspark.llm.queries import URL_RULES, tokenizer_file
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
@@ -865,7 +865,12 @@ def test_url_trees_are_sparks(spark):
     model = url_filter.train(pages.where("host_no % 4 <> 0"))
     out = url_filter.judge(pages, model, ())
     table = VectorAssembler(inputCols=list(url_filter.FEATURES), outputCol="features").transform(url_filter.features_of(pages, model))
-    theirs = {r.url: int(r.prediction) for r in model.fitted.transform(table).select("url", "prediction").collect()}
+    assert len(model.fitted) == url_filter.UrlRules().folds
+    summed: dict[str, float] = {}
+    for part in model.fitted:
+        for r in part.transform(table).select("url", "rawPrediction").collect():
+            summed[r.url] = summed.get(r.url, 0.0) + r.rawPrediction[1]
+    theirs = {u: int(m > 0) for u, m in summed.items()}
     ours = out.select("url", (F.col("verdict") == "block").cast("int").alias("p"), "label", "host_no").collect()
     assert {r.url: r.p for r in ours} == theirs
     held = [r for r in ours if r.host_no % 4 == 0]
@@ -880,3 +885,10 @@ def test_url_sample_is_weighted(spark):
     out = url_filter.judge(pages, model, ())
     assert out.where("verdict <> 'allow'").count() <= 300  # the blocked URLs' real share; half of them by the balanced sample
     assert abs(out.agg(F.avg("block_score")).first()[0] - 0.1) < 0.06
+
+
+def test_url_labels(spark):
+    """Whole words of hosts label, whatever else holds the same letters."""
+    rows = {"http://Cheap-Pills.a.com/x": 1, "http://a.com/casino": 0, "http://downloads.a.com/": 0, "http://x.ads.a.com?y": 1, "spam.a.com": 0, "": 0}
+    got = queries.url_labels(spark.createDataFrame([(k,) for k in rows], "url string")).collect()
+    assert {r.url: r.label for r in got} == rows
