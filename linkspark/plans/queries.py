@@ -474,7 +474,7 @@ def warc_language(spark, sf_dir):
 
 @query(_CRAWL)
 def warc_members(spark, sf_dir):
-    """Through archives of gzip members, each read by several tasks."""
+    """Through archives of gzip members, each read by as many tasks as its size asks for."""
     crlf = "\r\n"
     status = F.when(F.col("page_id") % 5 == 0, "404 Not Found").otherwise("200 OK")
     block = F.concat(F.lit("HTTP/1.1 "), status, F.lit(f"{crlf}Content-Type: text/html; charset=utf-8{crlf * 2}"), F.col("html"))
@@ -482,7 +482,7 @@ def warc_members(spark, sf_dir):
     record = F.concat(F.lit(f"WARC/1.0{crlf}WARC-Type: response{crlf}WARC-Target-URI: "), F.col("url"), F.lit(f"{crlf}Content-Length: "), size, F.lit(crlf * 2), F.col("block"), F.lit(crlf * 2))
     crawl = Scratch(spark, "crawl").path("members")
     members.write(_table(spark, sf_dir, "pages").withColumn("block", block).select(record.alias("value")), crawl)
-    return readers.warc_crawl(spark, crawl, split_bytes=256 << 10)
+    return readers.warc_crawl(spark, crawl, split_bytes=members.SPLIT_BYTES)
 
 
 @query(f"WITH {_GUESSES} SELECT page_id, language FROM u")
