@@ -66,6 +66,12 @@ def name_part_counts(docs: DataFrame, max_ngram: int = 2, lowercase: bool = Fals
     return known.join(outside, "_id").select("_id", F.map_from_entries(F.array_sort(F.concat("parts", own))).alias("counts"))
 
 
+def _raw_inlinks(docs: DataFrame) -> DataFrame:
+    """(_id: target, source). A source counts once for each different raw target, however many rows have its ``_id``."""
+    raw = docs.select("_id", F.explode(F.array_distinct(F.transform("links", lambda link: link["target"]))).alias("target")).distinct()
+    return raw.select(X.trim_link(F.col("target")).alias("_id"), F.col("_id").alias("source"))
+
+
 def entity_inlinks(docs: DataFrame) -> DataFrame:
     """(_id: target, inlinks). A document counts once for each different raw target."""
     raw = docs.select("_id", F.explode(F.array_distinct(F.transform("links", lambda link: link["target"]))).alias("target"))
@@ -77,9 +83,7 @@ def entity_inlink_pairs(docs: DataFrame) -> DataFrame:
 
     For targets with more sources than a row can hold; a frequent target's rows go to several tasks.
     """
-    raw = docs.select("_id", F.explode(F.array_distinct(F.transform("links", lambda link: link["target"]))).alias("target"))
-    pairs = raw.select(X.trim_link(F.col("target")).alias("_id"), F.col("_id").alias("source"))
-    return pairs.repartitionByRange("_id", "source").sortWithinPartitions("_id", "source")
+    return _raw_inlinks(docs).repartitionByRange("_id", "source").sortWithinPartitions("_id", "source")
 
 
 def entity_vocab(docs: DataFrame, min_rank: int | None = 0, max_rank: int | None = 10_000, min_count: int = 1, filter_target: str | None = None) -> DataFrame:

@@ -50,6 +50,13 @@ def test_inlinks_and_comentions(docs):
     assert rows(entities.mapped_comentions(docs, vocab.where("_id <> ''"))) == [("d1", [0, 2]), ("d2", [0]), ("d3", [0])]
 
 
+def test_inlinks_of_repeated_documents(spark):
+    """Rows of one _id are one document: it counts once for each raw target."""
+    rows_ = [("d", "ab", [("h/a#x", 0, 1), ("h/b", 1, 2)]), ("d", "ab", [("h/a#x", 0, 1), ("h/a", 1, 2)]), ("e", "a", [("h/a", 0, 1)])]
+    docs = spark.createDataFrame(rows_, schemas.DOCUMENTS)
+    assert rows(entities.entity_inlink_pairs(docs)) == [("h/a", "d"), ("h/a", "d"), ("h/a", "e"), ("h/b", "d")]
+
+
 def test_ranks(spark):
     counts = spark.createDataFrame([(f"t{k:03}", k % 7) for k in range(100)], schemas.COUNTS)
     expected = [(t, c, k) for k, (c, t) in enumerate(sorted(((k % 7, f"t{k:03}") for k in range(100)), key=lambda x: (-x[0], x[1])))]
