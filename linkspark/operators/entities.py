@@ -74,8 +74,7 @@ def _raw_inlinks(docs: DataFrame) -> DataFrame:
 
 def entity_inlinks(docs: DataFrame) -> DataFrame:
     """(_id: target, inlinks). A document counts once for each different raw target."""
-    raw = docs.select("_id", F.explode(F.array_distinct(F.transform("links", lambda link: link["target"]))).alias("target"))
-    return raw.select(X.trim_link(F.col("target")).alias("target"), "_id").groupBy(F.col("target").alias("_id")).agg(F.array_sort(F.collect_list("_id")).alias("inlinks"))
+    return _raw_inlinks(docs).groupBy("_id").agg(F.array_sort(F.collect_list("source")).alias("inlinks"))
 
 
 def entity_inlink_pairs(docs: DataFrame) -> DataFrame:

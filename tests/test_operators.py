@@ -54,6 +54,7 @@ def test_inlinks_of_repeated_documents(spark):
     """Rows of one _id are one document: it counts once for each raw target."""
     rows_ = [("d", "ab", [("h/a#x", 0, 1), ("h/b", 1, 2)]), ("d", "ab", [("h/a#x", 0, 1), ("h/a", 1, 2)]), ("e", "a", [("h/a", 0, 1)])]
     docs = spark.createDataFrame(rows_, schemas.DOCUMENTS)
+    assert rows(entities.entity_inlinks(docs)) == [("h/a", ["d", "d", "e"]), ("h/b", ["d"])]
     assert rows(entities.entity_inlink_pairs(docs)) == [("h/a", "d"), ("h/a", "d"), ("h/a", "e"), ("h/b", "d")]
 
 
