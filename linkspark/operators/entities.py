@@ -90,10 +90,16 @@ def entity_vocab(docs: DataFrame, min_rank: int | None = 0, max_rank: int | None
     return ranked(entity_counts(docs, min_count, filter_target), min_rank, max_rank)
 
 
+def _comentions(docs: DataFrame) -> DataFrame:
+    """(_id, entity, pos): each document's different targets, and where each stands first in its links. Rows of one ``_id`` are one document."""
+    each = docs.select("_id", F.posexplode(F.transform("links", lambda link: X.trim_link(link["target"]))).alias("pos", "entity"))
+    return each.groupBy("_id", "entity").agg(F.min("pos").alias("pos"))
+
+
 def entity_comentions(docs: DataFrame) -> DataFrame:
-    """(_id, entities): the different targets of each document in order of appearance. No shuffle."""
-    unique = F.array_distinct(F.transform("links", lambda link: X.trim_link(link["target"])))
-    return docs.select("_id", unique.alias("entities")).where(F.size("entities") > 0)
+    """(_id, entities): the different targets of each document in order of appearance; targets at one place, of rows with one ``_id``, by name."""
+    pairs = F.array_sort(F.collect_list(F.struct("pos", "entity")))
+    return _comentions(docs).groupBy("_id").agg(F.transform(pairs, lambda p: p["entity"]).alias("entities"))
 
 
 def mapped_comentions(docs: DataFrame, vocab: DataFrame) -> DataFrame:

@@ -58,6 +58,13 @@ def test_inlinks_of_repeated_documents(spark):
     assert rows(entities.entity_inlink_pairs(docs)) == [("h/a", "d"), ("h/a", "d"), ("h/a", "e"), ("h/b", "d")]
 
 
+def test_comentions_of_repeated_documents(spark):
+    """Rows of one _id are one document: each target once, at its least place, then by name."""
+    rows_ = [("d", "abc", [("h/z", 0, 1), ("h/a", 1, 2), ("h/z", 2, 3)]), ("d", "abc", [("h/m", 0, 1), ("h/b", 1, 2), ("h/a", 2, 3)]), ("e", "a", [("h/b", 0, 1)]), ("f", "a", [])]
+    docs = spark.createDataFrame(rows_, schemas.DOCUMENTS)
+    assert rows(entities.entity_comentions(docs)) == [("d", ["h/m", "h/z", "h/a", "h/b"]), ("e", ["h/b"])]
+
+
 def test_ranks(spark):
     counts = spark.createDataFrame([(f"t{k:03}", k % 7) for k in range(100)], schemas.COUNTS)
     expected = [(t, c, k) for k, (c, t) in enumerate(sorted(((k % 7, f"t{k:03}") for k in range(100)), key=lambda x: (-x[0], x[1])))]
