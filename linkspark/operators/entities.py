@@ -104,7 +104,6 @@ def entity_comentions(docs: DataFrame) -> DataFrame:
 
 def mapped_comentions(docs: DataFrame, vocab: DataFrame) -> DataFrame:
     """Comentions as ranks of ``vocab``; unknown targets go. Spark broadcasts the vocabulary if it is small enough."""
-    entries = entity_comentions(docs).select("_id", F.posexplode("entities").alias("pos", "entity"))
-    known = entries.join(vocab.select(F.col("_id").alias("entity"), "rank"), "entity")
-    pairs = F.array_sort(F.collect_list(F.struct("pos", "rank")))
+    known = _comentions(docs).join(vocab.select(F.col("_id").alias("entity"), "rank"), "entity")
+    pairs = F.array_sort(F.collect_list(F.struct("pos", "entity", "rank")))
     return known.groupBy("_id").agg(F.transform(pairs, lambda p: p["rank"]).alias("entities"))

@@ -63,6 +63,8 @@ def test_comentions_of_repeated_documents(spark):
     rows_ = [("d", "abc", [("h/z", 0, 1), ("h/a", 1, 2), ("h/z", 2, 3)]), ("d", "abc", [("h/m", 0, 1), ("h/b", 1, 2), ("h/a", 2, 3)]), ("e", "a", [("h/b", 0, 1)]), ("f", "a", [])]
     docs = spark.createDataFrame(rows_, schemas.DOCUMENTS)
     assert rows(entities.entity_comentions(docs)) == [("d", ["h/m", "h/z", "h/a", "h/b"]), ("e", ["h/b"])]
+    vocab = spark.createDataFrame([("h/a", 9, 0), ("h/b", 8, 1), ("h/z", 7, 2)], "_id string, count bigint, rank bigint")
+    assert rows(entities.mapped_comentions(docs, vocab)) == [("d", [2, 0, 1]), ("e", [1])]
 
 
 def test_ranks(spark):
