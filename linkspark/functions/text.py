@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 
 TOKEN = r"[\p{L}\p{N}]+"
 
-# Where a sentence may end, and the guards before it.
-_GUARDS = r"(?<!\s[a-z]\.)(?<!\w\.\w.)(?<![A-Z][a-z]\.)(?<!([Ii]nc|[Pp]ty|[Ll]td)\.)(?<=[.?!])"
-SENTENCE_BREAK = _GUARDS + r"\s|\s*\n\s*"
+# Fixed value: where a sentence may end, and the guards before it. White space is looked for first, as little else has to be tried then.
+SENTENCE_BREAK = r"\s(?:(?<=[.?!]\s)(?<!\s[a-z]\.\s)(?<!\w\.\w.\s)(?<![A-Z][a-z]\.\s)(?<![Ii]nc\.\s)(?<![Pp]ty\.\s)(?<![Ll]td\.\s)|(?:(?<=\n)|\s*\n)\s*)"
 _BREAK = re.compile(SENTENCE_BREAK, re.ASCII)
 
 
@@ -69,18 +68,26 @@ def ngrams(text: Column, max_n: int = 1, min_n: int = 1, lowercase: bool = False
     return F.flatten(F.transform(parts, lambda p: grams_of(tokens(p), max_n, min_n)))
 
 
+def sentence_places(text: str | None) -> tuple[list[int], list[int]]:
+    """(starts, stops) of the non-empty stretches between sentence breaks."""
+    starts: list[int] = []
+    stops: list[int] = []
+    begin = 0
+    for m in _BREAK.finditer(text or ""):
+        stop, onward = m.span()
+        if stop > begin:
+            starts.append(begin)
+            stops.append(stop)
+        begin = onward
+    if text and begin < len(text):
+        starts.append(begin)
+        stops.append(len(text))
+    return starts, stops
+
+
 def spans_of(text: str | None) -> list[dict[str, int]]:
     """Non-empty stretches between sentence breaks."""
-    if not text:
-        return []
-    out, begin = [], 0
-    for m in _BREAK.finditer(text):
-        if m.start() > begin:
-            out.append({"start": begin, "stop": m.start()})
-        begin = m.end()
-    if begin < len(text):
-        out.append({"start": begin, "stop": len(text)})
-    return out
+    return [{"start": a, "stop": b} for a, b in zip(*sentence_places(text), strict=True)]
 
 
 def sentence_spans(text: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,13 +44,6 @@ def term_idfs(docs: DataFrame, lowercase: bool = False, max_ngram: int = 1, min_
     return frequencies.join(F.broadcast(total)).select("_id", F.ln(F.col("__total") / F.col("count")).alias("idf"))
 
 
-def _context(spans: list[dict[str, int]], start: int, stop: int, left: int, right: int) -> tuple[int, int]:
-    """Where the sentences begin and end that a link lies in, with ``left`` before and ``right`` after them."""
-    first = max(bisect_right(spans, start, key=lambda s: s["start"]) - 1, 0)
-    last = max(bisect_left(spans, stop, key=lambda s: s["start"]) - 1, first)
-    return spans[max(first - left, 0)]["start"], spans[min(last + right, len(spans) - 1)]["stop"]
-
-
 def entity_mentions(docs: DataFrame, sentence_window: int = 1, lowercase: bool = False, normalize_url: bool = True, strict_sentences: bool = True) -> DataFrame:
     """(_id: target, source, text: the sentences around the link, span inside it).
 
@@ -59,29 +53,49 @@ def entity_mentions(docs: DataFrame, sentence_window: int = 1, lowercase: bool =
     right = sentence_window - left - 1
     schema = "_id string, source string, text string, start int, stop int"
 
-    def found(source: str, text: str, links: list[dict]) -> Iterator[tuple]:
-        spans = X.spans_of(text)
-        if not spans:
-            return
-        for link in links:
-            begin, end = _context(spans, link["start"], link["stop"], left, right)
-            context, start, stop = text[begin:end], link["start"] - begin, link["stop"] - begin
-            if start == 0 and stop == len(context):
-                continue
-            bare = context.strip()
-            if not strict_sentences or bare and not bare.startswith("*") and bare[-1] in SENTENCE_ENDS:
-                yield link["target"], source, context, start, stop
+    names = ["_id", "source", "text", "start", "stop"]
+
+    def rows(part: pa.RecordBatch) -> pa.RecordBatch:
+        """The mentions of some documents. Lists of links are read flat, as there are many to a document."""
+        links = part.column(2)
+        flat = links.flatten()
+        starts, stops = (flat.field(k).to_pylist() for k in (1, 2))
+        kept: list[int] = []
+        documents: list[int] = []
+        contexts: list[str] = []
+        begins: list[int] = []
+        at = 0
+        for d, (text, n) in enumerate(zip(part.column(1).to_pylist(), links.value_lengths().fill_null(0).to_pylist(), strict=True)):
+            heads, tails = X.sentence_places(text)
+            seen: dict[tuple[int, int], str | None] = {}  # sentences of several links are cut and judged once
+            for k in range(at, at + n) if heads else ():
+                first = max(bisect_right(heads, starts[k]) - 1, 0)
+                last = max(bisect_left(heads, stops[k]) - 1, first)
+                begin, end = place = heads[max(first - left, 0)], tails[min(last + right, len(tails) - 1)]
+                if starts[k] == begin and stops[k] == end:
+                    continue
+                if place not in seen:
+                    context = text[begin:end]
+                    bare = context.strip()
+                    seen[place] = context if not strict_sentences or bare and not bare.startswith("*") and bare[-1] in SENTENCE_ENDS else None
+                if (context := seen[place]) is not None:
+                    kept.append(k)
+                    documents.append(d)
+                    contexts.append(context)
+                    begins.append(begin)
+            at += n
+        own, shift = flat.take(pa.array(kept, pa.int64())), pa.array(begins, pa.int32())
+        columns = [own.field(0), part.column(0).take(pa.array(documents, pa.int64())), pa.array(contexts, pa.string()), pc.subtract(own.field(1), shift), pc.subtract(own.field(2), shift)]
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["_id", "source", "text", "start", "stop"]
-        kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32()]
         for batch in batches:
             for at in range(0, len(batch), 256):
-                rows = [r for d in batch.slice(at, 256).to_pylist() for r in found(d["_id"], d["text"], d["links"])]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                found = rows(batch.slice(at, 256))
+                if len(found):
+                    yield found
 
-    each = docs.where((F.size("links") > 0) & F.col("text").isNotNull()).select("_id", "text", "links").mapInArrow(run, schema)
+    each = docs.select("_id", "text", "links").mapInArrow(run, schema)  # not filtered before, as Spark would find the links once more for that
     target = X.trim_link(F.col("_id")) if normalize_url else F.col("_id")
     text = F.lower("text") if lowercase else F.col("text")
     return each.select(target.alias("_id"), "source", text.alias("text"), F.struct("start", "stop").alias("span"))

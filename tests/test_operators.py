@@ -67,6 +67,12 @@ def test_comentions_of_repeated_documents(spark):
     assert rows(entities.mapped_comentions(docs, vocab)) == [("d", [2, 0, 1]), ("e", [1])]
 
 
+def test_mentions_find_links_once(docs):
+    """No filter stands before the pass, as Spark would compute the links for it and then again."""
+    plan = terms.entity_mentions(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Filter" not in plan
+
+
 def test_ranks(spark):
     counts = spark.createDataFrame([(f"t{k:03}", k % 7) for k in range(100)], schemas.COUNTS)
     expected = [(t, c, k) for k, (c, t) in enumerate(sorted(((k % 7, f"t{k:03}") for k in range(100)), key=lambda x: (-x[0], x[1])))]
