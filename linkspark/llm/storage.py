@@ -1,4 +1,4 @@
-"""Session settings of this folder's queries, and rows whose columns keep their names and types. Intermediate tables are ``linkspark.storage``'s."""
+"""Rows whose columns keep their names and types. Session settings and intermediate tables are ``linkspark.storage``'s."""
 
 from __future__ import annotations
 
@@ -8,25 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkspark.storage import Scratch, shared_folder
-
-__all__ = ["Scratch", "as_struct", "extended", "packed", "prepare", "quoted", "shared_folder", "table", "unpacked", "without"]
-
-#: Of an Arrow batch between Spark and Python; both sides hold a few of them for each task.
-BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
-
-
-def prepare(spark: SparkSession) -> SparkSession:
-    """Settings for the whole session, made once by whoever owns it (the queries and the pipeline here, never an operator).
-
-    Small Arrow batches keep long texts from taking much more memory than short ones, and the
-    shuffle files of a finished query go at once. Operators give the same rows without them.
-    """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-    return spark
+from linkspark.storage import BATCH_BYTES, BATCH_ROWS, Scratch, prepare, shared_folder
 
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "Scratch", "as_struct", "extended", "packed", "prepare", "quoted", "shared_folder", "table", "unpacked", "without"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -73,6 +73,20 @@ def test_mentions_find_links_once(docs):
     assert "Filter" not in plan
 
 
+def test_trigrams_in_pieces():
+    """Memory is that of a piece, and texts longer than it lose no trigram where they are cut."""
+    import pyarrow as pa
+
+    most, languages.MOST_SIGNS = languages.MOST_SIGNS, 10
+    try:
+        texts = [" abcdefghijklmnopqrstuvwxyz ", None, " ab ", "", " the end of it all "]
+        found = sorted((int(r), int(c)) for codes, row in languages._pieces(pa.array(texts)) for c, r in zip(codes, row, strict=True))
+    finally:
+        languages.MOST_SIGNS = most
+    code = lambda g: ord(g[0]) << 42 | ord(g[1]) << 21 | ord(g[2])
+    assert found == sorted((k, code(t[i : i + 3])) for k, t in enumerate(texts) if t for i in range(len(t) - 2))
+
+
 def test_ranks(spark):
     counts = spark.createDataFrame([(f"t{k:03}", k % 7) for k in range(100)], schemas.COUNTS)
     expected = [(t, c, k) for k, (c, t) in enumerate(sorted(((k % 7, f"t{k:03}") for k in range(100)), key=lambda x: (-x[0], x[1])))]
