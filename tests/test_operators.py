@@ -290,3 +290,14 @@ def test_unit_of_long_vectors(spark):
     assert [r.x for r in out] == [round(1 / math.sqrt(20_000), 12)] and time.time() - start < 30
     zero = spark.createDataFrame([([0.0, 0.0],), ([3.0, 4.0],), (None,)], "v array<double>").select(embeddings.unit(F.col("v")).alias("u"))
     assert [r.u for r in zero.collect()] == [None, [0.6, 0.8], None]
+
+
+def test_queries_bound_arrow_batches(spark, tmp_path):
+    """Tasks of wiki_articles hold small batches of texts, whatever the number of rows."""
+    from linkspark.plans import queries
+
+    spark.createDataFrame([(1, "a, word here.")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for key in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.unset(f"spark.sql.execution.arrow.{key}")
+    queries.QUERIES["wiki_articles"](spark, str(tmp_path))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000 and int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
