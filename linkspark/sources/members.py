@@ -182,6 +182,7 @@ class _Reader(DataSourceReader):
                 if len(rows) >= 1000 or held >= 4 << 20:
                     yield warc.batch(rows, _FIELDS)
                     rows, held = [], 0
+                    warc.give_back()
         if rows:
             yield warc.batch(rows, _FIELDS)
 
@@ -213,6 +214,7 @@ class _Writer(DataSourceArrowWriter):
                         out = store.open_output_stream(f"{folder}/{self.own}/{name}", compression=None)
                     deflate = zlib.compressobj(6, zlib.DEFLATED, 31)
                     out.write(deflate.compress(data.encode() if isinstance(data, str) else data) + deflate.flush())
+                warc.give_back()
         finally:
             if out is not None:
                 out.close()

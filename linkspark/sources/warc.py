@@ -140,12 +140,18 @@ def _worked(source: DataFrame, records: Callable[[Iterator[tuple]], Iterator[Rec
             if out and (len(out) >= 1000 or held >= 4 << 20):
                 yield batch(out, schema)
                 out, held = [], 0
+                give_back()
         if out:
             yield batch(out, schema)
 
     return source.mapInArrow(run, ddl)
 
 
+def give_back() -> None:
+    """To the system what Arrow keeps of earlier batches, which differ in size: else a worker grows for as long as it runs."""
+    pa.default_memory_pool().release_unused()
+
+
 def batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 

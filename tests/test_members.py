@@ -3,7 +3,9 @@
 import gzip
 import io
 import random
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +94,21 @@ def test_one_archive_in_many_tasks(spark, tmp_path):
     empty = f"file://{tmp_path}/none"
     members.write(spark.createDataFrame([], "value string"), empty)
     assert (tmp_path / "none").is_dir() and not list((tmp_path / "none").iterdir())
+
+
+def test_tasks_give_back_what_arrow_keeps(monkeypatch, tmp_path):
+    """After each batch, when it is written, read and worked on: so memory doesn't depend on how many there are."""
+    given = []
+    monkeypatch.setattr(warc, "give_back", lambda: given.append(1))
+    bodies = [b"%d" % k + b"x" * (3 << 20) for k in range(6)]
+    values = [pa.RecordBatch.from_arrays([pa.array([_record(f"http://g/{k}", b)], pa.binary())], names=["value"]) for k, b in enumerate(bodies)]
+    writer = members._Writer(str(tmp_path / "out"))
+    writer.commit([writer.write(iter(values))])
+    assert len(given) == 6
+    (file,) = (tmp_path / "out").iterdir()
+    size = file.stat().st_size
+    read = list(members._Reader([str(file)], 0).read(members.Range(str(file), 0, size, size)))
+    assert len(read) > 2 and len(given) == 6 + 3
+    frame = SimpleNamespace(mapInArrow=lambda run, ddl: list(run(iter(read))))
+    pages = warc._worked(frame, lambda rows: (warc.Record(*r) for r in rows), warc.page, pa.schema([("_id", pa.string()), ("content", pa.string())]), "")
+    assert [c.encode() for b in pages for c in b.column(1).to_pylist()] == bodies and len(given) == 9 + 3
