@@ -90,20 +90,21 @@ def entity_vocab(docs: DataFrame, min_rank: int | None = 0, max_rank: int | None
     return ranked(entity_counts(docs, min_count, filter_target), min_rank, max_rank)
 
 
-def _comentions(docs: DataFrame) -> DataFrame:
-    """(_id, entity, pos): each document's different targets, and where each stands first in its links. Rows of one ``_id`` are one document."""
-    each = docs.select("_id", F.posexplode(F.transform("links", lambda link: X.trim_link(link["target"]))).alias("pos", "entity"))
-    return each.groupBy("_id", "entity").agg(F.min("pos").alias("pos"))
+def _comentions(docs: DataFrame, order: str | None) -> DataFrame:
+    """(_id, entity, at): each document's different targets, and where each stands first in its links; with ``order``, also the least of its rows that hold it. Rows of one ``_id`` are one document."""
+    row = [] if order is None else [F.col(order).alias("row")]
+    each = docs.select("_id", *row, F.posexplode(F.transform("links", lambda link: X.trim_link(link["target"]))).alias("pos", "entity"))
+    return each.groupBy("_id", "entity").agg(F.struct(F.min("pos").alias("pos"), *(F.min("row").alias("row") for _ in row)).alias("at"))
 
 
-def entity_comentions(docs: DataFrame) -> DataFrame:
-    """(_id, entities): the different targets of each document in order of appearance; targets at one place, of rows with one ``_id``, by name."""
-    pairs = F.array_sort(F.collect_list(F.struct("pos", "entity")))
-    return _comentions(docs).groupBy("_id").agg(F.transform(pairs, lambda p: p["entity"]).alias("entities"))
+def entity_comentions(docs: DataFrame, order: str | None = None) -> DataFrame:
+    """(_id, entities): the different targets of each document in order of appearance; targets at one place, of rows with one ``_id``, by the first row by ``order`` that holds them, if it is given, and by name."""
+    pairs = F.array_sort(F.collect_list(F.struct("at", "entity")))
+    return _comentions(docs, order).groupBy("_id").agg(F.transform(pairs, lambda p: p["entity"]).alias("entities"))
 
 
-def mapped_comentions(docs: DataFrame, vocab: DataFrame) -> DataFrame:
+def mapped_comentions(docs: DataFrame, vocab: DataFrame, order: str | None = None) -> DataFrame:
     """Comentions as ranks of ``vocab``; unknown targets go. Spark broadcasts the vocabulary if it is small enough."""
-    known = _comentions(docs).join(vocab.select(F.col("_id").alias("entity"), "rank"), "entity")
-    pairs = F.array_sort(F.collect_list(F.struct("pos", "entity", "rank")))
+    known = _comentions(docs, order).join(vocab.select(F.col("_id").alias("entity"), "rank"), "entity")
+    pairs = F.array_sort(F.collect_list(F.struct("at", "entity", "rank")))
     return known.groupBy("_id").agg(F.transform(pairs, lambda p: p["rank"]).alias("entities"))

@@ -9,10 +9,10 @@ from linkspark.functions import content, html, links, markup
 from linkspark.operators.redirects import relink
 
 
-def linked(pages: DataFrame, markup_column: str, normalise=None) -> DataFrame:
-    """Documents (_id, text, links) from pages whose markup has anchors only."""
+def linked(pages: DataFrame, markup_column: str, normalise=None, more: tuple[str, ...] = ()) -> DataFrame:
+    """Documents (_id, text, links) from pages whose markup has anchors only, with the columns ``more`` after these."""
     found = F.col(markup_column)
-    return pages.select("_id", links.plain_text(found).alias("text"), links.link_structs(found, normalise).alias("links"))
+    return pages.select("_id", links.plain_text(found).alias("text"), links.link_structs(found, normalise).alias("links"), *more)
 
 
 def wiki_articles(pages: DataFrame, redirects: DataFrame | None = None, keep_unlinked: bool = False) -> DataFrame:

@@ -43,9 +43,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _table(spark, sf_dir, "pages").select(F.col("url").alias("_id"), F.col("html").alias("content"))
-    return corpora.linked(pages, "content")
+def page_documents(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select(F.col("url").alias("_id"), F.col("html").alias("content"), *more)
+    return corpora.linked(pages, "content", more=more)
 
 
 def text_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,13 +91,13 @@ _COMENTIONS = "f AS (SELECT url, target, min(i) AS i FROM k GROUP BY ALL)"
 
 @query(f"WITH {_LINKS}, {_COMENTIONS} SELECT url AS _id, string_agg(target, ' ' ORDER BY i) AS entities FROM f GROUP BY url")
 def entity_comentions(spark, sf_dir):
-    return entities.entity_comentions(page_documents(spark, sf_dir)).select("_id", F.array_join("entities", " ").alias("entities"))
+    return entities.entity_comentions(page_documents(spark, sf_dir, "page_id"), "page_id").select("_id", F.array_join("entities", " ").alias("entities"))
 
 
 @query(f"WITH {_LINKS}, {_COMENTIONS}, c AS (SELECT target, count(*) AS n FROM k GROUP BY target HAVING count(*) > 1), r AS (SELECT target, row_number() OVER (ORDER BY n DESC, target) - 1 AS rank FROM c) SELECT url AS _id, string_agg(rank::VARCHAR, ' ' ORDER BY i) AS entities FROM f JOIN r USING (target) WHERE rank < 10000 GROUP BY url")
 def mapped_comentions(spark, sf_dir):
-    docs = page_documents(spark, sf_dir)
-    out = entities.mapped_comentions(docs, entities.entity_vocab(docs))
+    docs = page_documents(spark, sf_dir, "page_id")
+    out = entities.mapped_comentions(docs, entities.entity_vocab(docs), "page_id")
     return out.select("_id", F.array_join(F.col("entities").cast("array<string>"), " ").alias("entities"))
 
 

@@ -67,6 +67,15 @@ def test_comentions_of_repeated_documents(spark):
     assert rows(entities.mapped_comentions(docs, vocab)) == [("d", [2, 0, 1]), ("e", [1])]
 
 
+def test_comentions_of_repeated_documents_in_order_of_rows(spark):
+    links = [(2, "d", ["h/a", "h/c"]), (1, "d", ["h/z", "h/d"]), (3, "d", ["h/b", "h/b", "h/d"])]
+    rows_of = [(n, i, [(t, 0, 0) for t in targets]) for n, i, targets in links]
+    docs = spark.createDataFrame(rows_of, "page long, _id string, links array<struct<target:string,start:int,stop:int>>")
+    assert rows(entities.entity_comentions(docs, "page")) == [("d", ["h/z", "h/a", "h/b", "h/d", "h/c"])]
+    vocab = spark.createDataFrame([("h/a", 5), ("h/z", 7), ("h/b", 6), ("h/c", 1)], "_id string, rank long")
+    assert rows(entities.mapped_comentions(docs, vocab, "page")) == [("d", [7, 5, 6, 1])]
+
+
 def test_mentions_find_links_once(docs):
     """No filter stands before the pass, as Spark would compute the links for it and then again."""
     plan = terms.entity_mentions(docs)._jdf.queryExecution().executedPlan().toString()
