@@ -289,6 +289,7 @@ def wiki_files(spark, sf_dir):
     name = F.concat(F.lit("Doc "), F.col("doc_id").cast("string"))
     onward = F.concat(F.lit('<redirect title="Doc '), (F.col("doc_id") + 1).cast("string"), F.lit('" />'))
     shown = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    shown = F.coalesce(F.replace(shown, F.lit("\r"), F.lit("&#13;")), F.lit(""))  # a parser takes a bare one for a line feed; null texts are pages without text
     page = F.concat(
         F.lit("  <page>\n    <title>"), name, F.lit(" x</title>\n    <ns>"), F.when(F.col("doc_id") % 5 == 0, "1").otherwise("0"), F.lit("</ns>\n    <id>"), F.col("doc_id").cast("string"), F.lit("</id>\n    "),
         F.when(F.col("doc_id") % 7 == 0, onward).otherwise(""), F.lit('<revision>\n      <text xml:space="preserve">'), shown, F.lit("</text>\n    </revision>\n  </page>"),

@@ -310,3 +310,12 @@ def test_queries_bound_arrow_batches(spark, tmp_path):
         spark.conf.unset(f"spark.sql.execution.arrow.{key}")
     queries.QUERIES["wiki_articles"](spark, str(tmp_path))
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000 and int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+
+
+def test_wiki_files_of_null_texts_and_carriage_returns(spark, tmp_path):
+    from linkspark.plans import queries
+
+    docs = spark.createDataFrame([(1, None), (2, "a\r\nb\rc & <d>"), (3, " e\n")], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.pid: r.content for r in queries.wiki_files(spark, str(tmp_path)).collect()}
+    assert found == {1: None, 2: "a\r\nb\rc & <d>", 3: " e\n"}
